@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import NULL_ID, id_column, int_column, plan_bytes, run_dir, shuffle_partitions
+from caseloom.llm.common import bytes_of, id_column, int_column, plan_bytes, run_dir, shuffle_partitions, spans_of
+from caseloom.llm.hashing import Prefix
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
@@ -34,7 +34,7 @@ RULES_A_ROUND = 1024
 ROUNDS = 6
 LEAST_COUNT = 24
 #: Chunks of text whose ids a worker keeps.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 2_000_000
 MAGIC = b"CLTK1"
 
 
@@ -158,13 +158,47 @@ class Shard:
 # --- encoding ----------------------------------------------------------------
 
 
+def _odd(data: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Rows in which a blank or line end touches another one or the row's edge, or that hold any other white space."""
+    n = len(data)
+    part = (data == 32) | (data == 10)
+    bad = (data < 32) & (data != 10) & (((data > 8) & (data < 14)) | (data > 27))
+    touch = part.copy()
+    touch[1:] &= part[:-1]
+    bad |= touch
+    full = off[:-1] < off[1:]
+    bad[off[:-1][full]] |= part[off[:-1][full]]
+    bad[off[1:][full] - 1] |= part[off[1:][full] - 1]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE1) | (data == 0xE2) | (data == 0xE3))
+    if len(lead):
+        b0 = data[lead]
+        b1 = data[np.minimum(lead + 1, n - 1)]
+        b2 = data[np.minimum(lead + 2, n - 1)]
+        wide = (b0 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+        wide |= (b0 == 0xE1) & (b1 == 0x9A) & (b2 == 0x80)
+        wide |= (b0 == 0xE2) & (((b1 == 0x80) & ((b2 <= 0x8A) | (b2 == 0xA8) | (b2 == 0xA9) | (b2 == 0xAF))) | ((b1 == 0x81) & (b2 == 0x9F)))
+        wide |= (b0 == 0xE3) & (b1 == 0x80) & (b2 == 0x80)
+        bad[lead[wide]] = True
+    seen = np.zeros(n + 1, np.int64)
+    np.cumsum(bad, out=seen[1:])
+    return seen[off[1:]] > seen[off[:-1]]
+
+
+def _flat(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... of each range, one after the other."""
+    end = np.cumsum(count)
+    return np.repeat(begin - (end - count), count) + np.arange(end[-1] if len(end) else 0)
+
+
 class Encoder:
     """ids of whole texts by the tokenizers library.
 
     The vocabulary splits text before each blank that a non-blank follows and
     around a single line end, so a text's ids are those of its blank-separated
-    chunks, one after the other; chunks are encoded once and kept.  A text
-    with other white space at a chunk's edge is encoded as it is.
+    chunks, one after the other.  Chunks (with the blank before them) are found
+    by hash; each distinct one is encoded once and its ids kept, up to
+    ``CACHE_ENTRIES`` for a worker.  Texts with other white space, or with
+    blanks that touch, are encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -173,85 +207,102 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.vocab = self.tok.get_vocab_size()
-        self.head: dict[str, bytes] = {}
-        self.tail: dict[str, bytes] = {}
         self.newline = self.raw(["\n"])[0]
         self.blank = np.zeros(self.vocab, bool)
         self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
-        self.spilt = 0
-
-    def raw(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        """ids of each chunk after a blank: encoded in long runs, parted where a token opens with a blank."""
-        out: list[bytes] = []
-        for i in range(0, len(chunks), 512):
-            part = chunks[i : i + 512]
-            ids = np.array(self.tok.encode_batch_fast(["".join([" " + c for c in part])], add_special_tokens=False)[0].ids, "<u4")
-            cut = (np.append(np.flatnonzero(self.blank[ids]), len(ids)) * 4).tolist()
-            data = ids.tobytes()
-            if len(cut) != len(part) + 1:
-                out += self.raw([" " + c for c in part])
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash = np.zeros(0, np.uint64)
+        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(0, np.uint16)
+
+    def raw(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(x.ids, np.uint16) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, after_blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """ids of unseen chunks: (flat, begin, count). Those after a blank are encoded in long runs, parted where a token opens with a blank."""
+        flat: list[np.ndarray] = []
+        count = np.zeros(len(h), np.int64)
+        order = np.concatenate((np.flatnonzero(after_blank), np.flatnonzero(~after_blank)))
+        n = int(after_blank.sum())
+        for i in range(0, n, 1024):
+            pick = order[i : min(i + 1024, n)]
+            run = data[_flat(s[pick] - 1, e[pick] - s[pick] + 1)].tobytes().decode()
+            ids = self.raw([run])[0]
+            cut = np.flatnonzero(self.blank[ids])
+            if len(cut) != len(pick):
+                got = self.raw([data[a - 1 : b].tobytes().decode() for a, b in zip(s[pick], e[pick], strict=True)])
+                count[pick] = [len(x) for x in got]
+                flat += got
             else:
-                out += [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return out
-
-    def _look(self, known: dict[str, bytes], missing: set[str], lead: str) -> dict[str, bytes]:
-        """ids of ``missing``, which ``known`` keeps while it has room."""
-        new = [c for c in missing if c and not c[0].isspace()]
-        got = dict(zip(new, self._chunks(new) if lead else self.raw(new), strict=True))
-        if len(known) + len(got) <= CACHE_ENTRIES:
-            known.update(got)
-        else:
-            self.spilt += len(got)
-            if self.spilt > 8 * CACHE_ENTRIES:  # the texts have changed: start anew
-                self.spilt = 0
-                known.clear()
-        return got
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        head, tail = self.head, self.tail
-        docs, heads, tails, late = [], set(), set(), []
-        for t in texts:
-            lines = []
-            for line in t.split("\n"):
-                parts = line.split(" ")
-                ids = list(map(tail.get, parts))
-                ids[0] = b""
-                if (first := head.get(parts[0])) is None:
-                    heads.add(parts[0])
-                    first = parts[0]
-                at, i = [], 0
-                try:
-                    while True:
-                        i = ids.index(None, i)
-                        at.append(i)
-                        tails.add(parts[i])
-                        i += 1
-                except ValueError:
-                    pass
-                if at or first is parts[0]:
-                    late.append((ids, parts, at))
-                ids[0] = first
-                if not parts[-1] or parts[-1][-1].isspace():
-                    ids.append(None)
-                lines.append(ids)
-            docs.append(lines)
-        if late:
-            tail, head = self._look(tail, tails, " "), self._look(head, heads, "")
-            for ids, parts, at in late:
-                if ids[0] is parts[0]:
-                    ids[0] = head.get(parts[0])
-                for i in at:
-                    ids[i] = tail.get(parts[i])
-        out = []
-        for t, lines in zip(texts, docs, strict=True):
-            try:
-                out.append(self.newline.join([b"".join(ids) for ids in lines]))
-            except TypeError:  # a chunk that only the whole text tells
-                out.append(self.raw([t])[0] if t else b"")
-        return out
+                count[pick] = np.diff(np.append(cut, len(ids)))
+                flat.append(ids)
+        rest = order[n:]
+        got = self.raw([data[a:b].tobytes().decode() for a, b in zip(s[rest], e[rest], strict=True)])
+        count[rest] = [len(x) for x in got]
+        flat += got
+        begin = np.zeros(len(h), np.int64)
+        begin[order] = np.cumsum(count[order]) - count[order]
+        return (np.concatenate(flat) if flat else np.zeros(0, np.uint16)), begin, count
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of all rows, one after the other, and how many each row has."""
+        n = len(off) - 1
+        odd = _odd(data, off) if len(data) else np.zeros(n, bool)
+        out = np.zeros(n, np.int64)
+        part = (data == 32) | (data == 10)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[off] = True
+        first = ~part
+        last = first.copy()
+        first[1:] &= part[:-1] | edge[1:-1]
+        last[:-1] &= part[1:] | edge[1:-1]
+        s = np.flatnonzero(first)
+        e = np.flatnonzero(last) + 1
+        row = np.searchsorted(off, s, "right") - 1
+        ok = ~odd[row]
+        s, e, row = s[ok], e[ok], row[ok]
+        inner = s > off[row]
+        sep = data[s - 1] if len(s) else np.zeros(0, np.uint8)
+        tail = inner & (sep == 32)
+        line = inner & (sep == 10)
+        h = Prefix(data).ranges(s, e) + tail.astype(np.uint64)
+        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        k = np.searchsorted(self.hash, u)
+        k[k == len(self.hash)] = 0
+        known = self.hash[k] == u if len(self.hash) else np.zeros(len(u), bool)
+        begin, count = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
+        begin[known], count[known] = self.begin[k[known]], self.count[k[known]]
+        new = np.flatnonzero(~known)
+        flat = self.flat
+        if len(new):
+            got, b, c = self._learn(data, u[new], s[at[new]], e[at[new]], tail[at[new]])
+            begin[new], count[new] = b + len(flat), c
+            flat = np.concatenate((flat, got))
+            if len(self.hash) + len(new) <= CACHE_ENTRIES:
+                where = np.searchsorted(self.hash, u[new])
+                self.hash = np.insert(self.hash, where, u[new])
+                self.begin = np.insert(self.begin, where, begin[new])
+                self.count = np.insert(self.count, where, c)
+                self.flat = flat
+        # a line end before a chunk is one more id
+        c = count[inv]
+        size = c + line * len(self.newline)
+        out += np.bincount(row, size, n).astype(np.int64)
+        ids = np.empty(int(size.sum()), np.uint16)
+        end = np.cumsum(size)
+        ids[_flat(end - c, c)] = flat[_flat(begin[inv], c)]
+        for i, x in enumerate(self.newline):
+            ids[(end - size)[line] + i] = x
+        if odd.any():
+            rows = np.flatnonzero(odd)
+            got = self.raw([data[off[r] : off[r + 1]].tobytes().decode() for r in rows])
+            cut = np.concatenate(([0], np.cumsum(out)))
+            mine = dict(zip(rows.tolist(), got, strict=True))
+            ids = np.concatenate([mine[r] if r in mine else ids[cut[r] : cut[r + 1]] for r in range(n)])
+            out[rows] = [len(x) for x in got]
+        return ids, out
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -263,20 +314,6 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[np.ndarray, list[str]]]:
-    for batch in batches:
-        ids, texts = int_column(batch, "doc_id"), batch.column("text")
-        i = 0
-        size = np.diff(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]) if len(texts) else []
-        while i < len(texts):
-            j, n = i, 0
-            while j < len(texts) and (j == i or n + size[j] <= limit):
-                n += int(size[j])
-                j += 1
-            yield ids[i:j], [t or "" for t in texts.slice(i, j - i).to_pylist()]
-            i = j
-
-
 SHARD_SCHEMA = "part int, seq int, before long, n_docs int, n_tokens long, payload binary"
 
 
@@ -285,32 +322,36 @@ def _writer(path: str, shard_tokens: int):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, end = encoder(path), struct.pack("<I", END_ID)
-        buf: list[bytes] = []
+        enc = encoder(path)
+        buf: list[np.ndarray] = []
         ids: list[np.ndarray] = []
-        counts: list[int] = []
+        counts: list[np.ndarray] = []
         held = seq = before = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, seq, before
-            tokens = np.frombuffer(b"".join(buf), "<u4")
-            blob = pack(tokens, np.concatenate(ids), np.array(counts), enc.vocab)
+            tokens, count, who = np.concatenate(buf), np.concatenate(counts), np.concatenate(ids)
+            blob = pack(tokens, who, count, enc.vocab)
             row = pa.RecordBatch.from_arrays(
-                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(counts)], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())],
+                [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([before], pa.int64()), pa.array([len(count)], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([blob], pa.binary())],
                 ["part", "seq", "before", "n_docs", "n_tokens", "payload"],
             )
             seq, before, held = seq + 1, before + len(tokens), 0
             buf.clear(), ids.clear(), counts.clear()
             return row
 
-        for some, texts in _grouped(batches, 1 << 19):
-            ids.append(some)
-            for got in enc.encode(texts):
-                buf += (got, end)
-                counts.append(len(got) // 4 + 1)
-                held += counts[-1]
-            if held >= shard_tokens:
-                yield flush()
+        for batch in batches:
+            who, (data, off) = int_column(batch, "doc_id"), bytes_of(batch.column("text"))
+            for i, j in spans_of(off, 2 << 20):
+                got, count = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                end = np.cumsum(count)
+                full = np.insert(got, end, END_ID)
+                buf.append(full)
+                ids.append(who[i:j])
+                counts.append(count + 1)
+                held += len(full)
+                if held >= shard_tokens:
+                    yield flush()
         if counts:
             yield flush()
 
@@ -360,4 +401,4 @@ def token_output(docs: DataFrame, tokenizer_path: str, out: str | None = None) -
     return read_token_files(spark, out)
 
 
-__all__ = ["Encoder", "NULL_ID", "Shard", "expand", "pack", "read_token_files", "repair", "token_output", "write_token_files"]
+__all__ = ["Encoder", "Shard", "expand", "pack", "read_token_files", "repair", "token_output", "write_token_files"]
