@@ -42,9 +42,17 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: A plan estimate above this says that Catalyst doesn't know.
+UNKNOWN_BYTES = 1 << 55
+
+
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan: for a scan, its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's size estimate of a plan (for a scan, its files); where it has none, the measured size of the texts."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if known < UNKNOWN_BYTES:
+        return known
+    text = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) if "text" in df.columns else F.count(F.lit(1)) * 512
+    return int(df.agg(text).first()[0] or 0)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
