@@ -18,7 +18,7 @@ def _table() -> np.ndarray:
 
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> U(30))
-    x = x * U(0xBF58476D1CE4E5B9)
+    x *= U(0xBF58476D1CE4E5B9)
     x ^= x >> U(27)
     x *= U(0x94D049BB133111EB)
     x ^= x >> U(31)

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bytes_of, id_column, int_column, sharded
+from caseloom.llm.common import bytes_of, id_column, int_column, sharded, spans_of
 from caseloom.llm.hashing import Prefix, mix, window_min
 
 LENGTH = 100
@@ -50,21 +50,38 @@ _LOW = U(0xFFFFFFFF)
 # --- arrays ------------------------------------------------------------------
 
 
+def _rank(key: np.ndarray) -> np.ndarray:
+    order = np.argsort(key)
+    new = np.zeros(len(key), np.uint64)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    out = np.empty(len(key), np.uint64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def ranks(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of codes[s : s + length] among those of all starts, by prefix doubling; equal strings, equal rank.
+    """Rank of the bytes codes[s : s + length] among those of all starts; equal strings, equal rank.
 
-    ``codes`` must reach ``length`` past every start.
+    Prefix doubling, begun with eight bytes as one number; ranks of fewer than
+    2**21 strings are put together three at a time. ``codes`` must reach
+    ``length`` past every start.
     """
-    n = len(codes)
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.uint64)
-    have = 1
+    assert not len(starts) or (length >= 8 and starts.max() + length <= len(codes))
+    key = np.zeros(max(0, len(codes) - 7), np.uint64)
+    for i in range(8):
+        key = (key << U(8)) | codes[i : len(codes) - 7 + i]
+    have = 8
+    rank = _rank(key)
     while have * 2 <= length:
-        m = len(rank) - have
-        rank = np.unique((rank[:m] << U(32)) | rank[have : have + m], return_inverse=True)[1].astype(np.uint64)
-        have *= 2
-    last = length - have
-    assert not len(starts) or starts.max() + length <= n
-    return np.unique((rank[starts] << U(32)) | rank[starts + last], return_inverse=True)[1]
+        step = 3 if len(rank) < 1 << 21 and have * 3 <= length else 2
+        bits = U(21 if step == 3 else 32)
+        m = len(rank) - have * (step - 1)
+        key = rank[:m]
+        for i in range(1, step):
+            key = (key << bits) | rank[have * i : have * i + m]
+        rank = _rank(key)
+        have *= step
+    return _rank((rank[starts] << U(32)) | rank[starts + length - have])
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -141,8 +158,7 @@ def repeats(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
 # --- units -------------------------------------------------------------------
 
 
-def units(data: np.ndarray, off: np.ndarray):
-    """Units of concatenated rows: first window, last window + 1, anchor, content hash, and whether it may repeat itself."""
+def _units(data: np.ndarray, off: np.ndarray):
     size = np.diff(off)
     long = np.flatnonzero(size >= LENGTH)
     z = np.zeros(0, np.int64)
@@ -170,10 +186,26 @@ def units(data: np.ndarray, off: np.ndarray):
     anchor = low[s]
     # an anchor that occurs twice among a unit's bytes: windows may repeat inside it
     hit = np.flatnonzero(h == anchor_at(low, s, e, len(h)))
-    inside = np.searchsorted(hit, e + SPAN - 1) - np.searchsorted(hit, s)
+    lo, hi = np.searchsorted(hit, s), np.searchsorted(hit, e + SPAN - 1)
+    n = hi - lo  # at least the anchor itself
+    end = np.cumsum(n)
+    same = h[hit][np.repeat(lo - (end - n), n) + np.arange(end[-1])] == np.repeat(anchor, n)
+    inside = np.add.reduceat(same, end - n, dtype=np.int64)
     return s, e, anchor, prefix.ranges(s, e + LENGTH - 1), inside > 1
 
 
+def units(data: np.ndarray, off: np.ndarray):
+    """Units of concatenated rows: first window, last window + 1, anchor, content hash, and whether it may repeat itself.
+
+    Rows are taken a few hundred kilobytes at a time, which fit the cache.
+    """
+    parts = []
+    for i, j in spans_of(off, 1 << 18):
+        s, e, *rest = _units(data[off[i] : off[j]], off[i : j + 1] - off[i])
+        parts.append((s + off[i], e + off[i], *rest))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _units(data, off)
+
+
 def anchor_at(low: np.ndarray, s: np.ndarray, e: np.ndarray, n: int) -> np.ndarray:
     """For each K-byte string, the smallest anchor of the windows over it: it is an anchor itself if it equals that."""
     full = np.full(n + SPAN - 1, np.iinfo(np.uint64).max, np.uint64)
@@ -359,7 +391,7 @@ def _find(table: pa.Table) -> pa.Table:
         while i < len(edge):
             base = ends[edge[i]] - size[by[edge[i]]]
             j = i + 1
-            while j < len(edge) and ends[edge[j] - 1] - base < (4 << 20):
+            while j < len(edge) and ends[edge[j] - 1] - base < (1 << 20):
                 j += 1
             pick = by[edge[i] : edge[j] if j < len(edge) else len(by)]
             i = j
