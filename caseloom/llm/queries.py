@@ -40,6 +40,24 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.decontaminate import contained_items
+
+    return contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.mixture import mixture
+
+    return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.spans import sentence_span_dedup
+
+    return sentence_span_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
