@@ -68,18 +68,18 @@ def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     return max(2 * shuffle_partitions(spark), math.ceil(plan_bytes(docs) / shard_bytes))
 
 
-def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, int]:
-    """(shard int, doc_id long, text string) and the number of shards.
-
-    Shards are ranges of ``doc_id``: every id of shard i is smaller than every
-    id of shard i + 1.  Null ids come first.  Rows with one id share a shard.
-    """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+    """Ids that part the documents into ranges of about equal counts."""
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(["text"] if "text" in docs.columns else []))
     n = shard_count(base, shard_bytes)
     cuts = base.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
-    bounds = sorted({int(x) for x in cuts})
+    return sorted({int(x) for x in cuts})
+
+
+def shard_of(bounds: list[int]):
+    """The range that ``doc_id`` lies in, by binary search over the bounds; null is in the first."""
     if not bounds:
-        return base.select(F.lit(0).alias("shard"), "doc_id", "text"), 1
+        return F.lit(0)
     steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
     edges = F.lit(bounds).cast("array<bigint>")
     found = F.aggregate(
@@ -87,7 +87,18 @@ def sharded(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame,
         F.lit(0),
         lambda at, step: F.when(F.get(edges, at + step - 1) < F.col("doc_id"), at + step).otherwise(at),
     )
-    return base.select(found.cast("int").alias("shard"), "doc_id", "text"), len(bounds) + 1
+    return found.cast("int")
+
+
+def sharded(docs: DataFrame, bounds: list[int] | None = None) -> tuple[DataFrame, int]:
+    """(shard int, doc_id long, text string) and the number of shards.
+
+    Shards are ranges of ``doc_id``: every id of shard i is smaller than every
+    id of shard i + 1.  Null ids come first.  Rows with one id share a shard.
+    """
+    bounds = shard_bounds(docs) if bounds is None else bounds
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    return base.select(shard_of(bounds).alias("shard"), "doc_id", "text"), len(bounds) + 1
 
 
 def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:

@@ -40,6 +40,12 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.jaccard import components
+
+    return components(table(spark, sf_dir, "documents"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.decontaminate import contained_items
 
