@@ -65,7 +65,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
     spark = docs.sparkSession
-    return max(2 * shuffle_partitions(spark), math.ceil(plan_bytes(docs) / shard_bytes))
+    return max(shuffle_partitions(spark), math.ceil(plan_bytes(docs) / shard_bytes))
+
+
+def bucket_count(spark: SparkSession, n_shards: int) -> int:
+    """Buckets hold what several shards send; each shard writes to each bucket, so there are fewer of them."""
+    return max(shuffle_partitions(spark), n_shards // 4)
 
 
 def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bytes_of, id_column, int_column, sharded
+from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, sharded
 from caseloom.llm.hashing import U, mix, powers, words
 from caseloom.llm.suffix import bucket_of
 
@@ -171,7 +171,8 @@ def _cut(n_buckets: int):
 
 def sentence_span_dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept."""
-    texts, n = sharded(docs)
+    texts, n_shards = sharded(docs)
+    n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
     told = by_shard.applyInArrow(_tell(n), "bucket int, shard int, blob binary")
     said = told.groupBy("bucket").applyInArrow(_first_shard, "shard int, bucket int, blob binary")

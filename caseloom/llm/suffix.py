@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bytes_of, id_column, int_column, sharded, spans_of
+from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, sharded, spans_of
 from caseloom.llm.hashing import Prefix, mix, window_min
 
 LENGTH = 100
@@ -480,7 +480,7 @@ def _cut(n_buckets: int, with_text: bool):
 def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row."""
     texts, n = sharded(docs)
-    n_buckets = n
+    n_buckets = bucket_count(docs.sparkSession, n)
 
     def tell(table: pa.Table) -> pa.Table:
         b, blobs = ShardUnits(table, n_buckets).messages()
