@@ -40,6 +40,12 @@ def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.neighbours import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.jaccard import components
 
