@@ -33,7 +33,7 @@ DIM = 8
 FILTERS = 24
 HIDDEN = 16
 LAGS = 24
-EPOCHS = 10
+STEPS = 600  # of training, over as many rounds as the sample needs
 BATCH = 64
 PAD = 512
 THRESHOLD = 0.3
@@ -137,9 +137,10 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Network:
     m = {k: np.zeros_like(getattr(net, k)) for k in names}
     v = {k: np.zeros_like(getattr(net, k)) for k in names}
     step, n = 0, HALF * DIM
-    for epoch in range(EPOCHS):
+    epochs = -(-STEPS * BATCH // len(texts))
+    for epoch in range(epochs):
         order = rng.permutation(len(texts))
-        rate = 0.004 * (1 - epoch / EPOCHS) + 0.0005
+        rate = 0.004 * (1 - epoch / epochs) + 0.0005
         for i in range(0, len(order), BATCH):
             pick = order[i : i + BATCH]
             off = np.zeros(len(pick) + 1, np.int64)
