@@ -38,7 +38,7 @@ def search(needle: str | None, *columns: str) -> Column | None:
     if not needle:
         return None
     pattern = F.lit(like_pattern(needle))
-    return any_of(*[F.coalesce(F.col(c).cast("string").ilike(pattern), F.lit(False)) for c in columns])
+    return any_of(*[F.coalesce(F.ilike(F.col(c).cast("string"), pattern), F.lit(False)) for c in columns])
 
 
 def equals(column: str, value: object) -> Column | None:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.sources.schema import schema, with_defaults
+from caseloom.sources.schema import with_defaults
 
 # The largest upload and the media types it may have.
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
@@ -28,11 +28,11 @@ def scan_jdbc(spark: SparkSession, url: str, table: str, key: str, lower: int, u
     return reader.option("lowerBound", lower).option("upperBound", upper).option("numPartitions", partitions).options(**options).load()
 
 
-def insert(spark: SparkSession, path: str, table: str, rows: DataFrame, as_of: Column) -> DataFrame:
+def insert(path: str, table: str, rows: DataFrame, as_of: Column) -> DataFrame:
     """Appends rows with their defaults and returns them as written; generated ids are settled before both."""
     made = with_defaults(rows, table, as_of)
     if "id" not in rows.columns:
-        made = spark.createDataFrame(made.collect(), schema(table)) if rows.isLocal() else made.checkpoint()
+        made = made.checkpoint()
     made.write.mode("append").parquet(path)
     return made
 
