@@ -47,7 +47,7 @@ SAMPLE = 20_000
 class Blocks:
     """Rotation, blocks, budgets and trees for vectors of one length."""
 
-    def __init__(self, sample: np.ndarray, n: int, cosine: float):
+    def __init__(self, sample: np.ndarray, n: int, cosine: float, leaf: int = LEAF):
         dim = sample.shape[1]
         unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         value, axes = np.linalg.eigh(np.cov(unit.T, bias=True).reshape(dim, dim) if len(unit) > 1 else np.eye(dim))
@@ -61,7 +61,7 @@ class Blocks:
         self.budget = limit * var / var.sum() + 1e-9
         self.trees = []
         turned = unit @ self.rotation
-        depth = max(0, math.ceil(math.log2(max(1, min(n / LEAF, MOST_LEAVES, len(sample) / 8)))))
+        depth = max(0, math.ceil(math.log2(max(1, min(n / leaf, MOST_LEAVES, len(sample) / 8)))))
         for c in self.cols:
             self.trees.append(self._tree(turned[:, c], depth))
 
@@ -232,7 +232,7 @@ def _join(shared, dim: int, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     spark = vectors.sparkSession
     home = run_dir(spark, "neighbours")
@@ -249,9 +249,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     for dim, n in sorted((r[0], r[1]) for r in kept.groupBy("dim").count().collect()):
         mine = kept.filter(F.col("dim") == dim).select(F.col("rep").alias("id"), "weight", "embedding")
         sample = np.array([r[0] for r in mine.orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").collect()], np.float64)
-        shared = spark.sparkContext.broadcast({dim: Blocks(sample, n, cosine)})
+        shared = spark.sparkContext.broadcast({dim: Blocks(sample, n, cosine, leaf)})
         count = mine.mapInArrow(_count(shared, dim), "block int, leaf int, homes long, visitors long").groupBy("block", "leaf").agg(F.sum("homes").alias("h"), F.sum("visitors").alias("v"))
-        tiles = {(r.block, r.leaf): (max(1, -(-r.h // TILE)), max(1, -(-r.v // TILE))) for r in count.collect()}
+        tiles = {(r.block, r.leaf): (max(1, -(-r.h // tile)), max(1, -(-r.v // tile))) for r in count.collect()}
         part = mine.mapInArrow(_deal(shared, dim, tiles), _TILE).groupBy("block", "leaf", "h", "v").applyInArrow(_join(shared, dim, cosine), _FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -282,30 +282,33 @@ def _rows(schema: str, *columns) -> pa.Table:
     return pa.table([c if isinstance(c, pa.Array) else pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """In one bucket: which units an earlier shard has, and which anchors have several."""
-    shard = np.array(table["shard"].to_pylist())
-    order = np.argsort(shard, kind="stable")
-    blobs = table["blob"].to_pylist()
-    count = np.array([len(blobs[i]) // 12 for i in order])
-    a = np.concatenate([np.frombuffer(blobs[i], "<u4", len(blobs[i]) // 12) for i in order])
-    u = np.concatenate([np.frombuffer(blobs[i], "<u8", len(blobs[i]) // 12, len(blobs[i]) // 3) for i in order])
-    del blobs
-    by = np.lexsort((u, a))  # stable: of equal units the earlier shard first
-    sa, su = a[by], u[by]
-    new_a = np.ones(len(by), bool)
-    new_a[1:] = sa[1:] != sa[:-1]
-    new = new_a.copy()
-    new[1:] |= su[1:] != su[:-1]
-    group = np.cumsum(new_a) - 1
-    kinds = np.bincount(group, weights=new).astype(np.int64)[group]
-    say = np.where(new, np.where(kinds > 1, ASK, 0) | np.where(kinds > HOT_UNITS, HOT, 0), REPEAT).astype(np.uint8)
-    out = np.empty(len(by), np.uint8)
-    out[by] = say
-    end = np.cumsum(count)
-    n = len(order)
-    b = table["bucket"][0].as_py()
-    return _rows(_ANSWER, shard[order].tolist(), [0] * n, [b] * n, [out[j - c : j].tobytes() for c, j in zip(count.tolist(), end.tolist(), strict=True)])
+def _judge(hot_units: int):
+    def run(table: pa.Table) -> pa.Table:
+        """In one bucket: which units an earlier shard has, and which anchors have several."""
+        shard = np.array(table["shard"].to_pylist())
+        order = np.argsort(shard, kind="stable")
+        blobs = table["blob"].to_pylist()
+        count = np.array([len(blobs[i]) // 12 for i in order])
+        a = np.concatenate([np.frombuffer(blobs[i], "<u4", len(blobs[i]) // 12) for i in order])
+        u = np.concatenate([np.frombuffer(blobs[i], "<u8", len(blobs[i]) // 12, len(blobs[i]) // 3) for i in order])
+        del blobs
+        by = np.lexsort((u, a))  # stable: of equal units the earlier shard first
+        sa, su = a[by], u[by]
+        new_a = np.ones(len(by), bool)
+        new_a[1:] = sa[1:] != sa[:-1]
+        new = new_a.copy()
+        new[1:] |= su[1:] != su[:-1]
+        group = np.cumsum(new_a) - 1
+        kinds = np.bincount(group, weights=new).astype(np.int64)[group]
+        say = np.where(new, np.where(kinds > 1, ASK, 0) | np.where(kinds > hot_units, HOT, 0), REPEAT).astype(np.uint8)
+        out = np.empty(len(by), np.uint8)
+        out[by] = say
+        end = np.cumsum(count)
+        n = len(order)
+        b = table["bucket"][0].as_py()
+        return _rows(_ANSWER, shard[order].tolist(), [0] * n, [b] * n, [out[j - c : j].tobytes() for c, j in zip(count.tolist(), end.tolist(), strict=True)])
+
+    return run
 
 
 def _asked(own: ShardUnits, say: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -477,7 +480,7 @@ def _cut(n_buckets: int, with_text: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, with_text: bool = False, hot_units: int = HOT_UNITS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of each row."""
     texts, n = sharded(docs)
     n_buckets = bucket_count(docs.sparkSession, n)
@@ -487,7 +490,7 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return _rows(_MESSAGE, b, np.full(len(b), table["shard"][0].as_py()), blobs)
 
     by_shard = texts.groupBy("shard")
-    judged = by_shard.applyInArrow(tell, _MESSAGE).groupBy("bucket").applyInArrow(_judge, _ANSWER)
+    judged = by_shard.applyInArrow(tell, _MESSAGE).groupBy("bucket").applyInArrow(_judge(hot_units), _ANSWER)
     shown = by_shard.cogroup(judged.groupBy("shard")).applyInArrow(_show(n_buckets), _MESSAGE)
     found = shown.groupBy("bucket").applyInArrow(_find, _ANSWER)
     answers = judged.unionByName(found)

@@ -40,10 +40,9 @@ def corpus(seed):
 
 
 @pytest.mark.parametrize("hot", [2048, 1])
-def test_matches_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(suffix, "HOT_UNITS", hot)
+def test_matches_brute_force(spark, hot):
     rows = corpus(hot)
-    got = rows_of(suffix.substring_dedup(docs_frame(spark, rows)))
+    got = rows_of(suffix.substring_dedup(docs_frame(spark, rows), hot_units=hot))
     assert got == brute(rows)
 
 
