@@ -38,6 +38,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Bytes of rows that Spark hands to Python at once; Spark's own 64 MB times copies and columns fill a small executor.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the Arrow batch size where the session has left it at Spark's default."""
+    if spark.conf.get(_BATCH).rstrip("b") == str(64 << 20):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -60,6 +71,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -101,6 +113,7 @@ def sharded(docs: DataFrame, bounds: list[int] | None = None) -> tuple[DataFrame
     Shards are ranges of ``doc_id``: every id of shard i is smaller than every
     id of shard i + 1.  Null ids come first.  Rows with one id share a shard.
     """
+    small_batches(docs.sparkSession)
     bounds = shard_bounds(docs) if bounds is None else bounds
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     return base.select(shard_of(bounds).alias("shard"), "doc_id", "text"), len(bounds) + 1

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, spans_of
+from caseloom.llm.common import bytes_of, small_batches, spans_of
 from caseloom.llm.hashing import U, shingles, words
 
 WORDS = 5
@@ -116,6 +116,7 @@ def _chunks(benchmark: DataFrame) -> Iterator[Items]:
 
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each item that a document holds."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
     for items in _chunks(benchmark):
@@ -142,6 +143,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no test item, with their columns. One pass over the documents for each chunk of items."""
+    small_batches(docs.sparkSession)
     for items in _chunks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, spans_of
+from caseloom.llm.common import bytes_of, small_batches, spans_of
 from caseloom.llm.training import held_out, sample_ids, sample_texts
 
 ORDERS = 3
@@ -161,6 +161,7 @@ def fit(docs: DataFrame) -> Bayes:
 
 def language(docs: DataFrame, model: Bayes | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of each row."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, spans_of
+from caseloom.llm.common import bytes_of, small_batches, spans_of
 from caseloom.llm.training import held_out, sample_ids, sample_texts
 
 PER_CLASS = 1500
@@ -187,6 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """The documents' columns with ``quality_score``; texts are read whole."""
+    small_batches(docs.sparkSession)
     names = docs.columns
     if "quality_score" in names:
         docs, names = docs.drop("quality_score"), [c for c in names if c != "quality_score"]
