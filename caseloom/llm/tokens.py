@@ -14,6 +14,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, id_column, int_column, plan_bytes, run_dir, shuffle_partitions, spans_of
+from caseloom.llm.common import bytes_of, id_column, int_column, plan_bytes, run_dir, shuffle_partitions, small_batches, spans_of
 from caseloom.llm.hashing import Prefix
 
 END_ID = 0
@@ -93,17 +94,23 @@ def rule_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
     return out[first_symbol:]
 
 
-_BASIC: list[bytes] = []
-
-
 def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndarray:
     """The ids that symbols stand for; rules are spelt out once, in their order."""
-    if len(_BASIC) < first_symbol:
-        _BASIC[:] = [struct.pack("<I", i) for i in range(first_symbol)]
-    spelt = _BASIC[:first_symbol]
+    spelt: list[list[int]] = []
     for a, b in rules.tolist():
-        spelt.append(spelt[a] + spelt[b])
-    return np.frombuffer(b"".join(map(spelt.__getitem__, symbols.tolist())), "<u4")
+        left = [a] if a < first_symbol else spelt[a - first_symbol]
+        spelt.append(left + ([b] if b < first_symbol else spelt[b - first_symbol]))
+    size = np.ones(first_symbol + len(spelt), np.int32)
+    size[first_symbol:] = [len(x) for x in spelt]
+    begin = np.cumsum(size) - size
+    flat = np.concatenate((np.arange(first_symbol, dtype=np.uint32), np.array([i for x in spelt for i in x], np.uint32)))
+    n = size[symbols]
+    end = np.cumsum(n)
+    if not len(end):
+        return np.zeros(0, np.uint32)
+    at = np.repeat((begin[symbols] - (end - n)).astype(np.int32), n)
+    at += np.arange(end[-1], dtype=np.int32)
+    return flat[at]
 
 
 def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, first_symbol: int) -> bytes:
@@ -202,6 +209,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # one task has one core: threads of the library's own would only spin
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
@@ -360,6 +369,7 @@ def _writer(path: str, shard_tokens: int):
 
 def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, partition_bytes: int = 8 << 20) -> None:
     """Writes the table of shards (``SHARD_SCHEMA``) of all documents under ``out``, in doc_id order."""
+    small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     n = max(shuffle_partitions(docs.sparkSession), -(-plan_bytes(base) // partition_bytes))
     ranged = base.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
