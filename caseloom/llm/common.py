@@ -12,8 +12,10 @@ same in each step, so Spark reuses it.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import inspect
 import math
-import os
 import tempfile
 import uuid
 
@@ -158,5 +160,42 @@ def id_column(ids: np.ndarray) -> pa.Array:
     return pa.array(ids, pa.int64(), mask=ids == NULL_ID)
 
 
-def local_tmp() -> str:
-    return os.environ.get("TMPDIR", tempfile.gettempdir())
+def _give_back() -> None:
+    """Hands freed memory to the system: Spark keeps workers, and theirs counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(work):
+    """A function over batches or groups that gives its freed memory back when it is done."""
+    if inspect.isgeneratorfunction(work):
+
+        @functools.wraps(work)
+        def run(batches):
+            try:
+                yield from work(batches)
+            finally:
+                _give_back()
+
+    elif len(inspect.signature(work).parameters) == 1:
+
+        @functools.wraps(work)
+        def run(table):
+            try:
+                return work(table)
+            finally:
+                _give_back()
+
+    else:
+
+        @functools.wraps(work)
+        def run(key, left, right):
+            try:
+                return work(key, left, right)
+            finally:
+                _give_back()
+
+    return run

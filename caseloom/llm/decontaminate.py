@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, small_batches, spans_of
+from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
 from caseloom.llm.hashing import U, shingles, words
 
 WORDS = 5
@@ -114,6 +114,15 @@ def _chunks(benchmark: DataFrame) -> Iterator[Items]:
         yield Items([r.item_id for r in rows], [r.text for r in rows])
 
 
+def _on_items(work, shared):
+    """``work(items, batches)`` with the items taken from their broadcast on the worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(shared.value, batches)
+
+    return lean(run)
+
+
 def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) of each item that a document holds."""
     small_batches(docs.sparkSession)
@@ -122,8 +131,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _chunks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
+        def run(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 ids = b.column("doc_id")
                 data, off = bytes_of(b.column("text"))
@@ -136,7 +144,7 @@ def contained_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                             ["doc_id", "item_id", "n_shared", "n_item", "containment"],
                         )
 
-        part = base.mapInArrow(run, "doc_id long, item_id long, n_shared long, n_item long, containment double")
+        part = base.mapInArrow(_on_items(run, shared), "doc_id long, item_id long, n_shared long, n_item long, containment double")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -147,8 +155,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in _chunks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
+        def run(items: Items, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 data, off = bytes_of(b.column("text"))
                 keep = np.ones(b.num_rows, bool)
@@ -156,7 +163,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     keep[[i + r for r, *_ in items.find(data[off[i] : off[j]], off[i : j + 1] - off[i])]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(_on_items(run, shared), docs.schema)
     return docs
 
 

@@ -63,7 +63,7 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     home = run_dir(spark, "components")
     now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null and u <> v").mapInArrow(_contract, "u long, v long")
     before = None
-    for i in range(60):
+    for i in range(200):
         now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(f"{home}/{i}")
         now = spark.read.schema("u long, v long").parquet(f"{home}/{i}")
         mark = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -77,4 +77,6 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         now = small.filter("u <> v")
+    else:
+        raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -36,11 +36,15 @@ def _powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+#: Longest power tables that a worker keeps.
+MOST_KEPT = 1 << 21
 _KEPT: dict[str, np.ndarray] = {}
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, grown as needed and kept by the worker."""
+    if n > MOST_KEPT:
+        return _powers(_BASE, n), _powers(_INV, n)
     if "up" not in _KEPT or len(_KEPT["up"]) < n:
         size = max(n, 1 << 16)
         _KEPT["up"], _KEPT["down"] = _powers(_BASE, size), _powers(_INV, size)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, small_batches, spans_of
+from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
 from caseloom.llm.training import held_out, sample_ids, sample_texts
 
 ORDERS = 3
@@ -172,5 +172,5 @@ def language(docs: DataFrame, model: Bayes | None = None) -> DataFrame:
             k, p = bayes.predict(*bytes_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(names[k], pa.string()), pa.array(p, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(run), "doc_id long, lang_pred string, score double")
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

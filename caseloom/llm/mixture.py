@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import bytes_of, shared_dir, small_batches
+from caseloom.llm.common import bytes_of, lean, shared_dir, small_batches
 from caseloom.llm.hashing import words
 
 WEIGHTS = (3, 1, 2)
@@ -142,7 +142,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     """The documents that the mix takes, with their columns: once for each whole round, and the words of a stretch as one more."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    got = mixture(docs, tuple(names)).select("whole", "lo", "hi", "wrap", *[F.col(f"_c_{c}").alias(c) for c in names]).filter(F.col("whole") + F.greatest(F.col("hi") - F.col("lo"), F.lit(0)) + F.col("wrap") > 0)
+    got = mixture(docs, tuple(names)).select("taken", "whole", "lo", "hi", "wrap", *[F.col(f"_c_{c}").alias(c) for c in names]).filter("taken > 0").drop("taken")
     at, count = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,4 +169,4 @@ def mixed(docs: DataFrame) -> DataFrame:
                 new[count] = pa.array([len(t) for t in texts], new[count].type)
             yield pa.RecordBatch.from_arrays(new, names)
 
-    return got.mapInArrow(run, T.StructType(docs.schema.fields))
+    return got.mapInArrow(lean(run), T.StructType(docs.schema.fields))

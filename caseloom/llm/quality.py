@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, small_batches, spans_of
+from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
 from caseloom.llm.training import held_out, sample_ids, sample_texts
 
 PER_CLASS = 1500
@@ -198,7 +198,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, sharded
+from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, lean, sharded
 from caseloom.llm.hashing import U, mix, powers, words
 from caseloom.llm.suffix import bucket_of
 
@@ -174,6 +174,6 @@ def sentence_span_dedup(docs: DataFrame) -> DataFrame:
     texts, n_shards = sharded(docs)
     n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
-    told = by_shard.applyInArrow(_tell(n), "bucket int, shard int, blob binary")
-    said = told.groupBy("bucket").applyInArrow(_first_shard, "shard int, bucket int, blob binary")
-    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(_cut(n), _RESULT)
+    told = by_shard.applyInArrow(lean(_tell(n)), "bucket int, shard int, blob binary")
+    said = told.groupBy("bucket").applyInArrow(lean(_first_shard), "shard int, bucket int, blob binary")
+    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n)), _RESULT)

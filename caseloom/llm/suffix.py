@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, sharded, spans_of
+from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, lean, sharded, spans_of
 from caseloom.llm.hashing import Prefix, mix, window_min
 
 LENGTH = 100
@@ -490,9 +490,9 @@ def substring_dedup(docs: DataFrame, with_text: bool = False, hot_units: int = H
         return _rows(_MESSAGE, b, np.full(len(b), table["shard"][0].as_py()), blobs)
 
     by_shard = texts.groupBy("shard")
-    judged = by_shard.applyInArrow(tell, _MESSAGE).groupBy("bucket").applyInArrow(_judge(hot_units), _ANSWER)
-    shown = by_shard.cogroup(judged.groupBy("shard")).applyInArrow(_show(n_buckets), _MESSAGE)
-    found = shown.groupBy("bucket").applyInArrow(_find, _ANSWER)
+    judged = by_shard.applyInArrow(lean(tell), _MESSAGE).groupBy("bucket").applyInArrow(lean(_judge(hot_units)), _ANSWER)
+    shown = by_shard.cogroup(judged.groupBy("shard")).applyInArrow(lean(_show(n_buckets)), _MESSAGE)
+    found = shown.groupBy("bucket").applyInArrow(lean(_find), _ANSWER)
     answers = judged.unionByName(found)
     result = _RESULT + (", kept binary" if with_text else "")
-    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(_cut(n_buckets, with_text), result)
+    return by_shard.cogroup(answers.groupBy("shard")).applyInArrow(lean(_cut(n_buckets, with_text)), result)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, id_column, int_column, plan_bytes, run_dir, shuffle_partitions, small_batches, spans_of
+from caseloom.llm.common import bytes_of, id_column, int_column, lean, plan_bytes, run_dir, shuffle_partitions, small_batches, spans_of
 from caseloom.llm.hashing import Prefix
 
 END_ID = 0
@@ -35,7 +35,7 @@ RULES_A_ROUND = 1024
 ROUNDS = 6
 LEAST_COUNT = 24
 #: Chunks of text whose ids a worker keeps.
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 1_500_000
 MAGIC = b"CLTK1"
 
 
@@ -223,7 +223,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.hash = np.zeros(0, np.uint64)
-        self.begin, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.flat = np.zeros(0, np.uint16)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
@@ -292,8 +292,8 @@ class Encoder:
             if len(self.hash) + len(new) <= CACHE_ENTRIES:
                 where = np.searchsorted(self.hash, u[new])
                 self.hash = np.insert(self.hash, where, u[new])
-                self.begin = np.insert(self.begin, where, begin[new])
-                self.count = np.insert(self.count, where, c)
+                self.begin = np.insert(self.begin, where, begin[new].astype(np.int32))
+                self.count = np.insert(self.count, where, c.astype(np.int32))
                 self.flat = flat
         # a line end before a chunk is one more id
         c = count[inv]
@@ -351,7 +351,7 @@ def _writer(path: str, shard_tokens: int):
 
         for batch in batches:
             who, (data, off) = int_column(batch, "doc_id"), bytes_of(batch.column("text"))
-            for i, j in spans_of(off, 2 << 20):
+            for i, j in spans_of(off, 1 << 20):
                 got, count = enc.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 end = np.cumsum(count)
                 full = np.insert(got, end, END_ID)
@@ -373,7 +373,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, shard_toke
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     n = max(shuffle_partitions(docs.sparkSession), -(-plan_bytes(base) // partition_bytes))
     ranged = base.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
-    ranged.mapInArrow(_writer(tokenizer_path, shard_tokens), SHARD_SCHEMA).write.mode("overwrite").parquet(out)
+    ranged.mapInArrow(lean(_writer(tokenizer_path, shard_tokens)), SHARD_SCHEMA).write.mode("overwrite").parquet(out)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +400,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
     order = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    rows = shards.select("part", "before", "payload").mapInArrow(_reader, "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
+    rows = shards.select("part", "before", "payload").mapInArrow(lean(_reader), "doc_id long, part int, at long, n_tokens long, ids_crc32 long")
     return rows.join(parts, "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
