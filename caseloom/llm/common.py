@@ -24,7 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parquet bytes that a shard holds on average.
+#: Parquet bytes that a shard holds on average, unless the session sets ``spark.caseloom.shardBytes``.
+#: A shard is one Python group of some thirty times its text in memory at most; each shard writes to
+#: each bucket, so large corpora on large executors want larger shards.
 SHARD_BYTES = 4 << 20
 
 
@@ -77,8 +79,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shard_count(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> int:
+def shard_count(docs: DataFrame) -> int:
     spark = docs.sparkSession
+    shard_bytes = int(spark.conf.get("spark.caseloom.shardBytes", str(SHARD_BYTES)))
     return max(shuffle_partitions(spark), math.ceil(plan_bytes(docs) / shard_bytes))
 
 
@@ -87,10 +90,10 @@ def bucket_count(spark: SparkSession, n_shards: int) -> int:
     return max(shuffle_partitions(spark), n_shards // 4)
 
 
-def shard_bounds(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> list[int]:
+def shard_bounds(docs: DataFrame) -> list[int]:
     """Ids that part the documents into ranges of about equal counts."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(["text"] if "text" in docs.columns else []))
-    n = shard_count(base, shard_bytes)
+    n = shard_count(base)
     cuts = base.select("doc_id").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)
     return sorted({int(x) for x in cuts})
 
