@@ -37,9 +37,10 @@ from caseloom.llm.common import NULL_ID, run_dir
 from caseloom.llm.graph import connected_components, forest
 
 COSINE = 0.95
-BLOCKS = 4
-LEAF = 4096
-TILE = 2048
+BLOCKS = 8
+LEAF = 8192
+#: Homes and visitors of a tile; a leaf's visitors outnumber its homes.
+TILE = (8192, 16384)
 MOST_LEAVES = 4096
 SAMPLE = 20_000
 
@@ -232,7 +233,7 @@ def _join(shared, dim: int, cosine: float):
     return run
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF, tile: tuple[int, int] = TILE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row."""
     spark = vectors.sparkSession
     home = run_dir(spark, "neighbours")
@@ -251,7 +252,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, leaf: int = LEAF
         sample = np.array([r[0] for r in mine.orderBy(F.xxhash64("embedding"), "id").limit(SAMPLE).select("embedding").collect()], np.float64)
         shared = spark.sparkContext.broadcast({dim: Blocks(sample, n, cosine, leaf)})
         count = mine.mapInArrow(_count(shared, dim), "block int, leaf int, homes long, visitors long").groupBy("block", "leaf").agg(F.sum("homes").alias("h"), F.sum("visitors").alias("v"))
-        tiles = {(r.block, r.leaf): (max(1, -(-r.h // tile)), max(1, -(-r.v // tile))) for r in count.collect()}
+        tiles = {(r.block, r.leaf): (max(1, -(-r.h // tile[0])), max(1, -(-r.v // tile[1]))) for r in count.collect()}
         part = mine.mapInArrow(_deal(shared, dim, tiles), _TILE).groupBy("block", "leaf", "h", "v").applyInArrow(_join(shared, dim, cosine), _FOUND)
         found = part if found is None else found.unionByName(part)
     if found is None:

@@ -47,7 +47,7 @@ def vectors(seed, n=300, dim=16):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "leaf", "tile"), [(1, 4096, 2048), (2, 20, 7), (3, 60, 1000)])
+@pytest.mark.parametrize(("seed", "leaf", "tile"), [(1, 4096, (2048, 2048)), (2, 20, (7, 9)), (3, 60, (1000, 30))])
 def test_matches_brute_force(spark, seed, leaf, tile):
     rows = vectors(seed)
     rows += [(9001, None, 1), (9002, [], 1), (9003, [0.0] * 16, 1), (9004, [1.0, None] * 8, 1), (9005, [float("nan")] * 16, 1), (9006, [float("inf")] + [1.0] * 15, None), (9007, [1.0, 2.0, 3.0], 2), (9008, [2.0, 4.0, 6.0], 2), (9009, [0.5], 0)]
