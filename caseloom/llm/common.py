@@ -43,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of rows that Spark hands to Python at once; Spark's own 64 MB times copies and columns fill a small executor.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -178,8 +178,11 @@ def lean(work):
 
         @functools.wraps(work)
         def run(batches):
+            pa.set_memory_pool(pa.system_memory_pool())
             try:
-                yield from work(batches)
+                for out in work(batches):
+                    yield out
+                    _give_back()
             finally:
                 _give_back()
 
@@ -187,6 +190,7 @@ def lean(work):
 
         @functools.wraps(work)
         def run(table):
+            pa.set_memory_pool(pa.system_memory_pool())
             try:
                 return work(table)
             finally:
@@ -196,6 +200,7 @@ def lean(work):
 
         @functools.wraps(work)
         def run(key, left, right):
+            pa.set_memory_pool(pa.system_memory_pool())
             try:
                 return work(key, left, right)
             finally:

@@ -52,16 +52,18 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
 
-def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
+def connected_components(edges: DataFrame, u: str, v: str, contract: bool = True) -> DataFrame:
     """(id, component): the smallest id that each id on an edge reaches.
 
-    Partitions first shrink to forests; then large-star and small-star rounds
+    Partitions first shrink to forests (``contract``: not where they come as such); then large-star and small-star rounds
     hang every node on its component's smallest one.  Each round is a written
     table, so a lost executor costs one round, and no group is held in memory.
     """
     spark = edges.sparkSession
     home = run_dir(spark, "components")
-    now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null and u <> v").mapInArrow(_contract, "u long, v long")
+    now = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).filter("u is not null and v is not null and u <> v")
+    if contract:
+        now = now.mapInArrow(_contract, "u long, v long")
     before = None
     for i in range(200):
         now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().write.parquet(f"{home}/{i}")

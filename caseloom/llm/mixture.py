@@ -24,7 +24,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,11 +88,11 @@ def word_count(text="text"):
 
 
 def _quotas(n_blocks_of: dict[int, int]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("shard")
-        avail = pdf["avail"].to_numpy(np.int64)
-        got = sainte_lague(avail, n_blocks_of[int(pdf["sid"].iloc[0])], -(-MOST * avail // BLOCK))
-        return pdf.assign(quota=got)[["sid", "shard", "avail", "quota"]]
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard").select(["sid", "shard", "avail"])
+        avail = table["avail"].to_numpy()
+        got = sainte_lague(avail, n_blocks_of[table["sid"][0].as_py()], -(-MOST * avail // BLOCK))
+        return table.append_column("quota", pa.array(got, pa.int64()))
 
     return run
 
@@ -117,7 +116,7 @@ def mixture(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     named = rows.withColumnRenamed("source", "_source").join(F.broadcast(info) if len(found) <= 10_000 else info, F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
     dealt = named.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n_shards)).cast("int"))
     quota = (
-        dealt.groupBy("sid", "shard").agg(F.sum("size").alias("avail")).groupBy("sid").applyInPandas(_quotas({i: int(b) for i, b in enumerate(blocks)}), "sid int, shard int, avail long, quota long")
+        dealt.groupBy("sid", "shard").agg(F.sum("size").alias("avail")).groupBy("sid").applyInArrow(_quotas({i: int(b) for i, b in enumerate(blocks)}), "sid int, shard int, avail long, quota long")
     )
     order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quota, ["sid", "shard"])

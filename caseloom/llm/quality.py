@@ -93,11 +93,11 @@ class Network:
         if self.constant is not None:
             return np.full(n, self.constant)
         out = np.empty(n)
-        for i, j in spans_of(off, 1 << 20):
+        for i, j in spans_of(off, 1 << 19):
             sym, begin = symbols(data[off[i] : off[j]], off[i : j + 1] - off[i])
             best = np.full((j - i, FILTERS), -np.inf, np.float32)
             # a long text is read in pieces that share one half
-            step = 1 << 17
+            step = 1 << 16
             for a in range(0, begin[-1] - 1, step):
                 b = min(a + step + 1, int(begin[-1]))
                 v = self.chunks(sym[a * HALF : b * HALF])

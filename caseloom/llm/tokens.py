@@ -35,7 +35,7 @@ RULES_A_ROUND = 1024
 ROUNDS = 6
 LEAST_COUNT = 24
 #: Chunks of text whose ids a worker keeps.
-CACHE_ENTRIES = 1_500_000
+CACHE_ENTRIES = 1_000_000
 MAGIC = b"CLTK1"
 
 
