@@ -57,7 +57,10 @@ def totals(df: DataFrame, where: Column, page: int, limit: int) -> DataFrame:
 
 @dataclass(frozen=True)
 class Listing:
-    """A list endpoint: what it searches, filters and sorts by, and how its pages count."""
+    """A list endpoint: what it searches, filters and sorts by, and how its pages count.
+
+    Unknown filters are refused, or dropped where ``lenient_filters`` says so.
+    """
 
     searched: tuple[str, ...]
     filters: dict[str, str]
@@ -65,17 +68,18 @@ class Listing:
     first_page: int = 1
     owner: str | None = "user_id"
     deleted: str | None = "strict"
+    lenient_filters: bool = False
 
     def where(self, owner: object = None, **given: object) -> Column:
         """Owner first, then the delete flag, each given filter, and the search."""
         unknown = set(given) - set(self.filters) - {"search"}
-        if unknown:
+        if unknown and not self.lenient_filters:
             raise ValueError(f"no filter {sorted(unknown)}")
         guard = {"strict": not_deleted, "lenient": not_deleted_or_unknown}.get(self.deleted or "")
         return all_of(
             owned_by(owner, self.owner) if self.owner and owner is not None else None,
             guard() if guard else None,
-            *[equals(self.filters[k], v) for k, v in given.items() if k != "search"],
+            *[equals(self.filters[k], v) for k, v in given.items() if k in self.filters],
             search(given.get("search"), *self.searched),
         )
 
@@ -101,7 +105,7 @@ def listing(table: str, variant: str = "page") -> Listing:
         return Listing(("file_name", "hospital_name", "doctor_name", "remarks", "document_type"), _documents_filter(), Sorts(sorts, descending=False), deleted="lenient")
     if table == "medications":
         sorts = {"createdAt": "created_at", "medicationName": "medication_name", "startDate": "start_date", "medicationType": enum("medication_type", "medication_type"), "frequency": enum("frequency_type", "frequency")}
-        return Listing(("medication_name", "prescribed_by", "notes", "medication_type", "frequency", "food_frequency"), {"medicationType": "medication_type", "frequency": "frequency", "foodFrequency": "food_frequency"}, Sorts(sorts))
+        return Listing(("medication_name", "prescribed_by", "notes", "medication_type", "frequency", "food_frequency"), {"medicationType": "medication_type", "frequency": "frequency", "foodFrequency": "food_frequency"}, Sorts(sorts), lenient_filters=True)
     if table == "notifications":
         return Listing(("title", "body"), {"userId": "user_id", "isRead": "is_read"}, Sorts({"createdAt": "created_at", "title": "title"}), first_page=0, owner=None, deleted=None)
     if table == "patients":

@@ -63,6 +63,10 @@ def member(field: str, enum: str) -> Rule:
     return Rule(field, "not one of the choices", ~F.col(field).isin(*ENUMS[enum]))
 
 
+def uuid(field: str) -> list[Rule]:
+    return [required(field), Rule(field, "not a UUID", ~F.col(field).rlike(UUID))]
+
+
 def password(field: str) -> list[Rule]:
     return text(field, 8, 64) + [Rule(field, f"no {what}", ~F.col(field).rlike(p)) for what, p in PASSWORD]
 
@@ -99,6 +103,20 @@ def medication_rules() -> list[Rule]:
     ]
 
 
+def auth_rules(kind: str) -> list[Rule]:
+    """Of the payloads login, refresh, email, verify and reset."""
+    mail = [required("email"), *text("email", 8, 255, EMAIL)]
+    if kind == "refresh":
+        return [required("refresh_token"), Rule("refresh_token", "empty", F.col("refresh_token") == "")]
+    if kind == "email":
+        return mail
+    if kind == "verify":
+        return [*mail, required("otp"), Rule("otp", "not six characters", F.length(F.trim("otp")) != 6)]
+    if kind in ("login", "reset"):
+        return [*mail, required("password"), *password("password"), *(session_rules() if kind == "login" else [])]
+    raise KeyError(kind)
+
+
 def notification_defaults(title: str, body: str) -> dict[str, Column]:
     return {"title": F.coalesce("title", F.lit(title)), "body": F.coalesce("body", F.lit(body))}
 

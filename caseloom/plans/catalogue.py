@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caseloom.functions import medication, scalar, text
-from caseloom.operators import listing, lookups, mutations, predicates, state, validate
+from caseloom.operators import listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.plans import ingest
 from caseloom.sources.schema import ordinal
 from caseloom.sources.tables import alive, scan
@@ -169,7 +169,13 @@ def active_sessions(spark, d):
 
 @query("SELECT c_custkey, c_name, c_nationkey FROM customer")
 def drop_columns(spark, d):
-    return scan(spark, d, "customer").drop("c_acctbal", "c_mktsegment", "password", "otp")
+    return scan(spark, d, "customer").drop("c_acctbal").transform(lambda df: projection.public_patient(df.withColumnRenamed("c_mktsegment", "password")))
+
+
+@query("SELECT c_custkey, '{\"data\":{\"name\":\"' || c_name || '\",\"nation\":' || c_nationkey || '},\"status\":{\"description\":\"found\",\"status\":\"SUCCESS\",\"statusCode\":200}}' AS answer FROM customer")
+def response_envelope(spark, d):
+    data = F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))
+    return scan(spark, d, "customer", "c_custkey", "c_name", "c_nationkey").select("c_custkey", projection.answer(data, F.lit("found")).alias("answer"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_name || ' ' || c_mktsegment END AS full_name FROM customer")

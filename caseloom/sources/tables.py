@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +47,12 @@ def blobs(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     return named.filter((F.col("length") <= MAX_UPLOAD_BYTES) & F.col("media_type").isNotNull())
 
 
+@lru_cache(maxsize=64)
+def template(spark: SparkSession, path: str) -> str:
+    """A template file, read once a session; for ``functions.text.render``."""
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def object_key(kind: Column, at: Column, name: Column) -> Column:
     """folder/milliseconds-name; null for an unknown upload kind."""
     folders = F.create_map(*[F.lit(x) for pair in FOLDERS.items() for x in pair])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import medication, scalar, text
-from caseloom.operators import listing, lookups, mutations, predicates, state, validate
+from caseloom.operators import listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.sources import schema, tables
 
 NTZ = dt.datetime(2026, 5, 14)
@@ -208,6 +208,32 @@ def test_validation_tells_issues_in_order(spark):
     assert validate.document_rules() and validate.notification_rules() and validate.session_rules()
 
 
+def test_auth_rules(spark):
+    row = [("ann@x.org", "Passw0rd!", "12345", "", "d" * 501, "nope")]
+    df = spark.createDataFrame(row, "email string, password string, otp string, refresh_token string, device_token string, id string")
+    want = {"email": [], "reset": [], "verify": ["otp"], "refresh": ["refresh_token"], "login": ["device_token"]}
+    for kind, fields in want.items():
+        assert [i.field for i in df.select(validate.issues(validate.auth_rules(kind))).first()[0]] == fields
+    assert [i.message for i in df.select(validate.issues(validate.uuid("id"))).first()[0]] == ["not a UUID"]
+    with pytest.raises(KeyError):
+        validate.auth_rules("other")
+
+
+def test_answers_and_templates(spark, tmp_path):
+    page = F.struct(F.lit(10).alias("pageLimit"))
+    got = one(spark, projection.answer(F.lit(None).cast("struct<a:int>"), F.lit('say "x"'), page=page))[0]
+    assert got == '{"data":{},"page":{"pageLimit":10},"status":{"description":"say \\"x\\"","status":"SUCCESS","statusCode":200}}'
+    df = spark.createDataFrame([("1", "p")], "id string, password string")
+    assert projection.public_patient(df).columns == ["id"]
+    (tmp_path / "t.html").write_text("Hi {{a}}\n")
+    assert tables.template(spark, str(tmp_path / "t.html")) == "Hi {{a}}\n"
+
+
+def test_lenient_list_drops_unknown_filters(spark):
+    df = spark.createDataFrame([("1", "u", False, "TABLET")], "id string, user_id string, soft_delete boolean, medication_type string")
+    assert df.filter(listing.listing("medications").where(owner="u", ongoing=True, medicationType="TABLET")).count() == 1
+
+
 def test_medication_rules(spark):
     t = [("08:00", "AM")]
     ddl = "medication_name string, medication_type string, dose_per_intake int, total_quantity int, frequency string, unit string, medication_times array<struct<time:string,period:string>>, best_taken array<string>, start_date date, end_date date, ongoing boolean"
