@@ -131,10 +131,10 @@ def sort_nulls_down(spark, d):
     return scan(spark, d, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", F.nullif("o_orderpriority", F.lit("1-URGENT")).alias("k")).orderBy(listing.order_key(F.col("k"), True), "o_orderkey").limit(40)
 
 
-@query("SELECT * FROM (SELECT o_orderkey, nullif(o_orderpriority, '5-LOW') AS k FROM orders WHERE o_custkey < 20) ORDER BY k ASC NULLS LAST, o_orderkey LIMIT 200")
+@query("SELECT * FROM (SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN o_orderpriority END AS k FROM orders) ORDER BY k ASC NULLS LAST, o_orderkey LIMIT 100 OFFSET 100")
 def sort_nulls_up(spark, d):
-    rows = scan(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_custkey").filter("o_custkey < 20").select("o_orderkey", F.nullif("o_orderpriority", F.lit("5-LOW")).alias("k"))
-    return rows.orderBy(listing.order_key(F.col("k"), False), "o_orderkey").limit(200)
+    rows = scan(spark, d, "orders", "o_orderkey", "o_orderpriority").select("o_orderkey", F.when(F.col("o_orderpriority") == "5-LOW", F.col("o_orderpriority")).alias("k"))
+    return listing.rows_of_page(rows, F.lit(True), [listing.order_key(F.col("k"), False), F.col("o_orderkey")], 2, 100)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE c_custkey = 42 LIMIT 1")
@@ -204,13 +204,13 @@ def badge_count_all(spark, d):
 
 
 @query(
-    f"SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, event_type AS title, coalesce(nullif(props, '{{\"k\": 1}}'), '') AS body, FALSE AS is_read, {_TS} AS created_at, {_TS} AS updated_at FROM events WHERE event_id < 100"
-    f" UNION ALL SELECT CAST(event_id + 1000000 AS VARCHAR), CAST(user_id AS VARCHAR), event_type, '', FALSE, {_TS}, {_TS} FROM events WHERE event_id < 20"
+    f"SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS user_id, event_type AS title, coalesce(nullif(props, '{{\"k\": 1}}'), '') AS body, FALSE AS is_read, {_TS} AS created_at, {_TS} AS updated_at FROM events"
+    f" UNION ALL SELECT 'new-' || event_id, CAST(user_id AS VARCHAR), event_type, '', FALSE, {_TS}, {_TS} FROM events WHERE event_type = 'signup'"
 )
 def insert_with_defaults(spark, d):
     e = scan(spark, d, "events", "event_id", "user_id", "event_type", "props")
-    stored = e.filter("event_id < 100").select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("title"), F.coalesce(F.nullif("props", F.lit('{"k": 1}')), F.lit("")).alias("body"))
-    new = e.filter("event_id < 20").select((F.col("event_id") + 1000000).alias("id"), "user_id", F.col("event_type").alias("title"), F.lit("").alias("body"))
+    stored = e.select(F.col("event_id").cast("string").alias("id"), F.col("user_id").cast("string").alias("user_id"), F.col("event_type").alias("title"), F.coalesce(F.nullif("props", F.lit('{"k": 1}')), F.lit("")).alias("body"))
+    new = e.filter("event_type = 'signup'").select(F.concat(F.lit("new-"), F.col("event_id").cast("string")).alias("id"), "user_id", F.col("event_type").alias("title"), F.lit("").alias("body"))
     base, _ = mutations.insert(spark.createDataFrame([], "id STRING, user_id STRING, title STRING, body STRING, data STRING, is_read BOOLEAN, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"), "notifications", stored, as_of())
     return mutations.insert(base, "notifications", new, as_of())[0].drop("data")
 
@@ -259,10 +259,10 @@ def lookup_owner_semi(spark, d):
     return lookups.owned(scan(spark, d, "lineitem", "l_orderkey", "l_linenumber"), claims, ["l_orderkey"])
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE c_custkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_mktsegment = c.c_mktsegment AND b.c_custkey < 4 AND b.c_custkey <> c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM customer b WHERE b.c_mktsegment = c.c_mktsegment AND b.c_acctbal > 9990 AND b.c_custkey <> c.c_custkey)")
 def uniqueness_anti(spark, d):
-    c = scan(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment")
-    return lookups.free_names(c.filter("c_custkey % 2 = 0"), c.filter("c_custkey < 4"), "c_mktsegment", "c_custkey").select("c_custkey", "c_name")
+    c = scan(spark, d, "customer", "c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    return lookups.free_names(c, c.filter("c_acctbal > 9990"), "c_mktsegment", "c_custkey").select("c_custkey", "c_name")
 
 
 @query(f"SELECT id, user_id, c_name AS patient_c_name FROM ({_SESSIONS}) JOIN customer ON c_custkey = user_id WHERE is_active AND NOT soft_delete AND refresh_token_expires_at > {_SESSION_TS}")
@@ -277,9 +277,9 @@ def session_gate_rejects(spark, d):
     return lookups.authorised(asked, _sessions(spark, d), F.lit("2024-01-20").cast("timestamp_ntz"))[1]
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_nationkey < 20)")
+@query("SELECT o_orderkey, o_custkey FROM orders o WHERE NOT EXISTS (SELECT 1 FROM customer c WHERE c.c_custkey = o.o_custkey AND c.c_mktsegment <> 'BUILDING')")
 def fk_orphans(spark, d):
-    parents = scan(spark, d, "customer", "c_custkey", "c_nationkey").filter("c_nationkey < 20")
+    parents = scan(spark, d, "customer", "c_custkey", "c_mktsegment").filter("c_mktsegment <> 'BUILDING'")
     return lookups.orphans(scan(spark, d, "orders", "o_orderkey", "o_custkey"), parents, "o_custkey", "c_custkey")
 
 
@@ -531,10 +531,10 @@ def liveness(spark, d):
 # --- ingestion ---------------------------------------------------------------
 
 
-@query("SELECT doc_id, 'graph' AS type, CAST(doc_id % 50 AS INT) AS x, CAST(100 - doc_id % 40 AS INT) AS y FROM documents WHERE doc_id % 200 >= 100")
+@query("SELECT doc_id, 'graph' AS type, CAST(n_chars AS INT) AS x, CAST(100 - doc_id AS INT) AS y FROM documents WHERE n_chars >= 100")
 def contour_points(spark, d):
-    c = F.array(F.struct(F.array(F.struct((F.col("doc_id") % 50).alias("x"), (F.col("doc_id") % 40).alias("y"))).alias("points"), (F.col("doc_id") % 200).alias("area")))
-    graphs = scan(spark, d, "documents", "doc_id").select("doc_id", F.explode(ingest.contour_points(c, F.lit(100))).alias("g"))
+    c = F.array(F.struct(F.array(F.struct(F.col("n_chars").alias("x"), F.col("doc_id").alias("y"))).alias("points"), F.col("n_chars").alias("area")))
+    graphs = scan(spark, d, "documents", "doc_id", "n_chars").select("doc_id", F.explode(ingest.contour_points(c, F.lit(100))).alias("g"))
     return graphs.select("doc_id", "g.type", F.explode("g.coordinates").alias("p")).select("doc_id", "type", "p.x", "p.y")
 
 
