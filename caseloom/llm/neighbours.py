@@ -201,15 +201,15 @@ def _join(shared, dim: int, cosine: float):
         hy, vy = blocks.turned(hx), blocks.turned(vx)
         cols, budget = blocks.cols[b], blocks.budget[b]
         hb, vb = hy[:, cols].astype(np.float32), vy[:, cols].astype(np.float32)
-        slack = budget + 1e-5
+        slack = np.float32(budget + 1e-5)
+        # 2 h.v - |h|^2 - |v|^2 + slack as one product, so that a block of the matrix is only written and compared
+        hb = np.concatenate((2 * hb, np.ones((len(hb), 1), np.float32), -(hb * hb).sum(1, keepdims=True)), 1)
+        vb = np.ascontiguousarray(np.concatenate((vb, slack - (vb * vb).sum(1, keepdims=True), np.ones((len(vb), 1), np.float32)), 1).T)
         links = np.zeros(len(hid), np.int64)
         us, vs = [], []
-        half = (vb * vb).sum(1) - np.float32(slack)
-        for a in range(0, len(hid), 256):
-            z = min(a + 256, len(hid))
-            near = 2 * (hb[a:z] @ vb.T) >= half[None, :] + (hb[a:z] * hb[a:z]).sum(1)[:, None]
-            i, j = np.nonzero(near)
-            i += a
+        for a in range(0, len(hid), 64):
+            near = np.flatnonzero((hb[a : a + 64] @ vb).ravel() >= 0)
+            i, j = near // len(vid) + a, near % len(vid)
             for s in range(0, len(i), 1 << 15):
                 p, q = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
                 ok = hid[p] != vid[q]
