@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 #: Parquet bytes that a shard holds on average, unless the session sets ``spark.caseloom.shardBytes``.
 #: A shard is one Python group of some thirty times its text in memory at most; each shard writes to
 #: each bucket, so large corpora on large executors want larger shards.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -139,6 +139,20 @@ def bytes_of(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
+def in_order(ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows by (doc_id, text)."""
+    order = np.argsort(ids, kind="stable")
+    tied = (ids[order][1:] == ids[order][:-1]).any()
+    if not tied and (order[1:] > order[:-1]).all():
+        return ids, data, off
+    raw = data.tobytes()
+    row = lambda i: raw[off[i] : off[i + 1]]
+    if tied:
+        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], row(i))))
+    size = np.diff(off)[order]
+    return ids[order], np.frombuffer(b"".join([row(i) for i in order.tolist()]), np.uint8), np.concatenate(([0], np.cumsum(size)))
+
+
 def spans_of(off: np.ndarray, limit: int):
     """Row ranges of about ``limit`` bytes; a longer row stands alone."""
     i, n = 0, len(off) - 1

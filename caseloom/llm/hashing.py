@@ -82,6 +82,8 @@ def window_min(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
+#: Bytes whose words are found in one piece.
+MOST_AT_ONCE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -93,6 +95,15 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
     if len(data) == 0:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(off), np.int64)
+    if len(data) > MOST_AT_ONCE and len(off) > 2:  # rows in pieces, so that the sums stay small
+        parts, cut = [], 0
+        while cut < len(off) - 1:
+            end = min(max(cut + 1, int(np.searchsorted(off, off[cut] + MOST_AT_ONCE, "right")) - 1), len(off) - 1)
+            h, s, e, at = words(data[off[cut] : off[end]], off[cut : end + 1] - off[cut], lower)
+            parts.append((h, s + off[cut], e + off[cut], np.diff(at)))
+            cut = end
+        h, s, e, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        return h, s, e, np.concatenate(([0], np.cumsum(n)))
     ink = ~_SPACE[data]
     edge = np.zeros(len(data) + 1, bool)  # a row's end parts words
     edge[off] = True

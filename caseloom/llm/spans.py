@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, lean, sharded
+from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int_column, lean, sharded
 from caseloom.llm.hashing import U, mix, powers, words
 from caseloom.llm.suffix import bucket_of
 
@@ -30,27 +30,13 @@ MIN_WORDS = 20
 LONG_WORDS = 40
 
 
-def in_order(ids: np.ndarray, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows by (doc_id, text)."""
-    order = np.argsort(ids, kind="stable")
-    if (ids[order][1:] == ids[order][:-1]).any():
-        raw = data.tobytes()
-        order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], raw[off[i] : off[i + 1]])))
-    if (order[1:] < order[:-1]).any():
-        size = np.diff(off)[order]
-        end = np.cumsum(size)
-        data = data[np.repeat(off[:-1][order] - (end - size), size) + np.arange(len(data))]
-        off = np.concatenate(([0], end))
-    return ids[order], data, off
-
-
 def sentences(data: np.ndarray, off: np.ndarray):
     """Of concatenated rows: where each sentence's words begin (with the end of all), its first byte and row; and the words' hashes."""
     h, s, e, at = words(data, off)
     if not len(s):
         z = np.zeros(0, np.int64)
         return np.zeros(1, np.int64), z, z, h
-    line = np.zeros(len(data) + 1, np.int64)
+    line = np.zeros(len(data) + 1, np.int32)
     np.cumsum(data == 10, out=line[1:])
     tail = data[e - 1]
     stop = (tail == 46) | (tail == 33) | (tail == 63)
@@ -158,13 +144,14 @@ def _cut(n_buckets: int):
         end = np.where(last, own.off[own.row + 1], nxt) if len(own.row) else nxt[:0]
         np.add.at(mark, own.start[g], 1)
         np.subtract.at(mark, end[g], 1)
-        kept = np.cumsum(mark[:-1]) == 0
-        total = np.concatenate(([0], np.cumsum(kept)))
+        kept = np.cumsum(mark[:-1], dtype=np.int32) == 0
+        total = np.zeros(len(kept) + 1, np.int32)
+        np.cumsum(kept, out=total[1:])
         left = total[own.off]
         data = own.data[kept].tobytes()
         parts = pa.array([data[a:b].decode() for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)], pa.string())
         count = lambda pick: np.bincount(own.row[pick], minlength=n)
-        return pa.table([id_column(own.ids), count(slice(None)), count(g), np.diff(own.off) - np.diff(left), parts], names=names)
+        return pa.table([id_column(own.ids), count(slice(None)), count(g), np.diff(own.off) - np.diff(left).astype(np.int64), parts], names=names)
 
     return run
 

@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from caseloom.llm.common import bucket_count, bytes_of, id_column, int_column, lean, sharded, spans_of
+from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int_column, lean, sharded, spans_of
 from caseloom.llm.hashing import Prefix, mix, window_min
 
 LENGTH = 100
@@ -225,19 +225,8 @@ class ShardUnits:
     """
 
     def __init__(self, table: pa.Table, n_buckets: int):
-        ids = int_column(table, "doc_id")
-        self.data, self.off = bytes_of(table["text"])
-        order = np.argsort(ids, kind="stable")
-        same = np.flatnonzero(ids[order][1:] == ids[order][:-1])
-        if len(same):  # ties: by text
-            raw = self.data.tobytes()
-            order = np.array(sorted(range(len(ids)), key=lambda i: (ids[i], raw[self.off[i] : self.off[i + 1]])))
-        if (order[1:] < order[:-1]).any():
-            size = np.diff(self.off)[order]
-            start = np.repeat(self.off[:-1][order] - (np.cumsum(size) - size), size)
-            self.data = self.data[np.arange(len(self.data)) + start]
-            self.off = np.concatenate(([0], np.cumsum(size)))
-        self.ids = ids[order]
+        data, off = bytes_of(table["text"])
+        self.ids, self.data, self.off = in_order(int_column(table, "doc_id"), data, off)
         self.s, self.e, self.anchor, unit, selfish = units(self.data, self.off)
         # one 64-bit name for the pair keeps the sort short
         bucket = bucket_of(self.anchor, n_buckets)
@@ -463,18 +452,21 @@ def _cut(n_buckets: int, with_text: bool):
                 at = own.s[np.frombuffer(blob, "<u4", m)] + np.frombuffer(blob, "<u4", m, 4 * m)
                 np.add.at(mark, at, 1)
                 np.subtract.at(mark, at + LENGTH, 1)
-        gone = np.cumsum(mark[:n]) > 0
+        gone = np.cumsum(mark[:n], dtype=np.int32) > 0
+        del mark
         off = own.off
-        total = np.concatenate(([0], np.cumsum(gone)))
+        total = np.zeros(n + 1, np.int32)
+        np.cumsum(gone, out=total[1:])
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         inner = off[:-1][np.diff(off) > 0]
         head[inner] = gone[inner]
-        spans = np.concatenate(([0], np.cumsum(head)))
+        spans = np.zeros(n + 1, np.int32)
+        np.cumsum(head, out=spans[1:])
         kept = own.data[~gone].tobytes()
         left = off - total[off]
         parts = [kept[a:b] for a, b in zip(left[:-1].tolist(), left[1:].tolist(), strict=True)]
-        cols = [id_column(own.ids), np.diff(off), np.diff(total[off]), np.diff(spans[off]), [hashlib.sha256(p).hexdigest() for p in parts]]
+        cols = [id_column(own.ids), np.diff(off), np.diff(total[off]).astype(np.int64), np.diff(spans[off]).astype(np.int64), [hashlib.sha256(p).hexdigest() for p in parts]]
         return _rows(kinds, *cols, *([parts] if with_text else []))
 
     return run
