@@ -185,7 +185,7 @@ def _units(data: np.ndarray, off: np.ndarray):
         s, e = s[order], e[order]
     anchor = low[s]
     # an anchor that occurs twice among a unit's bytes: windows may repeat inside it
-    hit = np.flatnonzero(h == anchor_at(low, s, e, len(h)))
+    hit = np.flatnonzero(h == anchor_at(low, len(h)))
     lo, hi = np.searchsorted(hit, s), np.searchsorted(hit, e + SPAN - 1)
     n = hi - lo  # at least the anchor itself
     end = np.cumsum(n)
@@ -206,7 +206,7 @@ def units(data: np.ndarray, off: np.ndarray):
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _units(data, off)
 
 
-def anchor_at(low: np.ndarray, s: np.ndarray, e: np.ndarray, n: int) -> np.ndarray:
+def anchor_at(low: np.ndarray, n: int) -> np.ndarray:
     """For each K-byte string, the smallest anchor of the windows over it: it is an anchor itself if it equals that."""
     full = np.full(n + SPAN - 1, np.iinfo(np.uint64).max, np.uint64)
     full[SPAN - 1 : SPAN - 1 + len(low)] = ~low
