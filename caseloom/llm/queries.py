@@ -70,9 +70,9 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from caseloom.llm.spans import sentence_span_dedup
+    from caseloom.llm.spans import PASSAGE, sentence_span_dedup
 
-    return sentence_span_dedup(table(spark, sf_dir, "documents"))
+    return sentence_span_dedup(table(spark, sf_dir, "documents"), PASSAGE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

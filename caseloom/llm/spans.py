@@ -10,6 +10,11 @@ by hash over all documents; all sentences of a run that also stands earlier
 them.  So any repeated passage of more than LONG_WORDS words of whole sentences
 holds a run.
 
+If ``passage`` is given, each stretch of so many words, begun at any word, is
+hashed as well and stands for the whole sentences in it.
+So every sentence that lies whole in a repeated passage of that many words goes,
+however short it is; a passage without a whole sentence loses nothing.
+
 Rows: null text counts as empty and loses nothing; of equal rows with one id
 the later of (doc_id, text) order loses its runs; null ids come first; an empty
 table gives no rows; other columns are ignored.
@@ -28,6 +33,8 @@ from caseloom.llm.suffix import bucket_of
 MIN_SENTENCES = 2
 MIN_WORDS = 20
 LONG_WORDS = 40
+#: "Over 50 words".
+PASSAGE = 51
 
 
 def sentences(data: np.ndarray, off: np.ndarray):
@@ -66,8 +73,25 @@ def runs(word_at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs // (n + 1), pairs % (n + 1)
 
 
+def passages(word_at: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, first whole sentence, last + 1) of all stretches of so many words in a row, by first word.
+
+    Those without a whole sentence count too: the same words may hold one in another row.
+    """
+    n = int(word_at[-1])
+    if n < length:
+        return (np.zeros(0, np.int64),) * 3
+    of = np.repeat(np.arange(len(row), dtype=np.int32), np.diff(word_at))
+    i, j = of[: n - length + 1], of[length - 1 :]
+    w = np.arange(len(i), dtype=np.int32)
+    a = i + (word_at[i] < w)
+    b = np.maximum(j + (word_at[j + 1] == w + length), a)
+    ok = row[i] == row[j]
+    return w[ok], a[ok], b[ok]
+
+
 class ShardSpans:
-    def __init__(self, table: pa.Table, n_buckets: int):
+    def __init__(self, table: pa.Table, n_buckets: int, passage: int | None = None):
         data, off = bytes_of(table["text"])
         self.ids, self.data, self.off = in_order(int_column(table, "doc_id"), data, off)
         word_at, self.start, self.row, h = sentences(self.data, self.off)
@@ -75,8 +99,11 @@ class ShardSpans:
         up, down = powers(len(h) + 1)
         sums = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * up[: len(h)], out=sums[1:])
-        s, e = word_at[self.a], word_at[self.b]
-        self.hash = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * U(0xD1342543DE82EF95))
+        self.hash = self._named(sums, down, word_at[self.a], word_at[self.b])
+        if passage:  # hashed apart, so that they meet one another only
+            w, a, b = passages(word_at, self.row, passage)
+            self.a, self.b = np.concatenate((self.a, a)), np.concatenate((self.b, b))
+            self.hash = np.concatenate((self.hash, mix(self._named(sums, down, w, w + passage) + U(1))))
         u, self.first, self.key = np.unique(self.hash, return_index=True, return_inverse=True)
         order = np.argsort(bucket_of(u, n_buckets), kind="stable")
         self.sent = u[order]
@@ -84,6 +111,10 @@ class ShardSpans:
         self.place = np.empty(len(u), np.int64)
         self.place[order] = np.arange(len(u))
 
+    @staticmethod
+    def _named(sums: np.ndarray, down: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * U(0xD1342543DE82EF95))
+
     def messages(self) -> tuple[np.ndarray, list[bytes]]:
         b, at = np.unique(self.bucket, return_index=True)
         at = np.append(at, len(self.bucket))
@@ -105,9 +136,9 @@ class ShardSpans:
         return np.cumsum(mark[:-1]) > 0
 
 
-def _tell(n_buckets: int):
+def _tell(n_buckets: int, passage: int | None):
     def run(table: pa.Table) -> pa.Table:
-        b, blobs = ShardSpans(table, n_buckets).messages()
+        b, blobs = ShardSpans(table, n_buckets, passage).messages()
         return pa.table([pa.array(b, pa.int32()), pa.array(np.full(len(b), table["shard"][0].as_py()), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "shard", "blob"])
 
     return run
@@ -129,12 +160,12 @@ def _first_shard(table: pa.Table) -> pa.Table:
 _RESULT = "doc_id long, n_sentences long, n_removed long, bytes_removed long, text string"
 
 
-def _cut(n_buckets: int):
+def _cut(n_buckets: int, passage: int | None):
     def run(key, texts: pa.Table, said: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _RESULT.split(", ")]
         if texts.num_rows == 0:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.string())], names=names)
-        own = ShardSpans(texts, n_buckets)
+        own = ShardSpans(texts, n_buckets, passage)
         gone = own.removed(said)
         n = len(own.ids)
         mark = np.zeros(len(own.data) + 1, np.int32)
@@ -156,11 +187,11 @@ def _cut(n_buckets: int):
     return run
 
 
-def sentence_span_dedup(docs: DataFrame) -> DataFrame:
+def sentence_span_dedup(docs: DataFrame, passage: int | None = None) -> DataFrame:
     """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept."""
     texts, n_shards = sharded(docs)
     n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
-    told = by_shard.applyInArrow(lean(_tell(n)), "bucket int, shard int, blob binary")
+    told = by_shard.applyInArrow(lean(_tell(n, passage)), "bucket int, shard int, blob binary")
     said = told.groupBy("bucket").applyInArrow(lean(_first_shard), "shard int, bucket int, blob binary")
-    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n)), _RESULT)
+    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, passage)), _RESULT)

@@ -211,6 +211,41 @@ def test_a_repeated_passage_goes_but_the_first(spark):
     assert spans.sentence_span_dedup(docs_frame(spark, [])).collect() == []
 
 
+def test_short_sentences_of_a_long_passage_go(spark):
+    rng = random.Random(9)
+    # begins and ends inside a sentence; its whole sentences hold 17 words, or are one of 30 words
+    two = f"{text_of(rng, 22)}. {text_of(rng, 8)}. {text_of(rng, 9)}. {text_of(rng, 20)}"
+    one = f"{text_of(rng, 11)}. {text_of(rng, 30)}. {text_of(rng, 10)}"
+    short = f"{text_of(rng, 10)}. {text_of(rng, 30)}. {text_of(rng, 10)}"
+    rows = [(i, f"{text_of(rng, 5)} {p} {text_of(rng, 5)}.") for i, p in enumerate([two, one, short] * 2)]
+    got = {r.doc_id: r for r in spans.sentence_span_dedup(docs_frame(spark, rows), spans.PASSAGE).collect()}
+    assert [got[i].n_removed for i in range(6)] == [0, 0, 0, 2, 1, 0]
+    cut = lambda t, a, z: ". ".join(t.split(". ")[:a] + t.split(". ")[z:])
+    assert got[3].text == cut(rows[3][1], 1, 3) and got[4].text == cut(rows[4][1], 1, 2)
+
+
+def test_all_whole_sentences_of_repeated_passages_go(spark):
+    rng = random.Random(10)
+    pool = text_of(rng, 3000).split()
+    pool = [w + "." if rng.random() < 0.06 else w for w in pool]
+    rows = []
+    for i in range(60):
+        at = [rng.randrange(len(pool) - 90) for _ in range(rng.randint(1, 4))]
+        rows.append((i, " ".join(" ".join([*pool[a : a + rng.randint(30, 90)], text_of(rng, rng.randint(1, 9))]) for a in at)))
+    seen, least = set(), {}
+    for d, t in rows:
+        w, repeated = t.split(), set()
+        for i in range(len(w) - spans.PASSAGE + 1):
+            name = tuple(w[i : i + spans.PASSAGE])
+            if name in seen:
+                repeated.add(i)
+            seen.add(name)
+        starts = [i for i in range(len(w)) if i == 0 or w[i - 1][-1] == "."] + [len(w)]
+        least[d] = sum(any(i <= a and z <= i + spans.PASSAGE for i in repeated) for a, z in zip(starts[:-1], starts[1:], strict=True))
+    got = {r.doc_id: r for r in spans.sentence_span_dedup(docs_frame(spark, rows), spans.PASSAGE).collect()}
+    assert sum(least.values()) > 50 and all(got[d].n_removed >= n for d, n in least.items())
+
+
 # --- pipeline ---
 
 
