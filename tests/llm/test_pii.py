@@ -78,6 +78,20 @@ def test_added_spans(spark, model):
     assert got[2].n_added == got[3].n_added == got[5].n_added == 0
 
 
+def test_cards_that_touch_other_digits(spark, model):
+    # base spans join the runs and drop them; of the runs themselves those that pass the check are cards
+    texts = ["eauenque de mentle 7536784127813050 4845168114407329 tre oile", "esanwh 2353820953013749 4550997810720808 thheed hand", "esanwh 2353820953013749 thheed 9807915762804490 hand", "pay 378282246310005 378282246310006 now"]
+    got = {r.doc_id: r for r in pii.personal_data(docs_frame(spark, enumerate(texts)), model).collect()}
+    assert [got[i].spans for i in range(4)] == ["card:19:35,card:36:52", "card:24:40", "", "card:4:19"]
+    assert [got[i].n_added for i in range(4)] == [2, 1, 0, 1] and all(t <= 1 for t in model.thresholds)
+
+
+def test_a_kind_without_threshold_is_said():
+    x = np.zeros((300, len(pii.FEATURES)))
+    with pytest.warns(UserWarning, match="no threshold for email"):
+        assert pii.boost(x, np.arange(300) % 2 * 1.0).thresholds[0] == 2.0
+
+
 def test_trees_tell_unseen_sentences_apart(spark, model):
     from pyspark.sql import functions as F
 
