@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def sample_ids(rows: DataFrame, label: str, per_class: int, max_classes: int) ->
 
 
 def sample_texts(docs: DataFrame, picked: list[tuple], max_bytes: int) -> list[tuple[int, str, object]]:
-    """(doc_id, text, label) of the picked ids, in a fixed order, whole texts until ``max_bytes`` is reached."""
+    """(doc_id, text, label) of the picked ids, in a fixed order: whole texts, each that still fits into ``max_bytes``."""
     if not picked:
         return []
     spark = docs.sparkSession
@@ -35,15 +37,15 @@ def sample_texts(docs: DataFrame, picked: list[tuple], max_bytes: int) -> list[t
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
     order = got.select("doc_id", "text", "label", F.xxhash64(F.lit(7), "doc_id").alias("h"), F.octet_length("text").alias("n"))
     # the bound on bytes is applied to lengths first, so that no more than max_bytes of text comes to the driver
-    sizes = sorted((r.h, r.doc_id, r.n) for r in order.select("h", "doc_id", "n").collect())
-    total, last = 0, None
-    for h, d, n in sizes:
-        total += n
-        if total > max_bytes:
-            break
-        last = (h, d)
-    if last is None:
+    sizes = Counter((r.h, r.doc_id, r.n) for r in order.select("h", "doc_id", "n").collect())
+    total, fits = 0, []
+    for (_, d, n), rows in sorted(sizes.items()):
+        if total + n * rows <= max_bytes:  # one that doesn't fit is passed over
+            total += n * rows
+            fits.append((d, n))
+    if not fits:
         return []
-    kept = order.filter((F.col("h") < last[0]) | ((F.col("h") == last[0]) & (F.col("doc_id") <= last[1])))
+    fit = spark.createDataFrame(fits, "doc_id long, n int")
+    kept = order.join(F.broadcast(fit), ["doc_id", "n"], "left_semi")
     rows = sorted(((r.h, r.doc_id, r.text, r.label) for r in kept.select("h", "doc_id", "text", "label").collect()), key=lambda r: r[:3])
     return [(d, t, y) for _, d, t, y in rows]

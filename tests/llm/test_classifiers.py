@@ -91,6 +91,16 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_sample_passes_over_texts_that_do_not_fit(spark):
+    from caseloom.llm.training import sample_texts
+
+    for long in range(6):  # whichever comes first by hash
+        docs = docs_frame(spark, [(i, "x" * (100 if i == long else 10)) for i in range(6)] + [(9, None)])
+        got = sample_texts(docs, [(i, "aa") for i in (*range(6), 9)], 50)
+        assert sorted(d for d, _, _ in got) == [i for i in (*range(6), 9) if i != long]
+        assert sum(len(t) for _, t, _ in got) == 50
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.language(df).collect()] == [("und", 0.0)]
