@@ -1,6 +1,8 @@
-"""Substring deduplication by longest-previous-factor arrays.
+"""Substring deduplication: bytes whose longest previous factor reaches ``LENGTH``.
 
-``suffix_array`` sorts suffixes by prefix doubling; ``lpf`` walks it with the
+The distributed operator holds no LPF array: LPF >= LENGTH where an equal window
+of LENGTH bytes starts earlier, so ranks of windows and hashes decide.  The
+arrays are for the tests: ``suffix_array`` sorts suffixes by prefix doubling; ``lpf`` walks it with the
 previous and next smaller positions in suffix order: the longest factor that
 also starts earlier begins at one of these two.
 
@@ -15,7 +17,7 @@ document, earlier).  No suffix array of the corpus is built:
    and which anchors have several units: only there can windows of different
    units be equal.
 3. First copies of such units go, with their bytes, to a bucket of their
-   anchor, where an LPF array over the sorted windows finds windows that start
+   anchor, where equal neighbours among the ranked windows show those that start
    earlier.  Anchors with many units ("hot") send window hashes instead, which
    spread over all buckets, so no bucket holds more of them than of others.
 
