@@ -3,7 +3,7 @@
 ``write_token_files`` range-partitions documents by ``doc_id``, encodes each
 whole text, appends id 0, and compresses runs of documents ("shards" of about
 ``SHARD_TOKENS`` ids) by Re-Pair: rounds replace the most frequent adjacent
-pairs by new symbols until none is frequent.  A shard stores its rules, the
+pairs by new symbols until none is frequent, ``ROUNDS`` at most.  A shard stores its rules, the
 expansion length of every rule, the final symbols and the token count of each
 document, so that ``decode_range`` reads any slice without the rest.
 
