@@ -1,19 +1,20 @@
-"""Numpy hashing of byte ranges: prefix sums modulo 2**64, words and shingles."""
+"""Numpy hashing of byte ranges: words, shingles, runs and windows.
 
-from __future__ import annotations
+No hash here is a polynomial: bytes are read eight at a time and each block goes
+through ``mix`` with its place before blocks are added, so that strings built
+from few pieces in many orders don't meet, as they do modulo 2**64.
+"""
 
-from functools import lru_cache
+from __future__ import annotations
 
 import numpy as np
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=1)
-def _table() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * U(0xD6E8FEB86659FD93))
+#: Bytes whose words are found in one piece.
+MOST_AT_ONCE = 1 << 19
+_PLACE = 0x9E3779B97F4A7C15
+_LENGTH = U(0xA0761D6478BD642F)
+_SEEDS = [U((x * 0xE7037ED1A0B428DB) & (2**64 - 1)) for x in range(4)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -25,50 +26,67 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:
-        m = min(done, n - done)
-        out[done : done + m] = out[:m] * U(pow(base, done, 1 << 64))
-        done += m
-    return out
-
-
-#: Longest power tables that a worker keeps.
-MOST_KEPT = 1 << 21
-_KEPT: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, grown as needed and kept by the worker."""
-    if n > MOST_KEPT:
-        return _powers(_BASE, n), _powers(_INV, n)
-    if "up" not in _KEPT or len(_KEPT["up"]) < n:
-        size = max(n, 1 << 16)
-        _KEPT["up"], _KEPT["down"] = _powers(_BASE, size), _powers(_INV, size)
-    return _KEPT["up"], _KEPT["down"]
-
-
-class Prefix:
-    """Hashes of any byte range of ``data`` in constant time each."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash for two hashes in their order."""
+    x = a * U(0xD1342543DE82EF95)
+    x += b
+    x ^= x >> U(32)
+    x *= U(0xAF251AF3B0F025B5)
+    x ^= x >> U(29)
+    return x
 
-    def __init__(self, data: np.ndarray):
-        up, self.down = powers(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_table()[data] * up[: len(data)], out=self.sums[1:])
 
-    def raw(self, start, end) -> np.ndarray:
-        return (self.sums[end] - self.sums[start]) * self.down[start]
+def eights(data: np.ndarray) -> np.ndarray:
+    """At each place, that byte and the seven after it as one number; past the end come zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def blocks_of(s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Blocks of eight bytes of each range: where each begins, its place in the range, the mask of its bytes, and where each range's blocks begin."""
+    n = e - s
+    count = np.maximum((n + 7) >> 3, 1)
+    begin = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begin, count)
+    mask = np.full(len(place), ~U(0))
+    last = begin + count - 1
+    left = (8 * count - n).astype(np.uint64)
+    mask[last] = np.where(left < U(8), ~U(0) >> (U(8) * np.minimum(left, U(7))), U(0))
+    return np.repeat(s, count) + 8 * place, place, mask, begin
+
+
+def ranges(data: np.ndarray, s: np.ndarray, e: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Of each byte range data[s:e]."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    at, place, mask, begin = blocks_of(s, e)
+    # take copies its whole source, which pays for short ones alone
+    x = np.take(eights(data), at) if len(data) <= MOST_AT_ONCE else eights(data)[at]
+    x &= mask
+    return sums(x, place, begin, e - s, seed)
+
+
+def sums(x: np.ndarray, place: np.ndarray, begin: np.ndarray, length: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Of each run of numbers: x[begin[i]] and so on, each with its place in the run."""
+    x = mix(x ^ _SEEDS[seed])
+    x += (place.astype(np.uint64) + U(1)) * U(_PLACE)
+    return mix(np.add.reduceat(mix(x), begin) + length.astype(np.uint64) * _LENGTH)
+
+
+def windows(x: np.ndarray, k: int, have: int = 1) -> np.ndarray:
+    """Of each run of k elements, where x[i] is the hash of ``have`` of them from i on; by doubling, the last step overlaps."""
+    while have * 2 <= k:
+        x = joined(x[:-have], x[have:])
+        have *= 2
+    if rest := k - have:
+        x = joined(x[: max(0, len(x) - rest)], x[rest:])
+    return x
 
-    def fixed(self, k: int) -> np.ndarray:
-        """Of each range of k bytes."""
-        n = len(self.sums) - k
-        return mix((self.sums[k:] - self.sums[:n]) * self.down[:n])
 
-    def ranges(self, start, end) -> np.ndarray:
-        return mix(self.raw(start, end) + (np.asarray(end) - np.asarray(start)).astype(np.uint64) * U(0xA0761D6478BD642F))
+def fixed(data: np.ndarray, k: int) -> np.ndarray:
+    """Of each range of k bytes; k is 8 or more."""
+    return windows(mix(eights(data)[: max(0, len(data) - 7)]), k, 8)
 
 
 def window_min(a: np.ndarray, width: int) -> np.ndarray:
@@ -82,8 +100,6 @@ def window_min(a: np.ndarray, width: int) -> np.ndarray:
     return a
 
 
-#: Bytes whose words are found in one piece.
-MOST_AT_ONCE = 1 << 19
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -113,7 +129,7 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = True):
     last[:-1] &= ~ink[1:] | edge[1 : len(data)]
     s = np.flatnonzero(first)
     e = np.flatnonzero(last) + 1
-    h = Prefix(_LOWER[data] if lower else data).ranges(s, e)
+    h = ranges(_LOWER[data] if lower else data, s, e)
     return h, s, e, np.searchsorted(s, off)
 
 

@@ -1,25 +1,25 @@
-"""Substring deduplication: bytes whose longest previous factor reaches ``LENGTH``.
+"""Substring deduplication by longest-previous-factor arrays.
 
-The distributed operator holds no LPF array: LPF >= LENGTH where an equal window
-of LENGTH bytes starts earlier, so ranks of windows and hashes decide.  The
-arrays are for the tests: ``suffix_array`` sorts suffixes by prefix doubling; ``lpf`` walks it with the
-previous and next smaller positions in suffix order: the longest factor that
+Removes every byte that lies in a string of ``LENGTH`` bytes which also starts
+earlier (smaller doc_id, or the same document, earlier): those begin where the
+longest previous factor (LPF) reaches LENGTH.  ``lpf`` finds it from the
+previous and next smaller positions in suffix order, as the longest factor that
 also starts earlier begins at one of these two.
 
-The distributed operator removes every byte that lies in a string of
-``LENGTH`` bytes which also starts earlier (smaller doc_id, or the same
-document, earlier).  No suffix array of the corpus is built:
+No suffix array of the whole corpus is built; it falls into parts that share
+nothing of LENGTH bytes:
 
 1. Windows of LENGTH bytes are grouped, by content alone, under the smallest
    hash of their K-byte strings; a unit is a run of windows under one such
-   anchor.  Shards send the distinct (anchor, unit) hashes to buckets.
+   anchor.  Shards send the distinct (anchor, unit) names to buckets.
 2. A bucket says which units an earlier shard has (all their windows repeat),
    and which anchors have several units: only there can windows of different
-   units be equal.
+   units be equal.  A name is 96 bits of hash, and the bucket's some more.
 3. First copies of such units go, with their bytes, to a bucket of their
-   anchor, where equal neighbours among the ranked windows show those that start
-   earlier.  Anchors with many units ("hot") send window hashes instead, which
-   spread over all buckets, so no bucket holds more of them than of others.
+   anchor, where suffixes are put in order, cut at LENGTH bytes, compared with
+   their neighbours byte by byte, and judged by their LPF.  Anchors with many
+   units ("hot") send names of windows (128 bits) instead, which spread over all
+   buckets, so no bucket holds more of them than of others.
 
 Rows: null text counts as empty; texts under LENGTH bytes lose nothing; equal
 rows are compared in (doc_id, text) order, so the later of two equal rows with
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int_column, lean, sharded, spans_of
-from caseloom.llm.hashing import Prefix, mix, window_min
+from caseloom.llm.hashing import eights, fixed, mix, ranges, sums, window_min
 
 LENGTH = 100
 K = 50
@@ -86,75 +86,52 @@ def ranks(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     return _rank((rank[starts] << U(32)) | rank[starts + length - have])
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    n = len(text)
-    if n == 0:
-        return np.zeros(0, np.int64)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64) + 1
-    have = 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - have)] = rank[have:]
-        key = rank * (n + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([1], (np.diff(key[order]) != 0).astype(np.int64)))
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(step)
-        if rank[order[-1]] == n or have >= n:
-            return order
-        have *= 2
-
-
-def lcp_array(text: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """lcp[i]: common prefix of suffixes sa[i - 1] and sa[i]; lcp[0] is 0."""
-    n = len(sa)
-    at = np.empty(n, np.int64)
-    at[sa] = np.arange(n)
-    out = np.zeros(n, np.int64)
-    h = 0
-    t = text.tolist()
-    for i in range(n):
-        if at[i]:
-            j = int(sa[at[i] - 1])
-            while i + h < n and j + h < n and t[i + h] == t[j + h]:
-                h += 1
-            out[at[i]] = h
-            h = max(0, h - 1)
-        else:
-            h = 0
+def common_prefix(codes: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that codes[a:] and codes[b:] share at their start, ``length`` at most (8 or more)."""
+    view = eights(codes)
+    out = np.full(len(a), length, np.int64)
+    left = np.arange(len(a))
+    for at in [*range(0, length - 7, 8), *([length - 8] if length % 8 else [])]:
+        x = view[a[left] + at] ^ view[b[left] + at]
+        here = np.flatnonzero(x)
+        low = x[here] & (~x[here] + U(1))  # lowest bit that differs: a power of two, exact as a float
+        out[left[here]] = at + (np.frexp(low.astype(np.float64))[1] - 1) // 8
+        left = left[x == 0]
     return out
 
 
+def _smaller_before(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the nearest one before it in suffix order that starts earlier in the text.
+
+    Every suffix points at a candidate before it, with the common prefix up to
+    there; one that starts later hands on its own.
+    """
+    start = np.append(sa, -1)  # past the first is nothing
+    to, common = np.arange(len(sa)) - 1, lcp.copy()
+    left = np.arange(len(sa))
+    while True:
+        left = left[start[to[left]] > sa[left]]
+        if not len(left):
+            return common
+        by = to[left]
+        common[left], to[left] = np.minimum(common[left], common[by]), to[by]
+
+
 def lpf(sa: np.ndarray, lcp: np.ndarray) -> np.ndarray:
-    """Longest previous factor of each position, from the previous and next smaller positions in suffix order."""
-    n = len(sa)
-    out = np.zeros(n, np.int64)
-    stack: list[tuple[int, int]] = []  # (position, lcp with the entry below)
-    for i in range(n + 1):
-        pos, common = (int(sa[i]), int(lcp[i])) if i < n else (-1, 0)
-        while stack and stack[-1][0] > pos:
-            p, below = stack.pop()
-            out[p] = max(below, common)
-            common = min(common, below)
-        if i < n:
-            stack.append((pos, common))
+    """Longest previous factor of each position; lcp[i] is the common prefix of suffixes sa[i - 1] and sa[i], lcp[0] is 0."""
+    out = np.zeros(len(sa), np.int64)
+    if len(sa):
+        after = np.append(0, lcp[:0:-1])
+        out[sa] = np.maximum(_smaller_before(sa, lcp), _smaller_before(sa[::-1], after)[::-1])
     return out
 
 
 def repeats(codes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Which starts have LPF >= length; starts are given in text order.
-
-    In the suffix order cut at ``length``, windows with a common prefix of that
-    length are neighbours in text order, so the previous smaller position is the
-    neighbour before, and it alone decides.
-    """
-    rank = ranks(codes, starts, length)
-    order = np.argsort(rank, kind="stable")
-    same = np.zeros(len(order), bool)  # lcp with the suffix before, cut at length
-    same[1:] = rank[order[1:]] == rank[order[:-1]]
-    out = np.zeros(len(order), bool)
-    out[order] = same
-    return out
+    """Which starts have LPF >= length among these starts, which are given in text order."""
+    order = np.argsort(ranks(codes, starts, length), kind="stable")
+    lcp = np.zeros(len(order), np.int64)
+    lcp[1:] = common_prefix(codes, starts[order[:-1]], starts[order[1:]], length)
+    return lpf(order, lcp) >= length
 
 
 # --- units -------------------------------------------------------------------
@@ -166,8 +143,7 @@ def _units(data: np.ndarray, off: np.ndarray):
     z = np.zeros(0, np.int64)
     if not len(long):
         return z, z, z.astype(np.uint64), z.astype(np.uint64), z.astype(bool)
-    prefix = Prefix(data)
-    h = prefix.fixed(K)
+    h = fixed(data, K)
     low = window_min(h, SPAN)  # of window j: smallest hash of its K-byte strings
     lo, hi = off[long], off[long + 1] - LENGTH + 1
     cut = np.flatnonzero(low[1:] != low[:-1]) + 1
@@ -193,7 +169,31 @@ def _units(data: np.ndarray, off: np.ndarray):
     end = np.cumsum(n)
     same = h[hit][np.repeat(lo - (end - n), n) + np.arange(end[-1])] == np.repeat(anchor, n)
     inside = np.add.reduceat(same, end - n, dtype=np.int64)
-    return s, e, anchor, prefix.ranges(s, e + LENGTH - 1), inside > 1
+    return s, e, anchor, _names(h, s, e + LENGTH - 1), inside > 1
+
+
+def _names(h: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Of byte ranges of K and more, from the hashes of their K-byte strings side by side and of their last one."""
+    count = (e - s) // K + 1
+    begin = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begin, count)
+    at = np.repeat(s, count) + K * place
+    at[begin + count - 1] = e - K
+    return sums(h[at], place, begin, e - s)
+
+
+def _window_names(data: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each window, straight from its bytes."""
+    parts = [[ranges(data, w[i : i + (1 << 15)], w[i : i + (1 << 15)] + LENGTH, seed) for i in range(0, len(w), 1 << 15)] for seed in (1, 2)]
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.uint64) for x in parts)
+
+
+def _firsts(*columns: np.ndarray) -> np.ndarray:
+    """Places of the first row of each distinct tuple, by tuple."""
+    order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([c[order[1:]] != c[order[:-1]] for c in columns])
+    return order[new]
 
 
 def units(data: np.ndarray, off: np.ndarray):
@@ -338,12 +338,12 @@ def _show(n_buckets: int):
         if len(hot):
             n = own.e[hot] - own.s[hot]
             w = np.repeat(own.s[hot] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            h = Prefix(own.data).ranges(w, w + LENGTH)
-            h, at = np.unique(h, return_index=True)  # first start of each in the shard
-            w = w[at]
+            h, g = _window_names(own.data, w)
+            at = _firsts(h, g)  # first start of each in the shard
+            h, g, w = h[at], g[at], w[at]
             for b, pick in _split(bucket_of(h, n_buckets), w):
                 buckets.append(b)
-                blobs.append(b"W" + h[pick].astype("<u8").tobytes() + w[pick].astype("<u4").tobytes())
+                blobs.append(b"W" + h[pick].astype("<u8").tobytes() + g[pick].astype("<u8").tobytes() + w[pick].astype("<u4").tobytes())
         return _rows(_MESSAGE, buckets, [shard] * len(buckets), blobs)
 
     return run
@@ -357,7 +357,7 @@ def _find(table: pa.Table) -> pa.Table:
     order = sorted(range(len(shard)), key=lambda i: shard[i])
     out_shard, out_blob, kinds = [], [], []
     unit, size, anchor, owner, text = [], [], [], [], []
-    hh, hw, hs = [], [], []
+    hh, hg, hw, hs = [], [], [], []
     for i in order:
         blob = blobs[i]
         if blob[:1] == b"C":
@@ -368,9 +368,10 @@ def _find(table: pa.Table) -> pa.Table:
             owner.append(np.full(n, shard[i]))
             text.append(blob[5 + 16 * n :])
         else:
-            n = (len(blob) - 1) // 12
+            n = (len(blob) - 1) // 20
             hh.append(np.frombuffer(blob, "<u8", n, 1))
-            hw.append(np.frombuffer(blob, "<u4", n, 1 + 8 * n))
+            hg.append(np.frombuffer(blob, "<u8", n, 1 + 8 * n))
+            hw.append(np.frombuffer(blob, "<u4", n, 1 + 16 * n))
             hs.append(np.full(n, shard[i]))
     if unit:
         unit, size, anchor, owner = np.concatenate(unit), np.concatenate(size).astype(np.int64), np.concatenate(anchor), np.concatenate(owner)
@@ -406,10 +407,9 @@ def _find(table: pa.Table) -> pa.Table:
             kinds.append(1)
             out_blob.append(unit[fu[mine]].astype("<u4").tobytes() + ff[mine].astype("<u4").tobytes())
     if hh:
-        h, w, s = np.concatenate(hh), np.concatenate(hw), np.concatenate(hs)
-        by = np.argsort(h, kind="stable")
-        again = np.zeros(len(h), bool)
-        again[by[1:]] = h[by][1:] == h[by][:-1]
+        h, g, w, s = np.concatenate(hh), np.concatenate(hg), np.concatenate(hw), np.concatenate(hs)
+        again = np.ones(len(h), bool)
+        again[_firsts(h, g)] = False
         for x in np.unique(s[again]):
             mine = again & (s == x)
             out_shard.append(int(x))
@@ -430,7 +430,8 @@ def _cut(n_buckets: int, with_text: bool):
         own = ShardUnits(texts, n_buckets)
         say, first = _asked(own, own.answers(said, 0))
         n = len(own.data)
-        mark = np.zeros(n + 1, np.int32)  # +1 where a removed stretch begins, -1 past its end
+        kind = np.int32 if n < 1 << 31 else np.int64
+        mark = np.zeros(n + 1, kind)  # +1 where a removed stretch begins, -1 past its end
         whole = np.flatnonzero((say == REPEAT) | ~first)
         np.add.at(mark, own.s[whole], 1)
         np.subtract.at(mark, own.e[whole] + LENGTH - 1, 1)
@@ -438,9 +439,8 @@ def _cut(n_buckets: int, with_text: bool):
         if len(hot):  # windows of hot units that occur earlier in this shard
             c = own.e[hot] - own.s[hot]
             w = np.repeat(own.s[hot] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-            h = Prefix(own.data).ranges(w, w + LENGTH)
             later = np.ones(len(w), bool)
-            later[np.unique(h, return_index=True)[1]] = False
+            later[_firsts(*_window_names(own.data, w))] = False
             np.add.at(mark, w[later], 1)
             np.subtract.at(mark, w[later] + LENGTH, 1)
             away = [np.frombuffer(b, "<u4") for k, b in zip(said["kind"].to_pylist(), said["blob"].to_pylist(), strict=True) if k == 2]
@@ -454,16 +454,16 @@ def _cut(n_buckets: int, with_text: bool):
                 at = own.s[np.frombuffer(blob, "<u4", m)] + np.frombuffer(blob, "<u4", m, 4 * m)
                 np.add.at(mark, at, 1)
                 np.subtract.at(mark, at + LENGTH, 1)
-        gone = np.cumsum(mark[:n], dtype=np.int32) > 0
+        gone = np.cumsum(mark[:n], dtype=kind) > 0
         del mark
         off = own.off
-        total = np.zeros(n + 1, np.int32)
+        total = np.zeros(n + 1, kind)
         np.cumsum(gone, out=total[1:])
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         inner = off[:-1][np.diff(off) > 0]
         head[inner] = gone[inner]
-        spans = np.zeros(n + 1, np.int32)
+        spans = np.zeros(n + 1, kind)
         np.cumsum(head, out=spans[1:])
         kept = own.data[~gone].tobytes()
         left = off - total[off]

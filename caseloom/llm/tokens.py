@@ -3,9 +3,10 @@
 ``write_token_files`` range-partitions documents by ``doc_id``, encodes each
 whole text, appends id 0, and compresses runs of documents ("shards" of about
 ``SHARD_TOKENS`` ids) by Re-Pair: rounds replace the most frequent adjacent
-pairs by new symbols until none is frequent, ``ROUNDS`` at most.  A shard stores its rules, the
-expansion length of every rule, the final symbols and the token count of each
-document, so that ``decode_range`` reads any slice without the rest.
+pairs by new symbols until no pair is left that stands ``LEAST_COUNT`` times.
+A shard stores its rules, the expansion length of every rule, the final symbols
+and the token count of each document, so that ``decode_range`` reads any slice
+without the rest.  Symbols take two bytes where ids and rules fit, else four.
 
 Order is (doc_id, text); null ids come first; null and empty texts hold the
 end id alone; rows with one id are kept apart.  An empty table gives no rows.
@@ -25,60 +26,59 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import bytes_of, id_column, int_column, lean, plan_bytes, run_dir, shuffle_partitions, small_batches, spans_of
-from caseloom.llm.hashing import Prefix
+from caseloom.llm.hashing import blocks_of, eights, sums
 
 END_ID = 0
 SHARD_TOKENS = 1 << 20
-#: Symbols stay below 2**16: 50,257 ids and at most so many rules.
-MAX_SYMBOL = 1 << 16
-RULES_A_ROUND = 1024
-ROUNDS = 6
+#: Pairs that one round replaces, the most frequent ones.
+RULES_A_ROUND = 1 << 14
+#: A pair that stands less often is not worth a rule.
 LEAST_COUNT = 24
 #: Chunks of text whose ids a worker keeps.
 CACHE_ENTRIES = 1_000_000
-MAGIC = b"CLTK1"
+MAGIC = b"CLTK2"
 
 
 # --- Re-Pair -----------------------------------------------------------------
 
 
-def repair(seq: np.ndarray, first_symbol: int, rounds: int = ROUNDS, least: int = LEAST_COUNT, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
+def repair(seq: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, per_round: int = RULES_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules): rules[i] is the pair that symbol first_symbol + i stands for."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
     nxt = first_symbol
-    for _ in range(rounds):
-        room = min(per_round, MAX_SYMBOL - nxt)
-        if len(seq) < 2 * least or room <= 0:
-            break
-        pair = (seq[:-1] << np.uint32(16)) | seq[1:]
+    while len(seq) > least:
+        kind, half = (np.uint32, 16) if nxt <= 1 << 16 else (np.uint64, 32)
+        pair = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
         order = np.sort(pair)
         cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         count = np.diff(np.append(cut, len(order)))
         good = np.flatnonzero(count >= least)
-        if not len(good):
-            break
-        if len(good) > room:
-            good = good[np.argsort(-count[good], kind="stable")[:room]]
+        if len(good) > per_round:
+            good = good[np.argsort(-count[good], kind="stable")[:per_round]]
         chosen = np.sort(order[cut[good]])
         # a small table rejects most positions before the binary search
         sieve = np.zeros(1 << 20, bool)
-        fold = lambda p: (p ^ (p >> np.uint32(13))) & np.uint32((1 << 20) - 1)
+        fold = lambda p: (p ^ (p >> kind(half - 3))) & kind((1 << 20) - 1)
         sieve[fold(chosen)] = True
         at = np.flatnonzero(sieve[fold(pair)])
         rule = np.searchsorted(chosen, pair[at])
         rule[rule == len(chosen)] = 0
-        hit = chosen[rule] == pair[at]
+        hit = chosen[rule] == pair[at] if len(chosen) else np.zeros(len(at), bool)
         at, rule = at[hit], rule[hit]
-        if not len(at):
-            break
         # in a run of overlapping pairs every other one is replaced, from the left
-        start = np.concatenate(([True], np.diff(at) != 1))
+        start = np.concatenate(([True], np.diff(at) != 1)) if len(at) else np.zeros(0, bool)
         head = np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - head) % 2 == 0
         at, rule = at[take], rule[take]
-        used, rule = np.unique(rule, return_inverse=True)
-        rules.append(np.stack([chosen[used] >> np.uint32(16), chosen[used] & np.uint32(0xFFFF)], 1))
+        # overlaps may have left a pair too few places
+        used = np.flatnonzero(np.bincount(rule, minlength=len(chosen)) >= max(2, least // 2))
+        if not len(used):
+            break
+        name = np.full(len(chosen), -1)
+        name[used] = np.arange(len(used))
+        at, rule = at[name[rule] >= 0], name[rule[name[rule] >= 0]]
+        rules.append(np.stack([chosen[used] >> kind(half), chosen[used] & kind((1 << half) - 1)], 1).astype(np.uint32))
         seq[at] = (nxt + rule).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
@@ -113,14 +113,17 @@ def expand(symbols: np.ndarray, rules: np.ndarray, first_symbol: int) -> np.ndar
     return flat[at]
 
 
+def _symbol_kind(n_symbols: int) -> str:
+    return "<u2" if n_symbols <= 1 << 16 else "<u4"
+
+
 def pack(ids: np.ndarray, doc_ids: np.ndarray, counts: np.ndarray, first_symbol: int) -> bytes:
     """One shard: header, document ids, token counts, rules, expansion lengths, symbols."""
     symbols, rules = repair(ids, first_symbol)
     lengths = rule_lengths(rules, first_symbol)
+    kind = _symbol_kind(first_symbol + len(rules))
     head = MAGIC + struct.pack("<IIIQQ", first_symbol, len(doc_ids), len(rules), len(symbols), len(ids))
-    return head + b"".join(
-        (doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), rules.astype("<u2").tobytes(), lengths.astype("<u4").tobytes(), symbols.astype("<u2").tobytes())
-    )
+    return head + b"".join((doc_ids.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), rules.astype(kind).tobytes(), lengths.astype("<u4").tobytes(), symbols.astype(kind).tobytes()))
 
 
 class Shard:
@@ -140,8 +143,9 @@ class Shard:
             return out
 
         self.doc_ids, self.counts = part("<i8", docs), part("<u4", docs).astype(np.int64)
-        self.rules, self.lengths = part("<u2", 2 * rules).reshape(-1, 2).astype(np.uint32), part("<u4", rules)
-        self.symbols = part("<u2", symbols)
+        kind = _symbol_kind(self.first + rules)
+        self.rules, self.lengths = part(kind, 2 * rules).reshape(-1, 2).astype(np.uint32), part("<u4", rules)
+        self.symbols = part(kind, symbols)
 
     def ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.first)
@@ -198,14 +202,17 @@ def _flat(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """ids of whole texts by the tokenizers library.
-
-    The vocabulary splits text before each blank that a non-blank follows and
-    around a single line end, so a text's ids are those of its blank-separated
-    chunks, one after the other.  Chunks (with the blank before them) are found
-    by hash; each distinct one is encoded once and its ids kept, up to
-    ``CACHE_ENTRIES`` for a worker.  Texts with other white space, or with
-    blanks that touch, are encoded as they are.
+    """ids of whole texts by the tokenizers library, as ``encode(text, add_special_tokens=False)`` gives them.
+
+    A vocabulary whose pre-tokenizer parts text before each blank that a
+    non-blank follows and around a single line end gives a text the ids of its
+    blank-separated chunks, one after the other; whether it does is read from
+    the loaded tokenizer.  Chunks (with the blank before them) are found by hash
+    and compared by their bytes; each distinct one is encoded once and its ids
+    kept, up to ``CACHE_ENTRIES`` for a worker.  Texts with other white space,
+    with blanks that touch, with a special token's string or with a chunk whose
+    hash is another's are encoded as they are, and so are all texts of any
+    other vocabulary.
     """
 
     def __init__(self, path: str):
@@ -214,8 +221,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
-        self.vocab = self.tok.get_vocab_size()
+        self.vocab = max(self.tok.get_vocab().values()) + 1
+        self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
+        #: strings that the library looks for before anything else
+        self.special = [x.content.encode() for x in self.tok.get_added_tokens_decoder().values()]
+        self.parts = _parts_at_blanks(self.tok)
         self.newline = self.raw(["\n"])[0]
         self.blank = np.zeros(self.vocab, bool)
         self.blank[[i for t, i in self.tok.get_vocab().items() if t.startswith("\u0120")]] = True
@@ -224,10 +234,13 @@ class Encoder:
     def clear(self) -> None:
         self.hash = np.zeros(0, np.uint64)
         self.begin, self.count = np.zeros(0, np.int32), np.zeros(0, np.int32)
-        self.flat = np.zeros(0, np.uint16)
+        self.flat = np.zeros(0, self.kind)
+        #: bytes of each kept chunk in blocks of eight: where they begin, and how many bytes
+        self.text_at, self.text_size = np.zeros(0, np.int32), np.zeros(0, np.int32)
+        self.text = np.zeros(0, np.uint64)
 
     def raw(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x.ids, np.uint16) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(x.ids, self.kind) for x in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, data: np.ndarray, h: np.ndarray, s: np.ndarray, e: np.ndarray, after_blank: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids of unseen chunks: (flat, begin, count). Those after a blank are encoded in long runs, parted where a token opens with a blank."""
@@ -253,12 +266,22 @@ class Encoder:
         flat += got
         begin = np.zeros(len(h), np.int64)
         begin[order] = np.cumsum(count[order]) - count[order]
-        return (np.concatenate(flat) if flat else np.zeros(0, np.uint16)), begin, count
+        return (np.concatenate(flat) if flat else np.zeros(0, self.kind)), begin, count
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ids of all rows, one after the other, and how many each row has."""
         n = len(off) - 1
-        odd = _odd(data, off) if len(data) else np.zeros(n, bool)
+        odd = np.ones(n, bool) if not self.parts else _odd(data, off) if len(data) else np.zeros(n, bool)
+        raw = data.tobytes()
+        for x in self.special:
+            at = raw.find(x)
+            while at >= 0:
+                odd[np.searchsorted(off, at, "right") - 1] = True
+                at = raw.find(x, at + 1)
+        return self._encode(data, off, odd)
+
+    def _encode(self, data: np.ndarray, off: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(off) - 1
         out = np.zeros(n, np.int64)
         part = (data == 32) | (data == 10)
         edge = np.zeros(len(data) + 1, bool)
@@ -276,44 +299,90 @@ class Encoder:
         sep = data[s - 1] if len(s) else np.zeros(0, np.uint8)
         tail = inner & (sep == 32)
         line = inner & (sep == 10)
-        h = Prefix(data).ranges(s, e) + tail.astype(np.uint64)
-        u, at, inv = np.unique(h, return_index=True, return_inverse=True)
+        size = (2 * (e - s) + tail).astype(np.int32)  # of a chunk, and whether a blank is before it
+        at, place, mask, block = blocks_of(s, e)
+        x = np.take(eights(data), at)
+        x &= mask
+        h = sums(x, place, block, size) if len(s) else np.zeros(0, np.uint64)
+        u, first_at, inv = np.unique(h, return_index=True, return_inverse=True)
         k = np.searchsorted(self.hash, u)
         k[k == len(self.hash)] = 0
         known = self.hash[k] == u if len(self.hash) else np.zeros(len(u), bool)
+        # a chunk is what its hash says only if its bytes are too
+        other = _differ(x, block, size, x, block[first_at][inv], size[first_at][inv], place)
+        if known.any():
+            rep = np.flatnonzero(known)
+            width = _blocks(size[first_at[rep]])
+            mine = _flat(block[first_at[rep]], width)
+            begin = np.cumsum(width) - width
+            wrong = np.zeros(len(u), bool)
+            wrong[rep] = _differ(x[mine], begin, size[first_at[rep]], self.text, self.text_at[k[rep]].astype(np.int64), self.text_size[k[rep]], place[mine])
+            other |= wrong[inv]
+        if other.any():
+            odd = odd.copy()
+            odd[row[other]] = True
+            return self._encode(data, off, odd)
         begin, count = np.zeros(len(u), np.int64), np.zeros(len(u), np.int64)
         begin[known], count[known] = self.begin[k[known]], self.count[k[known]]
         new = np.flatnonzero(~known)
         flat = self.flat
         if len(new):
-            got, b, c = self._learn(data, u[new], s[at[new]], e[at[new]], tail[at[new]])
+            f = first_at[new]
+            got, b, c = self._learn(data, u[new], s[f], e[f], tail[f])
             begin[new], count[new] = b + len(flat), c
             flat = np.concatenate((flat, got))
             if len(self.hash) + len(new) <= CACHE_ENTRIES:
                 where = np.searchsorted(self.hash, u[new])
+                width = _blocks(size[f])
                 self.hash = np.insert(self.hash, where, u[new])
                 self.begin = np.insert(self.begin, where, begin[new].astype(np.int32))
                 self.count = np.insert(self.count, where, c.astype(np.int32))
+                self.text_at = np.insert(self.text_at, where, (len(self.text) + np.cumsum(width) - width).astype(np.int32))
+                self.text_size = np.insert(self.text_size, where, size[f])
+                self.text = np.concatenate((self.text, x[_flat(block[f], width)]))
                 self.flat = flat
         # a line end before a chunk is one more id
         c = count[inv]
         size = c + line * len(self.newline)
         out += np.bincount(row, size, n).astype(np.int64)
-        ids = np.empty(int(size.sum()), np.uint16)
+        ids = np.empty(int(size.sum()), self.kind)
         end = np.cumsum(size)
         ids[_flat(end - c, c)] = flat[_flat(begin[inv], c)]
-        for i, x in enumerate(self.newline):
-            ids[(end - size)[line] + i] = x
+        for i, y in enumerate(self.newline):
+            ids[(end - size)[line] + i] = y
         if odd.any():
             rows = np.flatnonzero(odd)
             got = self.raw([data[off[r] : off[r + 1]].tobytes().decode() for r in rows])
             cut = np.concatenate(([0], np.cumsum(out)))
             mine = dict(zip(rows.tolist(), got, strict=True))
             ids = np.concatenate([mine[r] if r in mine else ids[cut[r] : cut[r + 1]] for r in range(n)])
-            out[rows] = [len(x) for x in got]
+            out[rows] = [len(y) for y in got]
         return ids, out
 
 
+def _blocks(size: np.ndarray) -> np.ndarray:
+    """Blocks of eight bytes of chunks of such ``size`` (twice their bytes, and the blank)."""
+    return np.maximum(((size >> 1) + 7) >> 3, 1).astype(np.int64)
+
+
+def _differ(x: np.ndarray, begin: np.ndarray, size: np.ndarray, y: np.ndarray, y_begin: np.ndarray, y_size: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Which ranges of blocks of x are not those of y; all blocks of x stand in order."""
+    if not len(begin):
+        return np.zeros(0, bool)
+    other = np.repeat(y_begin, np.diff(np.append(begin, len(x)))) + place
+    unlike = x != y[np.minimum(other, len(y) - 1)]
+    return np.logical_or.reduceat(unlike, begin) | (size != y_size)
+
+
+def _parts_at_blanks(tok) -> bool:
+    """Whether the tokenizer is byte-level BPE, parted by the usual pattern, without a normalizer or leading blank."""
+    import json
+
+    said = json.loads(tok.to_str())
+    pre = said.get("pre_tokenizer") or {}
+    return said.get("normalizer") is None and said["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", False)
+
+
 _ENCODERS: dict[str, Encoder] = {}
 
 

@@ -58,19 +58,30 @@ def test_kept_text_is_what_is_left(spark):
     assert bytes(got[2].kept) == b"tail" and bytes(got[1].kept).decode() == rows[0][1]
 
 
+def common(t, i, j):
+    k = 0
+    while i + k < len(t) and j + k < len(t) and t[j + k] == t[i + k]:
+        k += 1
+    return k
+
+
 def test_longest_previous_factor_arrays():
     rng = np.random.default_rng(3)
-    for n in (0, 1, 2, 30, 200):
-        text = rng.integers(0, 3, n)
-        sa = suffix.suffix_array(text)
-        t = text.tolist()
-        assert sa.tolist() == sorted(range(n), key=lambda i: t[i:])
-        got = suffix.lpf(sa, suffix.lcp_array(text, sa))
-
-        def common(i, j):
-            k = 0
-            while i + k < n and t[j + k] == t[i + k]:
-                k += 1
-            return k
-
-        assert got.tolist() == [max([0, *(common(i, j) for j in range(i))]) for i in range(n)]
+    for n in (0, 1, 2, 30, 200, 400):
+        t = rng.integers(0, 3 if n < 400 else 1, n).tolist()
+        sa = np.array(sorted(range(n), key=lambda i: t[i:]), np.int64)
+        lcp = np.array([common(t, sa[i - 1], sa[i]) if i else 0 for i in range(n)], np.int64)
+        assert suffix.lpf(sa, lcp).tolist() == [max([0, *(common(t, i, j) for j in range(i))]) for i in range(n)]
+
+
+def test_common_prefixes_and_repeats_of_starts():
+    rng = np.random.default_rng(4)
+    codes = np.concatenate([rng.integers(0, 2, 700), np.zeros(300), rng.integers(0, 2, 50), np.ones(20)]).astype(np.uint8)
+    t = codes.tolist()
+    for length in (8, 13, 24, 100):
+        starts = np.arange(len(codes) - length + 1)
+        a, b = rng.choice(starts, 300), rng.choice(starts, 300)
+        assert suffix.common_prefix(codes, a, b, length).tolist() == [min(length, common(t, i, j)) for i, j in zip(a, b, strict=True)]
+        some = np.sort(rng.choice(starts, min(250, len(starts)), replace=False))
+        got = suffix.repeats(codes, some, length)
+        assert got.tolist() == [any(t[i : i + length] == t[j : j + length] for j in some[:k]) for k, i in enumerate(some)]

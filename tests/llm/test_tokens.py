@@ -17,7 +17,6 @@ def reference(rows):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
     out, at = [], 0
     for d, t in order:
@@ -27,7 +26,7 @@ def reference(rows):
     return sorted(out, key=str)
 
 
-ODD = ["", " ", "a  b", "a\n\nb", " lead", "tail ", "x\ty z", "don't 've 's", "a\r\nb", "12 34 5.6", "\n", "a　 b", "é à\n\tq", "x  y", "\x1c a", "z\u0085y", "<|endoftext|> x", "日本 語\n中", "\U0001f600 a"]
+ODD = ["", " ", "a  b", "a\n\nb", " lead", "tail ", "x\ty z", "don't 've 's", "a\r\nb", "12 34 5.6", "\n", "a　 b", "é à\n\tq", "x  y", "\x1c a", "z\u0085y", "<|endoftext|> x", "a<|endoftext|>", "no <|endoftext|> here <|endoftext|><|endoftext|>", "<|endoftex",  "日本 語\n中", "\U0001f600 a"]
 
 
 def test_files_hold_the_ids_of_every_text(spark):
@@ -56,6 +55,31 @@ def test_cache_that_is_full_changes_nothing(monkeypatch):
         assert (got[0] == full[0]).all() and (got[1] == full[1]).all()
 
 
+def test_whole_table_is_what_the_library_gives(spark):
+    """Every text of a driver table, against the library itself."""
+    import os
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no driver tables")
+    df = spark.read.parquet(path)
+    assert rows_of(tokens.token_output(df, PATH)) == reference([(r.doc_id, r.text) for r in df.collect()])
+
+
+def test_no_pair_is_left_that_is_frequent():
+    rng = np.random.default_rng(9)
+    for first, ids in ((300, rng.zipf(1.3, 60_000) % 300), (70_000, np.repeat(rng.integers(0, 70_000, 40), 50)), (50257, np.full(5000, 7))):
+        symbols, rules = tokens.repair(ids.astype(np.uint32), first)
+        assert (tokens.expand(symbols, rules, first) == ids).all() and len(rules)
+        places, last = {}, {}
+        for i, p in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist(), strict=True)):
+            if last.get(p, -2) != i - 1:  # overlapping places count once
+                places[p], last[p] = places.get(p, 0) + 1, i
+        assert max(places.values(), default=0) < tokens.LEAST_COUNT
+        shard = tokens.Shard(tokens.pack(ids.astype(np.uint32), np.arange(1), np.array([len(ids)]), first))
+        assert (shard.ids() == ids).all() and shard.decode_range(10, 20).tolist() == ids[10:20].tolist()
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_repair_round_trip_and_ranges(seed):
     rng = np.random.default_rng(seed)
