@@ -1,19 +1,20 @@
 """Substring deduplication by sliding sentence spans.
 
 A text is parted into sentences: a sentence ends with ``.``, ``!`` or ``?``
-before white space, with a line end, or with the text.  From each sentence the
-shortest run forward, and to each the shortest run backward, of at least
-``MIN_SENTENCES`` sentences and ``MIN_WORDS`` words, or of ``LONG_WORDS``
-words, is hashed by its words (A-Z lower-cased, white space aside).  Runs meet
-by hash over all documents; all sentences of a run that also stands earlier
+before white space, with a line end, or with the text.  Every run of
+``SENTENCES`` consecutive sentences of a text, whatever its words, is hashed by
+the words of its sentences (A-Z lower-cased, white space aside).  Runs meet by
+hash over all documents; all sentences of a run that also stands earlier
 (smaller doc_id, or the same document, earlier) go, with the white space after
-them.  So any repeated passage of more than LONG_WORDS words of whole sentences
-holds a run.
+them.  A longer repeated run is covered by its runs of ``SENTENCES``; a text of
+fewer sentences has no run.
 
 If ``passage`` is given, each stretch of so many words, begun at any word, is
-hashed as well and stands for the whole sentences in it.
-So every sentence that lies whole in a repeated passage of that many words goes,
-however short it is; a passage without a whole sentence loses nothing.
+hashed as well and stands for the whole sentences in it: sentences that lie
+whole in a repeated passage of that many words go, though they be fewer than
+``SENTENCES``; a passage without a whole sentence loses nothing.
+
+Runs meet by 128 bits of hash, stretches of words by 64.
 
 Rows: null text counts as empty and loses nothing; of equal rows with one id
 the later of (doc_id, text) order loses its runs; null ids come first; an empty
@@ -27,14 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int_column, lean, sharded
-from caseloom.llm.hashing import U, mix, powers, words
+from caseloom.llm.hashing import joined, mix, sums, windows, words
 from caseloom.llm.suffix import bucket_of
 
-MIN_SENTENCES = 2
-MIN_WORDS = 20
-LONG_WORDS = 40
+#: Sentences of a run.
+SENTENCES = 3
 #: "Over 50 words".
 PASSAGE = 51
+#: Numbers that name a run of sentences (kind 0) and a stretch of words (kind 1).
+WIDTH = (2, 1)
 
 
 def sentences(data: np.ndarray, off: np.ndarray):
@@ -54,23 +56,10 @@ def sentences(data: np.ndarray, off: np.ndarray):
     return np.append(first, len(s)), s[first], np.searchsorted(off, s[first], "right") - 1, h
 
 
-def runs(word_at: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first sentence, last + 1) of the hashed runs, distinct, by first sentence."""
-    n = len(row)
-    if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    bound = np.searchsorted(row, np.arange(row[-1] + 2))
-    lo, hi = bound[row], bound[row + 1]
-    i = np.arange(n)
-    end = word_at[1:]
-    # forward: the first end with enough
-    j = np.minimum(np.maximum(i + MIN_SENTENCES, np.searchsorted(end, word_at[i] + MIN_WORDS) + 1), np.searchsorted(end, word_at[i] + LONG_WORDS) + 1)
-    ok = j <= hi
-    # backward: the last start with enough
-    k = np.maximum(np.minimum(i + 1 - MIN_SENTENCES, np.searchsorted(word_at[:-1], end - MIN_WORDS, "right") - 1), np.searchsorted(word_at[:-1], end - LONG_WORDS, "right") - 1)
-    back = k >= lo
-    pairs = np.unique(np.concatenate((i[ok] * (n + 1) + j[ok], k[back] * (n + 1) + i[back] + 1)))
-    return pairs // (n + 1), pairs % (n + 1)
+def runs(row: np.ndarray, length: int) -> np.ndarray:
+    """First sentences of the runs of so many in one row."""
+    n = len(row) - length + 1
+    return np.flatnonzero(row[: max(0, n)] == row[length - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
 def passages(word_at: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,71 +79,107 @@ def passages(word_at: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndar
     return w[ok], a[ok], b[ok]
 
 
+class Names:
+    """Names of a shard's runs (one or two numbers each, by column), and the distinct ones by bucket."""
+
+    def __init__(self, columns: list[np.ndarray], n_buckets: int):
+        n = len(columns[0])
+        order = np.lexsort(columns[::-1])
+        new = np.zeros(n, bool)
+        new[:1] = True
+        for c in columns:
+            new[1:] |= c[order[1:]] != c[order[:-1]]
+        first = order[new]
+        key = np.empty(n, np.int64)
+        key[order] = np.cumsum(new) - 1
+        #: all but the first of each name in the shard
+        self.later = np.ones(n, bool)
+        self.later[first] = False
+        bucket = bucket_of(columns[0][first], n_buckets)
+        by = np.argsort(bucket, kind="stable")
+        self.sent = np.stack([c[first[by]] for c in columns], 1)
+        self.bucket = bucket[by]
+        place = np.empty(len(first), np.int64)
+        place[by] = np.arange(len(first))
+        self.place = place[key]  # among the sent, of each run
+
+    def messages(self) -> tuple[np.ndarray, list[bytes]]:
+        b, at = np.unique(self.bucket, return_index=True)
+        at = np.append(at, len(self.bucket))
+        return b, [self.sent[i:j].astype("<u8").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def repeated(self, said: list[tuple[int, bytes]]) -> np.ndarray:
+        """Which runs also stand earlier, in this shard or by what the buckets said."""
+        earlier = np.zeros(len(self.sent), bool)
+        at = np.searchsorted(self.bucket, np.arange(self.bucket.max(initial=0) + 2))
+        for b, blob in said:
+            earlier[at[b] : at[b + 1]] = np.unpackbits(np.frombuffer(blob, np.uint8))[: at[b + 1] - at[b]] == 1
+        return self.later | earlier[self.place]
+
+
 class ShardSpans:
+    """A shard's rows in (doc_id, text) order, their sentences, and the runs and stretches of each kind."""
+
     def __init__(self, table: pa.Table, n_buckets: int, passage: int | None = None):
         data, off = bytes_of(table["text"])
         self.ids, self.data, self.off = in_order(int_column(table, "doc_id"), data, off)
         word_at, self.start, self.row, h = sentences(self.data, self.off)
-        self.a, self.b = runs(word_at, self.row)
-        up, down = powers(len(h) + 1)
-        sums = np.zeros(len(h) + 1, np.uint64)
-        np.cumsum(h * up[: len(h)], out=sums[1:])
-        self.hash = self._named(sums, down, word_at[self.a], word_at[self.b])
-        if passage:  # hashed apart, so that they meet one another only
+        i = runs(self.row, SENTENCES)
+        size = np.diff(word_at)
+        place = np.arange(len(h)) - np.repeat(word_at[:-1], size)
+        columns = []
+        for seed in range(WIDTH[0]):
+            one = sums(h, place, word_at[:-1], size, seed) if len(h) else h
+            x = one[i]
+            for k in range(1, SENTENCES):
+                x = joined(x, one[i + k])
+            columns.append(mix(x))
+        #: by kind: first sentence, last + 1, and the names
+        self.kinds = [(i, i + SENTENCES, Names(columns, n_buckets))]
+        if passage:
             w, a, b = passages(word_at, self.row, passage)
-            self.a, self.b = np.concatenate((self.a, a)), np.concatenate((self.b, b))
-            self.hash = np.concatenate((self.hash, mix(self._named(sums, down, w, w + passage) + U(1))))
-        u, self.first, self.key = np.unique(self.hash, return_index=True, return_inverse=True)
-        order = np.argsort(bucket_of(u, n_buckets), kind="stable")
-        self.sent = u[order]
-        self.bucket = bucket_of(self.sent, n_buckets)
-        self.place = np.empty(len(u), np.int64)
-        self.place[order] = np.arange(len(u))
-
-    @staticmethod
-    def _named(sums: np.ndarray, down: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-        return mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * U(0xD1342543DE82EF95))
-
-    def messages(self) -> tuple[np.ndarray, list[bytes]]:
-        b, at = np.unique(self.bucket, return_index=True)
-        at = np.append(at, len(self.bucket))
-        return b, [self.sent[i:j].astype("<u8").tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+            self.kinds.append((a, b, Names([mix(windows(h, passage)[w])], n_buckets)))
 
     def removed(self, said: pa.Table) -> np.ndarray:
         """Which sentences lie in a run that stands earlier."""
-        earlier = np.zeros(len(self.sent), bool)
-        at = np.searchsorted(self.bucket, np.arange(self.bucket.max(initial=0) + 2))
-        for b, blob in zip(said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True):
-            bits = np.unpackbits(np.frombuffer(blob, np.uint8))[: at[b + 1] - at[b]]
-            earlier[at[b] : at[b + 1]] = bits == 1
-        later = np.ones(len(self.key), bool)
-        later[self.first] = False
-        gone = later | earlier[self.place[self.key]]
+        told = list(zip(said["kind"].to_pylist(), said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True))
         mark = np.zeros(len(self.row) + 1, np.int64)
-        np.add.at(mark, self.a[gone], 1)
-        np.subtract.at(mark, self.b[gone], 1)
+        for kind, (a, b, names) in enumerate(self.kinds):
+            gone = names.repeated([(bucket, blob) for k, bucket, blob in told if k == kind])
+            np.add.at(mark, a[gone], 1)
+            np.subtract.at(mark, b[gone], 1)
         return np.cumsum(mark[:-1]) > 0
 
 
+_TOLD = "bucket int, kind int, shard int, blob binary"
+
+
+def _table(bucket, kind, shard, blob) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "shard", "blob"])
+
+
 def _tell(n_buckets: int, passage: int | None):
     def run(table: pa.Table) -> pa.Table:
-        b, blobs = ShardSpans(table, n_buckets, passage).messages()
-        return pa.table([pa.array(b, pa.int32()), pa.array(np.full(len(b), table["shard"][0].as_py()), pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "shard", "blob"])
+        out = []
+        for kind, (_, _, names) in enumerate(ShardSpans(table, n_buckets, passage).kinds):
+            out += [(b, kind, blob) for b, blob in zip(*names.messages(), strict=True)]
+        return _table([x[0] for x in out], [x[1] for x in out], [table["shard"][0].as_py()] * len(out), [x[2] for x in out])
 
     return run
 
 
 def _first_shard(table: pa.Table) -> pa.Table:
-    """In one bucket: a bit for each hash that an earlier shard sent too."""
-    shard, blobs = table["shard"].to_pylist(), table["blob"].to_pylist()
+    """In one bucket and kind: a bit for each name that an earlier shard sent too."""
+    shard, blobs, kind = table["shard"].to_pylist(), table["blob"].to_pylist(), table["kind"][0].as_py()
     order = sorted(range(len(shard)), key=lambda i: shard[i])
-    h = np.concatenate([np.frombuffer(blobs[i], "<u8") for i in order])
-    by = np.argsort(h, kind="stable")
+    h = np.concatenate([np.frombuffer(blobs[i], "<u8") for i in order]).reshape(-1, WIDTH[kind])
+    by = np.lexsort([h[:, c] for c in reversed(range(WIDTH[kind]))])
     again = np.zeros(len(h), np.uint8)
-    again[by[1:]] = h[by][1:] == h[by][:-1]
-    end = np.cumsum([len(blobs[i]) // 8 for i in order])
+    again[by[1:]] = (h[by[1:]] == h[by[:-1]]).all(1)
+    end = np.cumsum([len(blobs[i]) // (8 * WIDTH[kind]) for i in order])
     out = [np.packbits(again[a:b]).tobytes() for a, b in zip(np.concatenate(([0], end[:-1])), end, strict=True)]
-    return pa.table([pa.array([shard[i] for i in order], pa.int32()), pa.array([table["bucket"][0].as_py()] * len(order), pa.int32()), pa.array(out, pa.binary())], names=["shard", "bucket", "blob"])
+    n = len(order)
+    return _table([table["bucket"][0].as_py()] * n, [kind] * n, [shard[i] for i in order], out)
 
 
 _RESULT = "doc_id long, n_sentences long, n_removed long, bytes_removed long, text string"
@@ -192,6 +217,6 @@ def sentence_span_dedup(docs: DataFrame, passage: int | None = None) -> DataFram
     texts, n_shards = sharded(docs)
     n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
-    told = by_shard.applyInArrow(lean(_tell(n, passage)), "bucket int, shard int, blob binary")
-    said = told.groupBy("bucket").applyInArrow(lean(_first_shard), "shard int, bucket int, blob binary")
+    told = by_shard.applyInArrow(lean(_tell(n, passage)), _TOLD)
+    said = told.groupBy("bucket", "kind").applyInArrow(lean(_first_shard), _TOLD)
     return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, passage)), _RESULT)

@@ -156,28 +156,13 @@ def span_brute(rows):
                 cur = []
         parts.append(sents)
     seen, out = set(), []
-    enough = lambda k, n: (k >= spans.MIN_SENTENCES and n >= spans.MIN_WORDS) or n >= spans.LONG_WORDS
+    k = spans.SENTENCES
     for (d, t), sents in zip(docs, parts, strict=True):
-        ranges = set()
-        for i in range(len(sents)):
-            for step in (1, -1):
-                j, n, k = i, 0, 0
-                while 0 <= j < len(sents):
-                    n, k = n + len(sents[j][0]), k + 1
-                    if enough(k, n):
-                        ranges.add((min(i, j), max(i, j) + 1))
-                        break
-                    j += step
         gone = set()
-        for a, b in sorted(ranges):
-            name = tuple(w for s in sents[a:b] for w in s[0])
+        for i in range(len(sents) - k + 1):
+            name = tuple(tuple(s[0]) for s in sents[i : i + k])
             if name in seen:
-                gone.update(range(a, b))
-        # runs of one text are met in the order of their starts
-        for a, b in sorted(ranges):
-            name = tuple(w for s in sents[a:b] for w in s[0])
-            if name in seen:
-                gone.update(range(a, b))
+                gone.update(range(i, i + k))
             seen.add(name)
         ends = [s[1] for s in sents[1:]] + [len(t)]
         kept = t
@@ -206,7 +191,10 @@ def test_a_repeated_passage_goes_but_the_first(spark):
     got = {r.doc_id: r for r in spans.sentence_span_dedup(docs_frame(spark, rows)).collect()}
     assert passage in got[0].text and got[0].n_removed == 0
     assert all(passage not in got[i].text and got[i].n_removed == 4 for i in range(1, 5))
-    clean = [(1, "Short line. Another one."), (2, "Short line. Another one.")]
+    four = [(i, f"{i}. One two three four. Five six seven eight. Nine ten eleven twelve. Thirteen to sixteen. {i} more.") for i in range(2)]
+    assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, four)).collect())] == [0, 4]
+    one = text_of(rng, 46)
+    clean = [(1, "Short line. Another one."), (2, "Short line. Another one."), (3, f"Three here. {one}."), (4, f"Four there. {one}.")]
     assert all(r.n_removed == 0 for r in spans.sentence_span_dedup(docs_frame(spark, clean)).collect())
     assert spans.sentence_span_dedup(docs_frame(spark, [])).collect() == []
 
