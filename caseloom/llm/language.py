@@ -1,13 +1,14 @@
 """Language ID: multinomial naive Bayes over hashed character n-grams.
 
 Characters are lower-cased; all that is no letter counts as a blank.  Grams of
-1 to 3 characters are hashed into ``BUCKETS`` columns for each length; a text's
-log-probabilities are the sums of the matrix rows that its grams point at
+1 to 3 characters are hashed into 2**15 columns for each length, into fewer
+where many languages would make the matrix larger than ``MATRIX_BYTES``; a
+text's log-probabilities are the sums of the matrix rows that its grams point at
 (a sparse row times the dense matrix).
 
 Training reads at most ``PER_CLASS`` documents of each language and
-``TRAIN_BYTES`` bytes (the fixed bounds of the sample, of at most
-``MAX_LANGUAGES`` languages); priors come from all rows.  Null texts and texts
+``TRAIN_BYTES`` bytes, shared evenly by the languages (the fixed bounds of the
+sample); every language is learnt, and priors come from all rows.  Null texts and texts
 without a letter are ``und`` with score 0, and so is all if nothing is labelled.
 Equal texts get equal answers; ties go to the more frequent language.
 """
@@ -23,13 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
-from caseloom.llm.training import held_out, sample_ids, sample_texts
+from caseloom.llm.training import held_out, learnt, sample_ids, sample_texts
 
 ORDERS = 3
-BUCKETS = 1 << 15
+BITS = 15
 PER_CLASS = 1500
 TRAIN_BYTES = 24 << 20
-MAX_LANGUAGES = 256
+MATRIX_BYTES = 96 << 20
 ALPHA = 0.05
 _MUL = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _TABLES: list[np.ndarray] = []
@@ -47,7 +48,15 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     return _TABLES[0], _TABLES[1]
 
 
-def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def bits_for(n_languages: int) -> int:
+    """Bits of the column of a gram, so that the matrix stays under ``MATRIX_BYTES`` (eight at least)."""
+    bits = BITS
+    while bits > 8 and (ORDERS << bits) * 4 * n_languages > MATRIX_BYTES:
+        bits -= 1
+    return bits
+
+
+def grams(data: np.ndarray, off: np.ndarray, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """For each length, the column of the gram that starts at each character; row starts; letters in each row.
 
     A gram that would leave its row points at the empty column past the others.
@@ -75,14 +84,14 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
     for n in range(ORDERS):
         m = len(c) - n
         if m <= 0:
-            out.append(np.full(len(c), ORDERS * BUCKETS, np.int32))
+            out.append(np.full(len(c), ORDERS << bits, np.int32))
             continue
         h[:m] = (h[:m] + c[n:] + np.uint32(1)) * _MUL[n]
         x = h ^ (h >> np.uint32(15))
-        col = ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(17)).astype(np.int32) + np.int32(n * BUCKETS)
+        col = ((x * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.int32) + np.int32(n << bits)
         for back in range(1, n + 1):
             gone = at[1:] - back
-            col[gone[gone >= at[:-1]]] = ORDERS * BUCKETS
+            col[gone[gone >= at[:-1]]] = ORDERS << bits
         out.append(col)
     return out, at, np.diff(seen[at])
 
@@ -90,8 +99,9 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[list[np.ndarray], np.ndarr
 @dataclass
 class Bayes:
     languages: list[str]
-    matrix: np.ndarray  # ORDERS * BUCKETS + 1, languages: log-probabilities; the last row is 0
+    matrix: np.ndarray  # (ORDERS << bits) + 1, languages: log-probabilities; the last row is 0
     prior: np.ndarray
+    bits: int = BITS
 
     def predict(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index into ``languages`` (-1: und) and posterior of each row."""
@@ -100,7 +110,7 @@ class Bayes:
         if not self.languages:
             return best, score
         for i, j in spans_of(off, 1 << 20):
-            cols, at, letters = grams(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            cols, at, letters = grams(data[off[i] : off[j]], off[i : j + 1] - off[i], self.bits)
             total = np.tile(self.prior, (j - i, 1))
             full = np.flatnonzero(np.diff(at))
             for col in cols:
@@ -135,28 +145,30 @@ def _pieces(full: np.ndarray, at: np.ndarray, size: int = 1 << 18) -> tuple[list
 
 
 def train(rows: list[tuple[int, str, str]], counts: dict[str, int]) -> Bayes:
-    languages = [x for x in counts if any(y == x for _, _, y in rows)]
-    n = ORDERS * BUCKETS + 1
+    texts: dict[str, list[bytes]] = {}
+    for _, t, y in rows:
+        texts.setdefault(y, []).append(t.encode())
+    languages = [x for x in counts if x in texts]
+    bits = bits_for(len(languages))
+    n = (ORDERS << bits) + 1
     matrix = np.zeros((n, len(languages)), np.float32)
     for k, lang in enumerate(languages):
         seen = np.zeros(n, np.int64)
-        for _, t, y in rows:
-            if y == lang and t:
-                raw = t.encode()
-                for col in grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]:
-                    seen += np.bincount(col, minlength=n)
+        for raw in texts[lang]:
+            for col in grams(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), bits)[0]:
+                seen += np.bincount(col, minlength=n)
         for o in range(ORDERS):
-            part = seen[o * BUCKETS : (o + 1) * BUCKETS] + ALPHA
-            matrix[o * BUCKETS : (o + 1) * BUCKETS, k] = np.log(part / part.sum())
+            part = seen[o << bits : (o + 1) << bits] + ALPHA
+            matrix[o << bits : (o + 1) << bits, k] = np.log(part / part.sum())
     prior = np.log(np.array([counts[x] for x in languages], float) / max(1, sum(counts[x] for x in languages))) if languages else np.zeros(0)
-    return Bayes(languages, matrix, prior)
+    return Bayes(languages, matrix, prior, bits)
 
 
 def fit(docs: DataFrame) -> Bayes:
     """Learns from text and non-null lang of documents that are not held out."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    picked, counts = sample_ids(rows, "lang", PER_CLASS, MAX_LANGUAGES)
-    return train(sample_texts(docs, picked, TRAIN_BYTES), counts)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").alias("label")).filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
+    picked, counts = sample_ids(rows.select("doc_id", "label"), PER_CLASS)
+    return train(learnt(sample_texts(rows, picked, TRAIN_BYTES), counts, "a language"), counts)
 
 
 def language(docs: DataFrame, model: Bayes | None = None) -> DataFrame:

@@ -1,13 +1,14 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text is bytes; each byte is a symbol that also says whether its last four
-bytes occurred up to ``LAGS`` bytes before.  Learned filters run over chunks of
+bytes occurred up to ``LAGS`` bytes before (never in its first ``LAGS`` + 3 bytes).  Learned filters run over chunks of
 16 bytes that overlap by half and cover the whole text; each filter's maximum
 over the chunks goes through a small dense layer into one probability.
 
 Training reads at most ``PER_CLASS`` documents of each label and ``TRAIN_BYTES``
-bytes (the fixed bounds of the sample); label counts are those of all rows and
-set the prior.  Scores depend on the text alone: null and empty texts get the
+bytes, half for each label (the fixed bounds of the sample); label counts are
+those of all labelled documents and set the prior.  A label without a document
+and a document labelled both ways teach nothing.  Scores depend on the text alone: null and empty texts get the
 score of an empty text, equal texts equal scores.  Rows with one id are scored
 one by one.  Without labels of both kinds every score is the share of label 1,
 or 1 without labels.
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
-from caseloom.llm.training import held_out, sample_ids, sample_texts
+from caseloom.llm.training import agreed, held_out, learnt, sample_ids, sample_texts
 
 PER_CLASS = 1500
 TRAIN_BYTES = 24 << 20
@@ -170,11 +171,11 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 1) -> Network:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
-    """Learns from labelled rows that are not held out; labels other than 0 and 1 are ignored."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
-    rows = rows.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    picked, counts = sample_ids(rows, "quality", PER_CLASS, 2)
-    data = sample_texts(docs, picked, TRAIN_BYTES)
+    """Learns from labelled documents that are not held out; labels other than 0 and 1 are ignored."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
+    rows = rows.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    picked, counts = sample_ids(agreed(rows, docs), PER_CLASS)
+    data = learnt(sample_texts(docs.select("doc_id", "text"), picked, TRAIN_BYTES), counts, "a quality label")
     y = np.array([q for _, _, q in data], np.float32)
     share = counts.get(1, 0) / max(1, sum(counts.values())) if counts else 1.0
     if len(np.unique(y)) < 2:

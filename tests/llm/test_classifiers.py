@@ -76,6 +76,112 @@ def test_chunks_of_long_texts_equal_one_pass():
     assert abs(both[0] - alone[0]) < 1e-6
 
 
+def plain_network(net, text):
+    """The forward pass by loops over one text: symbols, chunks of two halves, maximum, dense layer."""
+    b, symbol = text.encode(), []
+    for i, c in enumerate(b):
+        again = i >= 3 + quality.LAGS and any(b[i - 3 : i + 1] == b[i - 3 - lag : i + 1 - lag] for lag in range(1, quality.LAGS + 1))
+        symbol.append(c + 256 * again)
+    halves = max(2, -(-len(b) // quality.HALF))
+    symbol += [quality.PAD] * (halves * quality.HALF - len(b))
+    best = np.full(quality.FILTERS, -np.inf)
+    for i in range(halves - 1):
+        x = np.concatenate([net.emb[k] for k in symbol[i * quality.HALF : (i + 2) * quality.HALF]])
+        best = np.maximum(best, x.astype(float) @ net.filt.astype(float))
+    hidden = np.tanh(np.maximum(best + net.bias, 0) @ net.dense.astype(float) + net.dense_bias)
+    return 1 / (1 + np.exp(-(hidden @ net.out + net.out_bias[0] + net.shift)))
+
+
+def test_scores_are_those_of_a_plain_forward_pass(spark):
+    rng = random.Random(4)
+    docs, labels = quality_rows(300)
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = docs_frame(spark, docs + [(5000, None), (5001, ""), (5002, "a"), (5003, "é ß " * 9), (5004, words(rng, "abc", 900)), (5005, "aaaaaaaaaaaaaaaaaaaaaaaaa" * 3), (5006, "12345678"), (5007, "123456789")])
+    net = quality.fit(df, lab)
+    got = {(r.doc_id, r.text): r.quality_score for r in quality.score(df, net).collect()}
+    assert len(got) == len(docs) + 8
+    for (_, t), p in got.items():
+        assert abs(p - plain_network(net, t or "")) < 1e-4
+
+
+def plain_bayes(rows, counts, text, bits=language.BITS):
+    """log P(lang) + log P(gram | lang) over all grams, in plain Python."""
+    def columns(t):
+        low = [(c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else " " for c in t]
+        out = []
+        for i in range(len(low)):
+            h = 0
+            for n in range(language.ORDERS):
+                if i + n < len(low):
+                    h = (h + ord(low[i + n]) + 1) * int(language._MUL[n]) % 2**32
+                    x = h ^ (h >> 15)
+                    out.append((n, (x * 0x2C1B3C6D % 2**32) >> (32 - bits)))
+        return out
+
+    logs = {}
+    for lang in counts:
+        seen = [dict() for _ in range(language.ORDERS)]
+        for _, t, y in rows:
+            if y == lang:
+                for n, c in columns(t):
+                    seen[n][c] = seen[n].get(c, 0) + 1
+        total = [sum(s.values()) + language.ALPHA * 2**bits for s in seen]
+        logs[lang] = np.log(counts[lang] / sum(counts.values())) + sum(np.log((seen[n].get(c, 0) + language.ALPHA) / total[n]) for n, c in columns(text))
+    top = max(logs.values())
+    best = max(counts, key=lambda k: logs[k])
+    return best, 1 / sum(np.exp(v - top) for v in logs.values())
+
+
+def test_language_is_plain_naive_bayes(spark):
+    rng = random.Random(6)
+    kinds = {"aa": "abcde", "bb": "abcdx", "zz": "äÖüßn"}
+    rows = [(i, words(rng, kinds[k], rng.randint(1, 12)), k) for i, k in enumerate(rng.choice(list(kinds)) for _ in range(90))]
+    rows += [(500, "", "aa"), (501, None, "bb"), (502, "A, B-C", None), (503, "x", None), (504, "ß9é", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [(d, t or "", y) for d, t, y in rows if y and not is_held(d)]
+    counts = {k: sum(y == k for *_, y in train) for k in kinds}
+    got = {r.doc_id: r for r in language.language(df).collect()}
+    for d, t, _ in rows:
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        best, p = plain_bayes(train, counts, t)
+        assert got[d].lang_pred == best and abs(got[d].score - p) < 1e-3
+
+
+def test_every_language_is_learnt(spark, monkeypatch):
+    rng = random.Random(7)
+    letters = [chr(0x4E00 + 7 * k) + chr(0x4E00 + 7 * k + 1) for k in range(300)]
+    rows = [(i, words(rng, letters[i % 300], 6), f"l{i % 300}") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(language, "MATRIX_BYTES", 8 << 20)
+    assert language.bits_for(300) < language.BITS
+    got = language.language(df).filter("held_out").collect()
+    assert np.mean([r.lang_pred == f"l{r.doc_id % 300}" for r in got]) > 0.95
+
+
+def test_labels_that_teach_nothing(spark):
+    docs, labels = quality_rows(300)
+    extra = [(100_000 + i, 0, 0) for i in range(3000)] + [(1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 1, 0), (None, 1, 0), (3, None, 0), (4, 7, 0)]
+    schema = "doc_id long, quality int, toxic int"
+    known = [(d, q) for d, q, _ in labels if d != 1 and not is_held(d)]
+    from caseloom.llm.training import agreed, sample_ids
+
+    lab = spark.createDataFrame(labels + extra, schema).filter("quality in (0, 1) and doc_id is not null").selectExpr("doc_id", "quality AS label")
+    picked, counts = sample_ids(agreed(lab, docs_frame(spark, docs)).filter("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"), 40)
+    assert counts == {y: sum(q == y for _, q in known) for y in (0, 1)}
+    assert len(picked) == len(set(picked)) == 80 and set(picked) <= set(known)
+
+
+def test_nothing_that_fits_is_an_error(spark, monkeypatch):
+    import pytest
+
+    monkeypatch.setattr(language, "TRAIN_BYTES", 3)
+    df = spark.createDataFrame([(i, "far too long", "aa") for i in range(9)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="none of the picked texts"):
+        language.language(df)
+
+
 def test_language(spark):
     rng = random.Random(5)
     kinds = {"aa": "abcde", "bb": "vwxyz", "zz": "äöüßn"}
