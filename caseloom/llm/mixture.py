@@ -8,13 +8,17 @@ source's blocks to its shards in the same way by their words.  In a shard the
 documents of a source stand in seeded order, and the quota is met by whole
 rounds and one seeded stretch of blocks, so a document is taken at most twice.
 
-Shards are dealt by a hash of the id, so a source with a third of all rows is
-ordered in many small groups.  Sources come to the driver with their totals
-only, at most ``MAX_SOURCES`` of them.
+Shards are dealt by a hash of the id and text, so a source with a third of all
+rows is ordered in many small groups, and so are rows without id.  Sources are
+planned in the driver where their table is measured to be under
+``BROADCAST_BYTES``; beyond it they stay a table, however many they are, and the
+driver sees only sums over it (of the targets that stop, and of the seats that a
+few dozen divisors would give).
 
 Rows: null and blank texts have size 0 and are never taken; rows with one id
-count one by one; an empty table gives no rows; other columns ride along if
-asked for.  The same rows give the same result.
+count one by one, and those of one id and size stand in the order of a hash of
+their columns; an empty table gives no rows; other columns ride along if asked
+for.  The same rows give the same result.
 """
 
 from __future__ import annotations
@@ -37,11 +41,14 @@ SHARE = 1.5
 MOST = 2
 BLOCK = 16
 ROWS_A_SHARD = 4000
-MAX_SOURCES = 1_000_000
 SEED = 42
+#: Bytes of the sources' table up to which it comes to the driver and is broadcast to the rows.
+BROADCAST_BYTES = 4 << 20
+#: Divisors that one pass over the sources tries.
+DIVISORS = 40
 
 
-def targets(sizes: list[int], weights: list[float], share: float = SHARE, most: int = MOST) -> list[float]:
+def shares(sizes: list[int], weights: list[float], share: float = SHARE, most: int = MOST) -> list[float]:
     """share of all, by weight; a target stops at ``most`` times its size and the excess is shared again."""
     out = [0.0] * len(sizes)
     left, active = share * sum(sizes), [i for i, s in enumerate(sizes) if s > 0]
@@ -87,38 +94,105 @@ def word_count(text="text"):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _quotas(n_blocks_of: dict[int, int]):
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("shard").select(["sid", "shard", "avail"])
-        avail = table["avail"].to_numpy()
-        got = sainte_lague(avail, n_blocks_of[table["sid"][0].as_py()], -(-MOST * avail // BLOCK))
-        return table.append_column("quota", pa.array(got, pa.int64()))
+def ranked(sources: DataFrame) -> DataFrame:
+    """The sources with ``sid``, their place in code point order, null last; no task holds more than its range of them."""
+    parts = sources.orderBy(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()).checkpoint()
+    before, offset = 0, []
+    for part, n in sorted((r[0], r[1]) for r in parts.groupBy("part").count().collect()):
+        offset.append((part, before))
+        before += n
+    place = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    base = sources.sparkSession.createDataFrame(offset, "part int, base long")
+    return parts.withColumn("place", place).join(F.broadcast(base), "part").select("source", "n", (F.col("base") + F.col("place")).alias("sid"))
+
+
+def targets(sources: DataFrame, share: float = SHARE, most: int = MOST) -> DataFrame:
+    """Adds ``target`` to (source, n, sid): share of all words by weight; one that stops at ``most`` times its words leaves the excess to the others."""
+    weight = F.get(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (F.col("sid") % len(WEIGHTS)).cast("int"))
+    rows = sources.withColumn("w", F.when(F.col("n") > 0, weight).otherwise(0.0))
+    level = 0.0  # words for each unit of weight; rises until no further target stops
+    while True:
+        stops = F.col("w") * level > most * F.col("n")
+        left = F.coalesce(F.sum("n"), F.lit(0)) * share - F.coalesce(F.sum(F.when(stops, most * F.col("n"))), F.lit(0))
+        got = rows.agg(left.cast("double").alias("left"), F.coalesce(F.sum(F.when(stops, 0.0).otherwise(F.col("w"))), F.lit(0.0)).alias("w")).first()
+        if got.w <= 0 or (nxt := got.left / got.w) <= level:
+            break
+        level = nxt
+    return rows.withColumn("target", F.least(F.col("w") * level, (most * F.col("n")).cast("double"))).drop("w")
+
+
+def allotted(sources: DataFrame) -> DataFrame:
+    """Adds ``blocks``: seats by the highest quotients target / (2 s + 1), at most what twice the source holds; ties go to the first source."""
+    cap = F.ceil(MOST * F.col("n") / BLOCK).cast("long")
+    rows = sources.withColumn("cap", F.when(F.col("target") > 0, cap).otherwise(0))
+    at = lambda d: F.least(F.floor(F.col("target") / d + 0.5), F.col("cap")).cast("long")
+    got = rows.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("all"), F.coalesce(F.max("target"), F.lit(0.0)).alias("top"), F.coalesce(F.sum("cap"), F.lit(0)).alias("room"), F.count_if(F.col("cap") > 0).alias("n")).first()
+    seats = min(round(got["all"] / BLOCK), got.room)
+
+    def given(tried: list[float]) -> list[int]:
+        """Seats that each divisor gives."""
+        one = rows.select("target", "cap", F.posexplode(F.array(*[F.lit(d) for d in tried])).alias("i", "d"))
+        return [r.s for r in one.groupBy("i").agg(F.sum(at(F.col("d"))).alias("s")).orderBy("i").collect()]
+
+    # a source has half a seat more or less than target / divisor, or its cap: the divisor that gives at most so many lies between
+    lo, hi = got["all"] / (seats + got.n + 1), max(1.0, 4 * got["all"])
+    if seats > got.n:
+        hi = min(hi, got["all"] / (seats - got.n))
+    while got.top * (1 / lo - 1 / hi) >= 1 if lo else False:  # until no source gets two seats more between them
+        step = (hi / lo) ** (1 / (DIVISORS + 1))
+        tried = [lo * step ** (i + 1) for i in range(DIVISORS)]
+        if not lo < tried[0] < tried[-1] < hi:
+            break
+        sums, ends = given(tried), [lo, *tried, hi]
+        k = next((i for i in range(DIVISORS) if sums[i] <= seats), DIVISORS)
+        lo, hi = ends[k], ends[k + 1]
+    rows = rows.withColumn("blocks", at(hi))
+    rest = seats - int(rows.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0])
+    if rest > 0:
+        more = rows.filter("blocks < cap").select("sid", (F.col("target") / (2 * F.col("blocks") + 1)).alias("q")).orderBy(F.desc("q"), "sid").limit(rest).select("sid", F.lit(1).alias("more"))
+        rows = rows.join(more, "sid", "left").withColumn("blocks", F.col("blocks") + F.coalesce("more", F.lit(0))).drop("more")
+    return rows.drop("cap")
+
+
+def planned_here(sources: DataFrame) -> DataFrame:
+    """What ``ranked``, ``targets`` and ``allotted`` give, for a table of sources of measured, bounded size: in the driver, without their passes."""
+    found = sorted(((r.source is None, (r.source or "").encode(), r.source, int(r.n)) for r in sources.collect()), key=lambda r: r[:2])
+    sizes = [r[3] for r in found]
+    goal = shares(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))])
+    blocks = sainte_lague(goal, round(sum(goal) / BLOCK), [-(-MOST * n // BLOCK) for n in sizes])
+    rows = [(i, r[2], r[3], goal[i], int(blocks[i])) for i, r in enumerate(found)]
+    return sources.sparkSession.createDataFrame(rows, "sid long, source string, source_size long, target double, blocks long")
 
-    return run
+
+def _quotas(table: pa.Table) -> pa.Table:
+    """A source's blocks to its shards: a row for each shard, no documents."""
+    table = table.sort_by("shard").select(["sid", "shard", "avail", "blocks"])
+    avail = table["avail"].to_numpy()
+    got = sainte_lague(avail, table["blocks"][0].as_py(), -(-MOST * avail // BLOCK))
+    return table.drop_columns("blocks").append_column("quota", pa.array(got, pa.int64()))
 
 
 def mixture(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row, and how it is taken: whole rounds, and words [lo, hi) and [0, wrap)."""
     spark = docs.sparkSession
     shared_dir(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), *[F.col(c).alias(f"_c_{c}") for c in carry])
+    tie = F.xxhash64("text", *[F.col(c) for c in carry])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), tie.alias("tie"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     if not carry:
         rows = rows.checkpoint()  # texts are counted once
-    sources = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"))
-    found = sorted(((r.source is None, (r.source or "").encode(), r.source, int(r.n), int(r.rows)) for r in sources.limit(MAX_SOURCES + 1).collect()), key=lambda r: r[:2])
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = [r[3] for r in found]
-    goal = targets(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(found))])
-    blocks = sainte_lague(goal, round(sum(goal) / BLOCK), [-(-MOST * s // BLOCK) for s in sizes]) if found else []
-    n_shards = max(1, math.ceil(sum(r[4] for r in found) / ROWS_A_SHARD))
-    info = spark.createDataFrame([(i, r[2], r[3], goal[i]) for i, r in enumerate(found)], "sid int, source string, source_size long, target double")
-    named = rows.withColumnRenamed("source", "_source").join(F.broadcast(info) if len(found) <= 10_000 else info, F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
-    dealt = named.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(n_shards)).cast("int"))
-    quota = (
-        dealt.groupBy("sid", "shard").agg(F.sum("size").alias("avail")).groupBy("sid").applyInArrow(_quotas({i: int(b) for i, b in enumerate(blocks)}), "sid int, shard int, avail long, quota long")
-    )
-    order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    sources = rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).checkpoint()
+    all_ = sources.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.octet_length("source") + 64), F.lit(0)).alias("bytes")).first()
+    n_shards = max(1, math.ceil(all_.rows / ROWS_A_SHARD))
+    if few := all_.bytes <= BROADCAST_BYTES:
+        info = planned_here(sources)
+    else:
+        info = allotted(targets(ranked(sources.select("source", "n"))).checkpoint()).withColumnRenamed("n", "source_size").checkpoint()
+    hint = F.broadcast if few else lambda df: df
+    named = rows.withColumnRenamed("source", "_source").join(hint(info.select("sid", "source", "source_size", "target")), F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
+    dealt = named.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.lit(n_shards)).cast("int"))
+    avail = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("avail")).join(hint(info.select("sid", "blocks")), "sid")
+    quota = avail.groupBy("sid").applyInArrow(_quotas, "sid long, shard int, avail long, quota long")
+    order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quota, ["sid", "shard"])
     words_due = F.least(F.col("quota") * BLOCK, F.col("avail") * MOST)
     whole = F.when(F.col("avail") > 0, F.floor(words_due / F.greatest("avail", F.lit(1)))).otherwise(0).cast("long")

@@ -88,10 +88,44 @@ def test_sainte_lague_by_highest_quotients(seed):
         assert mixture.sainte_lague(votes, seats, caps).tolist() == want.tolist()
 
 
-def test_targets_share_and_stop():
-    got = mixture.targets([100, 1000, 0, 50], [3.0, 1.0, 2.0, 3.0])
-    assert got[0] == 200 and got[2] == 0 and got[3] == 100 and abs(sum(got) - 1725) < 1e-9
-    assert mixture.targets([], []) == [] and mixture.targets([0], [3.0]) == [0.0]
+def plain_targets(sizes, weights=(3, 1, 2)):
+    """Shares by weight, again and again, until no target is above twice its size."""
+    w = [float(weights[i % 3]) for i in range(len(sizes))]
+    out, left, active = [0.0] * len(sizes), 1.5 * sum(sizes), [i for i, s in enumerate(sizes) if s > 0]
+    while active:
+        share = {i: left * w[i] / sum(w[k] for k in active) for i in active}
+        over = [i for i in active if share[i] > 2 * sizes[i]]
+        for i in over or active:
+            out[i] = 2.0 * sizes[i] if over else share[i]
+        if not over:
+            break
+        left -= sum(2 * sizes[i] for i in over)
+        active = [i for i in active if i not in over]
+    return out
+
+
+def plain_seats(votes, seats, caps):
+    got = [0] * len(votes)
+    for _ in range(seats):
+        q = [(-votes[i] / (2 * got[i] + 1), i) for i in range(len(votes)) if got[i] < caps[i] and votes[i] > 0]
+        if not q:
+            break
+        got[min(q)[1]] += 1
+    return got
+
+
+def test_targets_and_blocks_of_many_sources(spark):
+    rng = random.Random(2)
+    for sizes in ([100, 1000, 0, 50], [rng.choice([0, 3, 40, 40, 700]) for _ in range(60)], [0], [], [16] * 7):
+        names = sorted({f"{rng.random()}{rng.choice(['a', 'é', chr(0x1F600)])}" for _ in sizes}, key=str.encode)
+        names = names[:-1] + [None] if names else []
+        df = spark.createDataFrame(list(zip(names, sizes, strict=True)), "source string, n long").repartition(3)
+        rows = sorted(mixture.allotted(mixture.targets(mixture.ranked(df))).collect(), key=lambda r: r.sid)
+        assert [r.source for r in rows] == names and [r.sid for r in rows] == list(range(len(names)))
+        want = plain_targets(sizes)
+        assert all(abs(r.target - t) < 1e-6 for r, t in zip(rows, want, strict=True))
+        seats = round(sum(want) / mixture.BLOCK)
+        assert [r.blocks for r in rows] == plain_seats([r.target for r in rows], seats, [-(-2 * s // mixture.BLOCK) for s in sizes])
 
 
 def mix_rows():
@@ -110,7 +144,7 @@ def test_mixture_meets_targets(spark):
     for _, t, s in rows:
         size[s] += len(WORD.findall(t or ""))
     order = sorted((s for s in size if s is not None), key=lambda s: s.encode()) + [None]
-    goal = dict(zip(order, mixture.targets([size[s] for s in order], [float((3, 1, 2)[i % 3]) for i in range(len(order))]), strict=True))
+    goal = dict(zip(order, plain_targets([size[s] for s in order]), strict=True))
     assert abs(sum(goal.values()) - 1.5 * sum(size.values())) < 1e-6
     taken = Counter()
     by_target = {round(v, 6): s for s, v in goal.items()}
@@ -121,6 +155,42 @@ def test_mixture_meets_targets(spark):
         assert abs(taken[s] - goal[s]) <= 2 * mixture.BLOCK
 
 
+@pytest.mark.parametrize(("shard_rows", "broadcast"), [(4000, mixture.BROADCAST_BYTES), (40, 0)])
+def test_mixture_rows_are_those_of_a_plain_mix(spark, monkeypatch, shard_rows, broadcast):
+    """Quotas, seeded order and stretches by plain lists; only the seeds' hashes come from Spark."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixture, "ROWS_A_SHARD", shard_rows)
+    monkeypatch.setattr(mixture, "BROADCAST_BYTES", broadcast)  # sources in the driver, or as a table
+    rows = mix_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    n_shards = -(-len(rows) // shard_rows)
+    tie = F.xxhash64("text")
+    shard = F.pmod(F.xxhash64(F.lit(mixture.SEED), "doc_id", tie), F.lit(n_shards))
+    keyed = df.select("doc_id", "text", "source", tie.alias("tie"), shard.alias("shard"), F.xxhash64(F.lit(mixture.SEED + 1), "doc_id").alias("h")).collect()
+    names = sorted({s for *_, s in rows if s is not None}, key=str.encode) + [None]
+    by = {}
+    for r in keyed:
+        by.setdefault((names.index(r.source), r.shard), []).append((r.h, r.doc_id is not None, r.doc_id or 0, len(WORD.findall(r.text or "")), r.tie))
+    total = [sum(n for (s, _), group in by.items() if s == i for *_, n, _ in group) for i in range(len(names))]
+    goal = plain_targets(total)
+    blocks = plain_seats(goal, round(sum(goal) / mixture.BLOCK), [-(-2 * n // mixture.BLOCK) for n in total])
+    offs = {(r.sid, r.shard): r.h for r in spark.createDataFrame(sorted(by), "sid long, shard int").select("sid", "shard", F.xxhash64(F.lit(mixture.SEED + 2), "sid", "shard").alias("h")).collect()}
+    want = Counter()
+    for i in range(len(names)):
+        shards = sorted(k for s, k in by if s == i)
+        avail = [sum(g[3] for g in by[i, k]) for k in shards]
+        for k, n, quota in zip(shards, avail, plain_seats([float(x) for x in avail], blocks[i], [-(-2 * x // mixture.BLOCK) for x in avail]), strict=True):
+            line = [j for j, g in enumerate(sorted(by[i, k])) for _ in range(g[3])]  # the document of each word
+            due = min(quota * mixture.BLOCK, 2 * n)
+            begin = offs[i, k] % max(1, -(-n // mixture.BLOCK)) * mixture.BLOCK
+            took = Counter(line[(begin + w) % n] for w in range(due % n)) if n else Counter()
+            for j, (_, known, d, size, _) in enumerate(sorted(by[i, k])):
+                want[d if known else None, size, total[i], took[j] + (due // n if n else 0) * size] += 1
+    got = Counter((r.doc_id, r.size, r.source_size, r.taken) for r in mixture.mixture(df).collect())
+    assert got == want
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     rows = mix_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS size", "2 AS shard", "'q' AS target")
