@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
+_SPACES = "".join(chr(i) for i in (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+
+
 def trim(c: Column) -> Column:
-    """Drops Unicode white space at both ends."""
-    return F.regexp_replace(F.regexp_replace(c, rf"^[{SPACE}]+", ""), rf"[{SPACE}]+\z", "")
+    """Drops Unicode white space at both ends; reads no more than the ends."""
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def clean_ocr(c: Column) -> Column:
@@ -102,30 +105,42 @@ DATE_TIME = (
     rf"\b(?:[0-9]{{1,2}}[{SPACE}/-]?{_MONTH}[{SPACE},/-]?[0-9]{{2,4}}[{SPACE},]*{_CLOCK}{_S}?(?:AM|PM|am|pm)?"
     rf"|[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}[{SPACE}T]?{_CLOCK}|[0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}[{SPACE}T]{_CLOCK})\b"
 )
-CONCLUSION = rf"(?:Interpretation|Conclusion|Remarks|Notes){_S}*[:\-]?{_S}*([^\n]*?)(?:Thanks|End of Report|Signature|\n?\z)"
-_NAME = rf"[A-Za-z{SPACE}()%\-]"
-PARAMETER = rf"({_NAME}+?){_S}+([0-9]+\.?[0-9]*){_S}*([A-Za-z/%µgdl]*){_S}*([0-9.\-to{SPACE}]*)"
+_HEAD = "(?:Interpretation|Conclusion|Remarks|Notes)"
+_GAP = rf"{_S}*+[:\-]?+{_S}*+"
+#: Group 1 is the conclusion if group 2, what ends it, is not empty. Where a line has no end for it, the match goes on to
+#: the line's end, or to a heading that nothing but blanks parts from the next line, so that no part is read once for each
+#: heading before it. Reads texts with ``\\0`` added.
+_BLANK = SPACE.replace(r"\t-\r", r"\t\x0B-\r")
+CONCLUSION = rf"{_HEAD}{_GAP}(?:([^\n]*?)(Thanks|End of Report|Signature|\n?\x00\z)|(?:(?!{_HEAD}[{_BLANK}]*+[:\-]?+[{_BLANK}]*+\n)[^\n])*+)"
+_LETTER = r"A-Za-z()%\-"
+_NAME = rf"[{_LETTER}{SPACE}]"
+#: A name ends before the first run of white space that a digit follows; a name that is white space alone leaves one of it to part them.
+PARAMETER = rf"({_S}(?={_S}++[0-9])|(?:[{_LETTER}]++|{_S}++(?![0-9]))++){_S}++([0-9]+\.?[0-9]*){_S}*([A-Za-z/%µgdl]*){_S}*([0-9.\-to{SPACE}]*)"
 
 
 def _first(c: Column, pattern: str, group: int) -> Column:
-    """The group of the first match, trimmed; null without a match."""
-    return F.when(c.rlike(pattern), trim(F.regexp_extract(c, pattern, group)))
+    """The group of the first match, which is never empty; null without a match."""
+    return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
 
 
 def doctor(c: Column) -> Column:
-    return _first(c, DOCTOR, 1)
+    return trim(_first(c, DOCTOR, 1))
 
 
 def hospital(c: Column) -> Column:
-    return F.when(c.rlike(HOSPITAL), F.regexp_extract(c, HOSPITAL, 1))
+    return F.when(c.rlike("Hospital|Clinic|Diagnostics|Lab|Medical Center"), _first(c, HOSPITAL, 1))
 
 
 def date_time(c: Column) -> Column:
-    return F.when(c.rlike(DATE_TIME), F.regexp_extract(c, DATE_TIME, 0))
+    return _first(c, DATE_TIME, 0)
 
 
 def conclusion(c: Column) -> Column:
-    return _first(c, CONCLUSION, 1)
+    """What follows the first heading up to a closing word on its line, or to the end of the text."""
+    ended = F.concat(c, F.lit("\0"))
+    found = F.arrays_zip(F.regexp_extract_all(ended, F.lit(CONCLUSION), F.lit(1)).alias("text"), F.regexp_extract_all(ended, F.lit(CONCLUSION), F.lit(2)).alias("end"))
+    first = F.get(F.filter(found, lambda m: m["end"] != ""), F.lit(0))["text"]
+    return F.when(c.rlike(_HEAD), trim(first))
 
 
 def parameters(c: Column) -> Column:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.operators.predicates import all_of, equals, not_deleted, not_deleted_or_unknown, owned_by, search
+from caseloom.operators.predicates import all_of, not_deleted, not_deleted_or_unknown, owned_by, search
 from caseloom.sources.schema import ordinal
 
 # Bounds of a page.
@@ -60,6 +60,9 @@ class Listing:
     """A list endpoint: what it searches, filters and sorts by, and how its pages count.
 
     Unknown filters are refused, or dropped where ``lenient_filters`` says so.
+    ``instead`` names filters that count only where another is not given;
+    ``trimmed`` those whose value loses its outer white space.  Two filters on
+    one column both hold.
     """
 
     searched: tuple[str, ...]
@@ -69,17 +72,24 @@ class Listing:
     owner: str | None = "user_id"
     deleted: str | None = "strict"
     lenient_filters: bool = False
+    instead: tuple[tuple[str, str], ...] = ()
+    trimmed: tuple[str, ...] = ()
 
     def where(self, owner: object = None, **given: object) -> Column:
         """Owner first, then the delete flag, each given filter, and the search."""
         unknown = set(given) - set(self.filters) - {"search"}
         if unknown and not self.lenient_filters:
             raise ValueError(f"no filter {sorted(unknown)}")
+        given = {k: v for k, v in given.items() if v is not None and v != ""}
+        for second, main in self.instead:
+            if main in given:
+                given.pop(second, None)
+        given = {k: v.strip() if k in self.trimmed and isinstance(v, str) else v for k, v in given.items()}
         guard = {"strict": not_deleted, "lenient": not_deleted_or_unknown}.get(self.deleted or "")
         return all_of(
             owned_by(owner, self.owner) if self.owner and owner is not None else None,
             guard() if guard else None,
-            *[equals(self.filters[k], v) for k, v in given.items() if k in self.filters],
+            *[F.col(self.filters[k]) == F.lit(v) for k, v in given.items() if k in self.filters],
             search(given.get("search"), *self.searched),
         )
 
@@ -102,7 +112,7 @@ def listing(table: str, variant: str = "page") -> Listing:
         return Listing(("file_name", "hospital_name", "doctor_name"), {"documentType": "document_type"}, Sorts({"createdAt": "created_at", "fileName": "file_name", "reportDate": "report_date", "documentType": enum("document_type", "document_type")}), deleted="lenient")
     if table == "documents":
         sorts = {"createdAt": "created_at", "title": "file_name", "fileName": "file_name", "hospitalName": "hospital_name", "doctorName": "doctor_name", "reportDate": "report_date", "documentType": "document_type", "type": enum("document_type", "document_type"), "fileType": enum("file_type", "file_type")}
-        return Listing(("file_name", "hospital_name", "doctor_name", "remarks", "document_type"), _documents_filter(), Sorts(sorts, descending=False), deleted="lenient")
+        return Listing(("file_name", "hospital_name", "doctor_name", "remarks", "document_type"), _documents_filter(), Sorts(sorts, descending=False), deleted="lenient", instead=(("type", "documentType"),), trimmed=("documentType", "type"))
     if table == "medications":
         sorts = {"createdAt": "created_at", "medicationName": "medication_name", "startDate": "start_date", "medicationType": enum("medication_type", "medication_type"), "frequency": enum("frequency_type", "frequency")}
         return Listing(("medication_name", "prescribed_by", "notes", "medication_type", "frequency", "food_frequency"), {"medicationType": "medication_type", "frequency": "frequency", "foodFrequency": "food_frequency"}, Sorts(sorts), lenient_filters=True)

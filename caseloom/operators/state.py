@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,19 +18,20 @@ WINDOW_MINUTES = 15
 WINDOW_LIMIT = 100
 
 
-def attempts(events: DataFrame, key: str, at: str, failed: Column, limit: int = MAX_ATTEMPTS) -> DataFrame:
+def attempts(events: DataFrame, key: str, at: str, failed: Column, limit: int = MAX_ATTEMPTS, tie: str | None = None) -> DataFrame:
     """One row for each key: login_attempts, status, blocked_at after all its events.
 
     A success resets the counter; the ``limit``-th failure in a row blocks, and
     what follows a block changes nothing.  Runs are numbered by the successes
     before them, so this is two windows over one partitioning, without a
-    collected list.
+    collected list.  Events of one time are taken by ``tie``, or failures first.
     """
-    own = Window.partitionBy(key).orderBy(at)
-    rows = events.select(F.col(key), F.col(at), failed.cast("int").alias("_bad"))
+    order = [at, tie] if tie else [at, F.desc("_bad")]
+    own = Window.partitionBy(key).orderBy(*order)
+    rows = events.select(F.col(key), F.col(at), *([F.col(tie)] if tie else []), failed.cast("int").alias("_bad"))
     rows = rows.withColumn("_run", F.sum(1 - F.col("_bad")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.sum("_bad").over(Window.partitionBy(key, "_run").orderBy(at).rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max_by("_n", at)
+    rows = rows.withColumn("_n", F.sum("_bad").over(Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    last = F.max_by("_n", F.struct(F.col(at), F.col(tie) if tie else F.col("_run"), F.col("_n")))
     done = rows.groupBy(key).agg(F.min(F.when(F.col("_n") >= limit, F.col(at))).alias("blocked_at"), last.alias("_last"))
     return done.select(key, F.when(F.col("blocked_at").isNotNull(), F.lit(limit)).otherwise(F.col("_last")).cast("bigint").alias("login_attempts"), F.when(F.col("blocked_at").isNotNull(), "BLOCKED").otherwise("ACTIVE").alias("status"), "blocked_at")
 
@@ -52,9 +58,103 @@ def over_limit(events: DataFrame, key: str, at: str, minutes: int = WINDOW_MINUT
     return counted.select(key, F.col("w.start").alias("window_start"), "hits")
 
 
-def latest(events: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
-    """The newest row of each key, by one aggregate."""
-    return events.groupBy(key).agg(F.max(at).alias(at), *[F.max_by(c, at).alias(c) for c in columns])
+def over_limit_from_first(events: DataFrame, key: str, at: str, minutes: int = WINDOW_MINUTES, limit: int = WINDOW_LIMIT) -> DataFrame:
+    """Windows that begin with a key's first event, the next one with its first event after that window, in which it has more than ``limit``.
+
+    Where a window begins depends on the one before, so a key's times are read
+    in order; equal times are counted before the shuffle, and a partition is
+    read as a sorted stream with one open window, so no group is held.
+    """
+    kind = dict(events.dtypes)[at]
+    times = events.filter(F.col(at).isNotNull()).groupBy(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = times.repartition("key").sortWithinPartitions("key", "at")
+    width = minutes * 60_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, begin, hits, is_open = None, 0, 0, False
+        for batch in batches:
+            keys, at_, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            total = np.append(0, np.cumsum(n))
+            codes = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy()
+            edge = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
+            out: list[tuple] = []
+            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                own, i = keys[a].as_py(), a
+                if is_open and own != open_key:
+                    out.append((open_key, begin, hits))
+                    is_open = False
+                while i < z:
+                    if not is_open:
+                        open_key, begin, hits, is_open = own, int(at_[i]), 0, True
+                    j = a + int(np.searchsorted(at_[a:z], begin + width))
+                    hits += int(total[j] - total[i])
+                    i = j
+                    if i < z:
+                        out.append((open_key, begin, hits))
+                        is_open = False
+            yield _windows([r for r in out if r[2] > limit], keys.type)
+        if is_open and hits > limit:
+            yield _windows([(open_key, begin, hits)], keys.type)
+
+    got = ordered.mapInArrow(run, f"key {dict(times.dtypes)['key']}, at bigint, hits bigint")
+    return got.select(F.col("key").alias(key), F.timestamp_micros("at").cast(kind).alias("window_start"), "hits")
+
+
+def _windows(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["key", "at", "hits"])
+
+
+def latest(events: DataFrame, key: str, at: str, *columns: str, tie: str | None = None) -> DataFrame:
+    """The newest row of each key, by one aggregate; of rows of one time the one with the highest ``tie``, or the highest values."""
+    by = F.struct(F.col(at), F.col(tie)) if tie else F.struct(F.col(at), *[F.col(c) for c in columns])
+    return events.groupBy(key).agg(F.max(at).alias(at), *[F.max_by(c, by).alias(c) for c in columns])
+
+
+def sessions(events: DataFrame, as_of: Column) -> DataFrame:
+    """Sessions from their events (session_id, user_id, kind, token_hash, expires_at, at): created, rotated, revoked.
+
+    A rotation replaces hash and expiry unless the session is revoked by then; a
+    second revocation moves logout_time.  ``state`` is ACTIVE, EXPIRED or REVOKED
+    at as_of; sessions that were never created are left out.
+    """
+    revoked = F.min(F.when(F.col("kind") == "revoke", F.col("at"))).over(Window.partitionBy("session_id"))
+    counts = F.col("kind").isin("create", "rotate") & (F.col("_revoked").isNull() | (F.col("at") <= F.col("_revoked")))
+    by = F.when(counts, F.struct("at", F.col("kind") == "rotate", "token_hash"))
+    one = events.withColumn("_revoked", revoked).groupBy("session_id").agg(
+        F.max_by("user_id", F.when(F.col("kind") == "create", F.col("at"))).alias("user_id"),
+        F.min(F.when(F.col("kind") == "create", F.col("at"))).alias("login_time"),
+        F.max_by("token_hash", by).alias("token_hash"), F.max_by("expires_at", by).alias("expires_at"),
+        F.max(F.when(F.col("kind") == "revoke", F.col("at"))).alias("logout_time"),
+    )
+    state = F.when(F.col("logout_time").isNotNull(), "REVOKED").when(F.col("expires_at") > as_of, "ACTIVE").otherwise("EXPIRED")
+    return one.filter(F.col("login_time").isNotNull()).withColumn("state", state)
+
+
+def due_doses(medications: DataFrame, as_of: Column, minutes: int = 15) -> DataFrame:
+    """Doses whose reminder falls into the ``minutes`` from as_of on: (id, user_id, time, due_at). An extension: only its columns are given.
+
+    A reminder stands reminder_before_minutes before a time of day; rows that
+    are deleted, without reminders, not begun or ended have none.
+    """
+    day = as_of.cast("date")
+    begun = (F.col("start_date") <= F.date_add(day, 1)) & (F.coalesce(F.col("ongoing"), F.lit(False)) | F.col("end_date").isNull() | (F.col("end_date") >= day))
+    live = medications.filter(~F.col("soft_delete") & F.coalesce(F.col("dose_reminders"), F.lit(False)) & begun)
+    slot = live.select("id", "user_id", "start_date", "end_date", "ongoing", "reminder_before_minutes", F.explode("medication_times").alias("t"))
+    # of today or of tomorrow: a reminder before midnight may be for a dose after it
+    slot = slot.select("*", F.explode(F.array(day, F.date_add(day, 1))).alias("day"))
+    clock = F.split(F.col("t.time"), ":")
+    hour = F.get(clock, F.lit(0)).try_cast("int") % 12 + F.when(F.upper(F.col("t.period")) == "PM", 12).otherwise(0)
+    due = F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=hour, mins=F.get(clock, F.lit(1)).try_cast("int"))
+    slot = slot.withColumn("due_at", due).withColumn("_at", F.col("due_at") - F.make_dt_interval(mins=F.col("reminder_before_minutes")))
+    inside = (F.col("_at") >= as_of) & (F.col("_at") < as_of + F.make_dt_interval(mins=F.lit(minutes)))
+    ends = F.coalesce(F.col("ongoing"), F.lit(False)) | F.col("end_date").isNull() | (F.col("day") <= F.col("end_date"))
+    return slot.filter(inside & ends & (F.col("day") >= F.col("start_date"))).select("id", "user_id", F.col("t.time").alias("time"), "due_at")
+
+
+def refills(medications: DataFrame, days: int = 3) -> DataFrame:
+    """Prescriptions to refill: alerts on, not deleted, and no more left than ``days`` take. An extension, as above."""
+    short = F.col("remaining_quantity") <= F.col("daily_consumption") * days
+    return medications.filter(~F.col("soft_delete") & F.coalesce(F.col("refill_alert"), F.lit(False)) & short).select("id", "user_id", "remaining_quantity")
 
 
 def unread(notifications: DataFrame, owner: str, read: Column) -> DataFrame:

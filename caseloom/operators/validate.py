@@ -71,6 +71,17 @@ def password(field: str) -> list[Rule]:
     return text(field, 8, 64) + [Rule(field, f"no {what}", ~F.col(field).rlike(p)) for what, p in PASSWORD]
 
 
+def page_rules(first: int = 1, most: int = 100) -> list[Rule]:
+    """Page and limit of a request row; values out of bounds are refused, not clamped."""
+    return [Rule("page", f"below {first}", F.col("page") < first), Rule("limit", "below 1", F.col("limit") < 1), Rule("limit", f"above {most}", F.col("limit") > most)]
+
+
+def list_rules(sorts: tuple[str, ...], enums: dict[str, str], first: int = 1) -> list[Rule]:
+    """Of a list request: sort name and direction, enum filters, page."""
+    known = [Rule("sort_by", "not a sort name", ~F.col("sort_by").isin(*sorts)), Rule("order_by", "not a direction", ~F.col("order_by").isin("asc", "desc"))]
+    return [*known, *[member(f, e) for f, e in enums.items()], *page_rules(first)]
+
+
 def patient_rules() -> list[Rule]:
     names = [r for f in ("first_name", "last_name") for r in (required(f), *text(f, 2, 255, LETTERS))]
     return [

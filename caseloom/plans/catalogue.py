@@ -8,14 +8,15 @@ login attempts, conversations for chat messages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions import medication, scalar, text
+from caseloom.functions import medication, scalar, signed, text
 from caseloom.operators import listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.plans import ingest
-from caseloom.sources.schema import ordinal
+from caseloom.sources.schema import camel, grown, ordinal, retyped
 from caseloom.sources.tables import alive, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -239,9 +240,11 @@ def hard_delete_survivors(spark, d):
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey WHERE o.o_orderkey = l.l_orderkey AND c.c_acctbal < 0)")
 def cascade_delete(spark, d):
-    gone = scan(spark, d, "customer", "c_custkey", "c_acctbal").filter("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
-    _, orders = mutations.delete_owned(scan(spark, d, "orders", "o_orderkey", "o_custkey"), gone, "o_custkey")
-    return mutations.delete_owned(scan(spark, d, "lineitem", "l_orderkey", "l_linenumber"), orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey")[0]
+    customers = scan(spark, d, "customer", "c_custkey", "c_acctbal")
+    lines = scan(spark, d, "lineitem", "l_orderkey", "l_linenumber").join(scan(spark, d, "orders", "o_orderkey", "o_custkey").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").withColumnRenamed("o_custkey", "user_id")
+    gone = customers.filter("c_acctbal < 0").select(F.col("c_custkey").alias("id"))
+    left = mutations.cascade(customers.withColumnRenamed("c_custkey", "id"), gone, {"documents": lines, "notifications": lines})
+    return left["documents"].drop("user_id")
 
 
 # --- lookups -----------------------------------------------------------------
@@ -339,10 +342,15 @@ def ext_intent_counts(spark, d):
     return _messages(spark, d).groupBy(text.intent(F.col("message")).alias("intent")).agg(F.count(F.lit(1)).alias("n"))
 
 
-_TASK = "CASE intent " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in text.TASKS.items()) + f" ELSE '{text.TASKS['SUMMARY']}' END"
+_TASK = (
+    "CASE intent WHEN 'MEDICATION' THEN 'From the medical record below, explain each medicine: what it is for and how it is taken.'"
+    " WHEN 'DIAGNOSIS' THEN 'From the medical record below, explain the diagnosis and what it means.'"
+    " WHEN 'LAB_REPORT' THEN 'From the medical record below, explain the test results and which values are out of range.'"
+    " ELSE 'Summarise the medical record below in plain words.' END"
+)
 
 
-@query(f"SELECT conv_id, turn, {_TASK} || chr(10) || 'Answer in JSON: {text.REPLY_SHAPE}' || chr(10) || 'Question: ' || message || chr(10) || 'Record: ' || 'none' AS prompt FROM (SELECT *, {_INTENT} AS intent FROM ({_MESSAGES}))")
+@query(f"""SELECT conv_id, turn, {_TASK} || chr(10) || 'Answer in JSON: {{"summary": "", "importantFindings": [], "simpleExplanation": []}}' || chr(10) || 'Question: ' || message || chr(10) || 'Record: ' || 'none' AS prompt FROM (SELECT *, {_INTENT} AS intent FROM ({_MESSAGES}))""")
 def build_prompt(spark, d):
     return _messages(spark, d).select("conv_id", "turn", text.build_prompt(text.intent(F.col("message")), F.col("message"), F.lit("none")).alias("prompt"))
 
@@ -366,13 +374,25 @@ def _sql_first(pattern: str, group: int, trim: bool = True) -> str:
     return f"CASE WHEN regexp_matches(t, '{pattern}') THEN {_sql_trim(got) if trim else got} END"
 
 
-@query(f"SELECT doc_id, {_sql_first(text.HOSPITAL, 1, False)} AS hospital, {_sql_first(text.DOCTOR, 1)} AS doctor, {_sql_first(text.DATE_TIME, 0, False)} AS report_date, {_sql_first(text.CONCLUSION, 1)} AS remarks FROM ({_REPORTS})")
+# the patterns as they are given, in the notation of the other engine
+_SP = _WS[1:-1]
+_HOSPITAL = rf"([A-Z][A-Za-z{_SP}]{{3,80}}(?:Hospital|Clinic|Diagnostics|Lab|Laboratory|Medical Center))"
+_DOCTOR = rf"(?:Dr\.?|DR|Doctor|Physician|Consultant|Ref\.?{_WS}*By){_WS}*[:\-]?{_WS}*([A-Za-z{_SP}.]+)"
+_MON = "(?:Jan|January|Feb|February|Mar|March|Apr|April|May|Jun|June|Jul|July|Aug|August|Sep|September|Oct|October|Nov|November|Dec|December)"
+_HOUR = r"[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?"
+_DATE = rf"\b(?:[0-9]{{1,2}}[{_SP}/-]?{_MON}[{_SP},/-]?[0-9]{{2,4}}[{_SP},]*{_HOUR}{_WS}?(?:AM|PM|am|pm)?|[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}[{_SP}T]?{_HOUR}|[0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}[{_SP}T]{_HOUR})\b"
+_REMARKS = rf"(?:Interpretation|Conclusion|Remarks|Notes){_WS}*[:\-]?{_WS}*([^\n]*?)(?:Thanks|End of Report|Signature|\n?\z)"
+_PARAMETER = rf"([A-Za-z{_SP}()%\-]+?){_WS}+([0-9]+\.?[0-9]*){_WS}*([A-Za-z/%µgdl]*){_WS}*([0-9.\-to{_SP}]*)"
+_FIELDS = f"{_sql_first(_HOSPITAL, 1, False)} AS hospital, {_sql_first(_DOCTOR, 1)} AS doctor, {_sql_first(_DATE, 0, False)} AS report_date, {_sql_first(_REMARKS, 1)} AS remarks"
+
+
+@query(f"SELECT doc_id, {_FIELDS} FROM ({_REPORTS})")
 def extract_fields(spark, d):
     c = F.col("t")
     return _reports(spark, d).select("doc_id", text.hospital(c).alias("hospital"), text.doctor(c).alias("doctor"), text.date_time(c).alias("report_date"), text.conclusion(c).alias("remarks"))
 
 
-_GROUPS = ", ".join(f"regexp_extract_all(t, '{text.PARAMETER}', {i}) AS g{i}" for i in (1, 2, 3, 4))
+_GROUPS = ", ".join(f"regexp_extract_all(t, '{_PARAMETER}', {i}) AS g{i}" for i in (1, 2, 3, 4))
 _PARTS = ", ".join(f"{_sql_trim(f'unnest(g{i})')} AS {n}" for i, n in ((1, "name"), (2, "value"), (3, "unit"), (4, "reference")))
 
 
@@ -381,6 +401,12 @@ def extract_parameters(spark, d):
     return _reports(spark, d).select("doc_id", F.inline(text.parameters(F.col("t"))))
 
 
+@query(f"SELECT doc_id, {_FIELDS}, CAST(len(regexp_extract_all(t, '{_PARAMETER}', 2)) AS INT) AS n_parameters FROM ({_REPORTS})")
+def report_fields(spark, d):
+    got = _reports(spark, d).select("doc_id", text.report_fields(F.col("t")).alias("r"))
+    return got.select("doc_id", F.col("r.hospital_name").alias("hospital"), F.col("r.doctor_name").alias("doctor"), "r.report_date", "r.remarks", F.size("r.parameters").alias("n_parameters"))
+
+
 @query("SELECT c_custkey, '<p>Hi ' || replace(replace(replace(replace(replace(replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;'), '/', '&#x2F;'), '`', '&#x60;'), '=', '&#x3D;') || '</p><b>' || x || '</b>' AS html FROM (SELECT c_custkey, c_name || ' <a href=\"/x\">&' || c_mktsegment || '</a>' AS x FROM customer)")
 def render_template(spark, d):
     x = F.concat("c_name", F.lit(' <a href="/x">&'), "c_mktsegment", F.lit("</a>"))
@@ -466,7 +492,7 @@ def validate_customer(spark, d):
     return told.select("c_custkey", F.size("i").alias("n_issues"), validate.first_message(F.col("i")).alias("first_message"))
 
 
-_SUPPLY_CASES = "[CASE WHEN l_linenumber * 8 > CAST(l_quantity AS INT) THEN 'more than the quantity' END, CASE WHEN l_returnflag <> 'R' AND l_shipdate > TIMESTAMP '1998-06-01' THEN 'before the start' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber THEN 'more than the frequency allows' END]"
+_SUPPLY_CASES = "[CASE WHEN l_linenumber * 8 > CAST(l_quantity AS INT) THEN 'more than the quantity' END, CASE WHEN l_returnflag <> 'R' AND l_shipdate > TIMESTAMP '1998-06-01' THEN 'before the start' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber THEN 'more than the frequency allows' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END THEN 'more than the frequency allows' END, CASE WHEN l_linenumber % 2 = 0 THEN 'not as many as times' END, CASE WHEN l_linenumber >= 2 THEN 'more than one CUSTOM' END]"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST(len(i) AS INT) AS n_issues, i[1] AS first_message FROM (SELECT l_orderkey, l_linenumber, list_filter({_SUPPLY_CASES}, lambda x: x IS NOT NULL) AS i FROM lineitem)")
@@ -475,7 +501,7 @@ def validate_supply(spark, d):
         "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 8).alias("dose_per_intake"), F.col("l_quantity").cast("int").alias("total_quantity"), (F.col("l_returnflag") == "R").alias("ongoing"),
         F.col("l_shipdate").alias("start_date"), as_of().alias("end_date"), F.when(F.col("l_linestatus") == "O", "ONCE_DAILY").otherwise("THREE_TIMES_DAILY").alias("frequency"),
         F.array_repeat(F.struct(F.lit("08:00").alias("time"), F.lit("AM").alias("period")), F.col("l_linenumber")).alias("medication_times"), F.lit("TABLET").alias("medication_type"), F.lit("PILLS").alias("unit"),
-        F.lit("x").alias("medication_name"), F.lit(None).cast("array<string>").alias("best_taken"),
+        F.lit("x").alias("medication_name"), F.array_repeat(F.lit("CUSTOM"), F.col("l_linenumber") + (F.col("l_linenumber") % 2 == 0).cast("int")).alias("best_taken"),
     )
     told = rows.withColumn("i", validate.issues(validate.medication_rules()))
     return told.select("l_orderkey", "l_linenumber", F.size("i").alias("n_issues"), validate.first_message(F.col("i")).alias("first_message"))
@@ -503,14 +529,14 @@ def status_gate(spark, d):
 
 
 @query(
-    "WITH e AS (SELECT user_id, ts, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM events WHERE event_type IN ('error', 'signup')),"
-    " n AS (SELECT user_id, ts, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts) AS k FROM e),"
-    " b AS (SELECT user_id, min(CASE WHEN k >= 3 THEN ts END) AS blocked_at, arg_max(k, ts) AS last FROM n GROUP BY user_id)"
+    "WITH e AS (SELECT user_id, ts, event_id, event_type = 'error' AS bad, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events WHERE event_type IN ('error', 'signup')),"
+    " n AS (SELECT user_id, ts, event_id, sum(CASE WHEN bad THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, run ORDER BY ts, event_id) AS k FROM e),"
+    " b AS (SELECT user_id, min(CASE WHEN k >= 3 THEN ts END) AS blocked_at, arg_max(k, {'a': ts, 'b': event_id}) AS last FROM n GROUP BY user_id)"
     " SELECT user_id, CAST(CASE WHEN blocked_at IS NOT NULL THEN 3 ELSE last END AS BIGINT) AS login_attempts, CASE WHEN blocked_at IS NOT NULL THEN 'BLOCKED' ELSE 'ACTIVE' END AS status, blocked_at FROM b"
 )
 def failed_attempts(spark, d):
-    e = scan(spark, d, "events", "user_id", "ts", "event_type").filter(F.col("event_type").isin("error", "signup"))
-    return state.attempts(e, "user_id", "ts", F.col("event_type") == "error")
+    e = scan(spark, d, "events", "event_id", "user_id", "ts", "event_type").filter(F.col("event_type").isin("error", "signup"))
+    return state.attempts(e, "user_id", "ts", F.col("event_type") == "error", tie="event_id")
 
 
 @query("SELECT user_id, time_bucket(INTERVAL 15 MINUTE, ts, TIMESTAMP '2000-01-01 00:00:00') AS window_start, count(*) AS hits FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -518,9 +544,9 @@ def rate_limit(spark, d):
     return state.over_limit(scan(spark, d, "events", "user_id", "ts"), "user_id", "ts", limit=1)
 
 
-@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, ts) AS event_type, arg_max(value, ts) AS value FROM events GROUP BY user_id")
+@query("SELECT user_id, max(ts) AS ts, arg_max(event_type, {'a': ts, 'b': event_id}) AS event_type, arg_max(value, {'a': ts, 'b': event_id}) AS value FROM events GROUP BY user_id")
 def latest_session_state(spark, d):
-    return state.latest(scan(spark, d, "events", "user_id", "ts", "event_type", "value"), "user_id", "ts", "event_type", "value")
+    return state.latest(scan(spark, d, "events", "event_id", "user_id", "ts", "event_type", "value"), "user_id", "ts", "event_type", "value", tie="event_id")
 
 
 @query("SELECT 1 AS ok")
@@ -549,3 +575,372 @@ def structured_record(spark, d):
     reply = F.concat(F.lit("```json\n"), F.to_json(F.struct(F.struct(F.col("source").alias("name")).alias("hospital"), F.struct(F.col("lang").alias("name")).alias("doctor"), F.struct(F.lit("2024-01-02").alias("date")).alias("report"))), F.lit("\n```"))
     r = scan(spark, d, "documents", "doc_id", "source", "lang").select("doc_id", text.parse_record(reply).alias("r"))
     return r.select("doc_id", F.col("r.hospital.name").alias("hospital_name"), F.col("r.doctor.name").alias("doctor_name"), scalar.date_or_null(F.col("r.report.date")).alias("report_date"))
+
+
+# --- list requests -----------------------------------------------------------
+
+_DOCS = "SELECT p_partkey AS id, 'u' || p_size % 3 AS user_id, p_type AS document_type, p_name AS file_name, p_brand AS hospital_name, CASE p_size % 4 WHEN 0 THEN NULL WHEN 1 THEN TRUE ELSE FALSE END AS soft_delete FROM part"
+
+
+def _docs(spark, d):
+    size = F.col("p_size")
+    flag = F.when(size % 4 == 1, True).when(size % 4 != 0, False)
+    return scan(spark, d, "part").select(
+        F.col("p_partkey").alias("id"), F.concat(F.lit("u"), (size % 3).cast("string")).alias("user_id"), F.col("p_type").alias("document_type"), F.col("p_name").alias("file_name"), F.col("p_brand").alias("hospital_name"), flag.alias("soft_delete")
+    )
+
+
+_OWN = "user_id = 'u1' AND NOT coalesce(soft_delete, FALSE)"
+
+
+@query(f"SELECT id, document_type FROM ({_DOCS}) WHERE {_OWN} AND document_type = 'PROMO'")
+def alias_precedence(spark, d):
+    """documentType is taken and type is not; its outer white space goes."""
+    spec = listing.listing("documents")
+    return _docs(spark, d).filter(spec.where(owner="u1", documentType=" PROMO ", type="SMALL")).select("id", "document_type")
+
+
+@query(f"SELECT id FROM ({_DOCS}) WHERE {_OWN} AND document_type = 'SMALL'")
+def alias_alone(spark, d):
+    """type counts where documentType is empty; title and fileName both hold, so different ones leave nothing."""
+    spec, docs = listing.listing("documents"), _docs(spark, d)
+    both = docs.filter(spec.where(owner="u1", title="a name", fileName="another"))
+    return docs.filter(spec.where(owner="u1", documentType="", type="SMALL")).select("id").unionByName(both.select("id"))
+
+
+@query(f"SELECT id, file_name FROM ({_DOCS}) WHERE {_OWN} AND hospital_name ILIKE '%1%' ORDER BY file_name DESC NULLS FIRST, id LIMIT 20 OFFSET 20")
+def column_map(spark, d):
+    """API names of filters and sorts: title is file_name, createdBy the owner."""
+    spec = listing.listing("documents")
+    where = spec.where(owner="u1", createdBy="u1") & predicates.search("1", "hospital_name")
+    return spec.page(_docs(spark, d), where, 2, 20, "title", "desc")[0].select("id", "file_name")
+
+
+@query(f"SELECT id FROM ({_DOCS}) WHERE {_OWN} AND user_id = 'u2'")
+def other_owner(spark, d):
+    """createdBy joins the owner scope, so another's id gives nothing."""
+    return _docs(spark, d).filter(listing.listing("documents").where(owner="u1", createdBy="u2")).select("id")
+
+
+@query(f"SELECT id, document_type FROM ({_DOCS}) WHERE {_OWN} AND document_type = 'ECONOMY'")
+def intended_equality(spark, d):
+    return _docs(spark, d).filter(listing.listing("documents", "get").where(owner="u1", documentType="ECONOMY")).select("id", "document_type")
+
+
+@query("SELECT o_orderkey AS \"oOrderkey\", o_orderstatus AS \"oOrderstatus\" FROM orders")
+def camel_names(spark, d):
+    return camel(scan(spark, d, "orders", "o_orderkey", "o_orderstatus"))
+
+
+_GROWN = "['STANDARD', 'SMALL', 'MEDIUM', 'NEW', 'LARGE', 'ECONOMY', 'PROMO', 'LAST']"
+
+
+@query(f"SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY list_position({_GROWN}, p_type) DESC NULLS FIRST, p_partkey) AS place, CAST(list_position({_GROWN}, p_type) AS BIGINT) AS ordinal FROM part")
+def enum_grown(spark, d):
+    """Members added before another and at the end; every row's place in the order of its brand."""
+    key = ordinal(grown(grown(PART_TYPES, "LAST"), "NEW", "LARGE"), F.col("p_type"))
+    order = Window.partitionBy("p_brand").orderBy(listing.order_key(key, True), "p_partkey")
+    return scan(spark, d, "part", "p_partkey", "p_brand", "p_type").select("p_partkey", F.row_number().over(order).cast("bigint").alias("place"), key.cast("bigint").alias("ordinal"))
+
+
+@query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY k DESC NULLS FIRST, o_orderkey) AS down, row_number() OVER (PARTITION BY o_custkey ORDER BY k ASC NULLS LAST, o_orderkey) AS up FROM (SELECT o_orderkey, o_custkey, nullif(o_orderpriority, '1-URGENT') AS k FROM orders)")
+def sort_nulls_whole(spark, d):
+    """Null order in both directions, over every row."""
+    rows = scan(spark, d, "orders", "o_orderkey", "o_custkey", "o_orderpriority").withColumn("k", F.nullif("o_orderpriority", F.lit("1-URGENT")))
+    place = lambda down: F.row_number().over(Window.partitionBy("o_custkey").orderBy(listing.order_key(F.col("k"), down), "o_orderkey")).cast("bigint")
+    return rows.select("o_orderkey", place(True).alias("down"), place(False).alias("up"))
+
+
+@query("SELECT event_id, CAST(props->>'$.k' AS BIGINT) AS k, CAST(user_id AS VARCHAR) AS user_id FROM events")
+def column_types(spark, d):
+    """Text to JSON values, a number to text."""
+    rows = retyped(scan(spark, d, "events", "event_id", "user_id", "props"), {"props": "variant", "user_id": "string"})
+    return rows.select("event_id", F.variant_get("props", "$.k", "bigint").alias("k"), "user_id")
+
+
+# --- mutations of one row ----------------------------------------------------
+
+_STATE = "SELECT o_orderkey AS id, o_orderpriority AS notes, o_orderstatus = 'P' AS soft_delete, o_orderdate AS updated_at FROM orders"
+
+
+def _state(spark, d):
+    return scan(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("notes"), (F.col("o_orderstatus") == "P").alias("soft_delete"), F.col("o_orderdate").alias("updated_at"))
+
+
+@query(f"SELECT id, CASE WHEN id = 7 AND NOT soft_delete THEN 'X' ELSE notes END AS notes, CASE WHEN id = 7 AND NOT soft_delete THEN {_TS} ELSE updated_at END AS updated_at FROM ({_STATE}) UNION ALL SELECT id, 'X', {_TS} FROM ({_STATE}) WHERE id = 7 AND NOT soft_delete")
+def update_live_row(spark, d):
+    """The next state and the rows returned: only if not deleted, with updated_at."""
+    after, told = mutations.update_live(_state(spark, d), 7, {"notes": "X"}, as_of())
+    return after.unionByName(told).drop("soft_delete")
+
+
+@query(f"SELECT id, CASE WHEN id < 50 THEN NULL ELSE notes END AS notes, updated_at FROM ({_STATE}) UNION ALL SELECT id, NULL, updated_at FROM ({_STATE}) WHERE id < 50")
+def update_any_row(spark, d):
+    """Deleted rows too, and updated_at stays."""
+    after, told = mutations.update(_state(spark, d), F.col("id") < 50, {"notes": None}, None)
+    return after.unionByName(told).drop("soft_delete")
+
+
+@query(f"SELECT id, is_active AND id <> 11 AS is_active, soft_delete OR id = 11 AS soft_delete, CASE WHEN id = 11 THEN {_SESSION_TS} END AS logout_time, CASE WHEN id = 11 THEN {_SESSION_TS} ELSE login_time END AS updated_at FROM ({_SESSIONS})")
+def revoke_session(spark, d):
+    rows = _sessions(spark, d).select("id", "is_active", "soft_delete", F.lit(None).cast("timestamp_ntz").alias("logout_time"), F.col("login_time").alias("updated_at"))
+    return mutations.revoke_session(rows, 11, F.lit("2024-01-20").cast("timestamp_ntz"))[0]
+
+
+# --- request rules -----------------------------------------------------------
+
+
+def _told(df, rules, *keys):
+    """Of each row: how many issues, the first message, and the fields in order."""
+    told = df.withColumn("i", validate.issues(rules))
+    fields = F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["field"], x["message"])), "; ")
+    return told.select(*keys, F.size("i").alias("n_issues"), fields.alias("issues"))
+
+
+def _told_sql(cases: list[tuple[str, str]], source: str, *keys: str) -> str:
+    one = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in cases)
+    listed = f"list_filter([{one}], lambda x: x IS NOT NULL)"
+    return f"SELECT {', '.join(keys)}, CAST(len(i) AS INT) AS n_issues, array_to_string(i, '; ') AS issues FROM (SELECT *, {listed} AS i FROM ({source}))"
+
+
+_IDS = "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN m ELSE substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21) END AS id FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)"
+
+
+@query(_told_sql([("id:required", "id IS NULL"), ("id:not a UUID", "NOT regexp_matches(id, '^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$')")], _IDS, "c_custkey"))
+def validate_id(spark, d):
+    m = F.md5("c_name")
+    dashed = F.concat_ws("-", *[F.substring(m, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    rows = scan(spark, d, "customer", "c_custkey", "c_name").select("c_custkey", F.when(F.col("c_custkey") % 3 == 1, m).when(F.col("c_custkey") % 3 == 2, dashed).alias("id"))
+    return _told(rows, validate.uuid("id"), "c_custkey")
+
+
+@query(_told_sql([("page:below 1", "page < 1"), ("limit:below 1", "l < 1"), ("limit:above 100", "l > 100")], "SELECT event_id, event_id % 5 - 1 AS page, event_id % 131 AS l FROM events", "event_id"))
+def validate_page(spark, d):
+    rows = scan(spark, d, "events", "event_id").withColumns({"page": F.col("event_id") % 5 - 1, "limit": F.col("event_id") % 131})
+    return _told(rows, validate.page_rules(1), "event_id")
+
+
+_LIST_SQL = [
+    ("sort_by:not a sort name", "s NOT IN ('createdAt', 'title', 'fileName', 'hospitalName', 'doctorName', 'reportDate', 'documentType', 'type', 'fileType')"), ("order_by:not a direction", "o NOT IN ('asc', 'desc')"),
+    ("document_type:not one of the choices", "t NOT IN ('family', 'medical_document', 'medication', 'insurance', 'other')"), ("page:below 0", "p < 0"), ("limit:below 1", "l < 1"), ("limit:above 100", "l > 100"),
+]
+
+
+@query(_told_sql(_LIST_SQL, "SELECT event_id, ['title', 'size', 'reportDate', NULL][CAST(event_id % 4 AS INT) + 1] AS s, ['asc', 'up', 'desc'][CAST(event_id % 3 AS INT) + 1] AS o, ['other', 'letter', NULL][CAST(event_id % 3 AS INT) + 1] AS t, event_id % 5 - 1 AS p, event_id % 131 AS l FROM events", "event_id"))
+def validate_document_list(spark, d):
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("event_id") % len(v)).cast("int"))
+    rows = scan(spark, d, "events", "event_id").withColumns({"sort_by": pick("title", "size", "reportDate", None), "order_by": pick("asc", "up", "desc"), "document_type": pick("other", "letter", None), "page": F.col("event_id") % 5 - 1, "limit": F.col("event_id") % 131})
+    return _told(rows, validate.list_rules(tuple(listing.listing("documents").sorts.names), {"document_type": "document_type"}, 0), "event_id")
+
+
+@query(_told_sql(
+    [("sort_by:not a sort name", "s NOT IN ('createdAt', 'medicationName', 'startDate', 'medicationType', 'frequency')"), ("order_by:not a direction", "o NOT IN ('asc', 'desc')"), ("medication_type:not one of the choices", "m NOT IN ('TABLET', 'CAPSULE', 'SYRUP', 'DROP', 'INJECTION')"),
+     ("frequency:not one of the choices", "f NOT IN ('ONCE_DAILY', 'TWICE_DAILY', 'THREE_TIMES_DAILY', 'AS_NEEDED')"), ("page:below 1", "p < 1"), ("limit:below 1", "l < 1"), ("limit:above 100", "l > 100")],
+    "SELECT event_id, ['startDate', 'reportDate', 'frequency'][CAST(event_id % 3 AS INT) + 1] AS s, ['asc', 'desc'][CAST(event_id % 2 AS INT) + 1] AS o, ['TABLET', 'PILL'][CAST(event_id % 2 AS INT) + 1] AS m, ['AS_NEEDED', 'HOURLY', NULL][CAST(event_id % 3 AS INT) + 1] AS f, event_id % 5 - 1 AS p, event_id % 131 AS l FROM events", "event_id"))
+def validate_medication_list(spark, d):
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("event_id") % len(v)).cast("int"))
+    rows = scan(spark, d, "events", "event_id").withColumns({"sort_by": pick("startDate", "reportDate", "frequency"), "order_by": pick("asc", "desc"), "medication_type": pick("TABLET", "PILL"), "frequency": pick("AS_NEEDED", "HOURLY", None), "page": F.col("event_id") % 5 - 1, "limit": F.col("event_id") % 131})
+    return _told(rows, validate.list_rules(tuple(listing.listing("medications").sorts.names), {"medication_type": "medication_type", "frequency": "frequency_type"}), "event_id")
+
+
+_PATIENTS = "SELECT c_custkey, ['A', 'Ann', 'Ann1', NULL][CAST(c_custkey % 4 AS INT) + 1] AS first_name, ['ann@example.org', 'ann@example', 'a@b.org', NULL, 'Ann.Lee+x@mail.example.org'][CAST(c_custkey % 5 AS INT) + 1] AS email, ['Secret1!', 'secret', 'SECRET12', NULL][CAST(c_custkey % 4 AS INT) + 1] AS password, CAST(c_custkey % 160 AS INT) AS age, ['male', 'other'][CAST(c_custkey % 2 AS INT) + 1] AS gender, CASE c_custkey % 3 WHEN 0 THEN '0123456789' WHEN 1 THEN '+49 123' END AS phone FROM customer"
+_PASSWORD_SQL = [
+    ("password:required", "password IS NULL"), ("password:shorter than 8", "length(password) < 8"), ("password:no upper", "NOT regexp_matches(password, '[A-Z]')"), ("password:no lower", "NOT regexp_matches(password, '[a-z]')"),
+    ("password:no digit", "NOT regexp_matches(password, '[0-9]')"), ("password:no symbol", "NOT regexp_matches(password, '[@$!%*?&]')"),
+]
+_EMAIL_SQL = [("email:required", "email IS NULL"), ("email:shorter than 8", "length(email) < 8"), ("email:wrong characters", "NOT regexp_matches(email, '^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}$')")]
+_PATIENT_SQL = [
+    ("first_name:required", "first_name IS NULL"), ("first_name:shorter than 2", "length(first_name) < 2"), ("first_name:wrong characters", "NOT regexp_matches(first_name, '^[A-Za-z ]+$')"), *_EMAIL_SQL, *_PASSWORD_SQL,
+    ("age:below 1", "age < 1"), ("age:above 150", "age > 150"), ("gender:not one of the choices", "gender NOT IN ('female', 'male')"), ("phone:required", "phone IS NULL"), ("phone:not ten digits", "NOT regexp_matches(phone, '^[0-9]{10}$')"),
+]
+
+
+def _patients(spark, d):
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("c_custkey") % len(v)).cast("int"))
+    return scan(spark, d, "customer", "c_custkey").withColumns({
+        "first_name": pick("A", "Ann", "Ann1", None), "last_name": F.lit("Lee"), "user_name": F.lit("annlee"), "email": pick("ann@example.org", "ann@example", "a@b.org", None, "Ann.Lee+x@mail.example.org"),
+        "password": pick("Secret1!", "secret", "SECRET12", None), "age": (F.col("c_custkey") % 160).cast("int"), "gender": pick("male", "other"), "phone": pick("0123456789", "+49 123", None),
+        "otp": pick("123456", "12", None), "device_token": F.when(F.col("c_custkey") % 2 == 0, F.repeat(F.lit("d"), (F.col("c_custkey") % 1000).cast("int"))), "refresh_token": pick("x", "", None),
+    })
+
+
+@query(_told_sql(_PATIENT_SQL, _PATIENTS, "c_custkey"))
+def validate_patient(spark, d):
+    return _told(_patients(spark, d), validate.patient_rules(), "c_custkey")
+
+
+@query(_told_sql([*_EMAIL_SQL, *_PASSWORD_SQL, ("device_token:longer than 500", "c_custkey % 2 = 0 AND c_custkey % 1000 > 500")], _PATIENTS, "c_custkey"))
+def validate_login(spark, d):
+    return _told(_patients(spark, d), validate.auth_rules("login"), "c_custkey")
+
+
+@query(_told_sql([*_EMAIL_SQL, ("otp:required", "c_custkey % 3 = 2"), ("otp:not six characters", "c_custkey % 3 = 1")], _PATIENTS, "c_custkey"))
+def validate_code(spark, d):
+    return _told(_patients(spark, d), validate.auth_rules("verify"), "c_custkey")
+
+
+@query(_told_sql([("refresh_token:required", "c_custkey % 3 = 2"), ("refresh_token:empty", "c_custkey % 3 = 1")], "SELECT c_custkey FROM customer", "c_custkey"))
+def validate_refresh(spark, d):
+    return _told(_patients(spark, d), validate.auth_rules("refresh"), "c_custkey")
+
+
+@query(_told_sql(
+    [("document_type:required", "t IS NULL"), ("document_type:not one of the choices", "t NOT IN ('family', 'medical_document', 'medication', 'insurance', 'other')"), ("file_name:shorter than 2", "length(n) < 2"), ("file_size:below 1", "z < 1"), ("file_size:above 26214400", "z > 26214400"),
+     ("file_type:not one of the choices", "f NOT IN ('image/png', 'text/plain')"), ("s3_key:longer than 500", "k > 500")],
+    "SELECT p_partkey, ['family', 'letter', NULL][CAST(p_partkey % 3 AS INT) + 1] AS t, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'x' END AS n, p_partkey * 20011 - 40022 AS z, ['image/png', 'image/gif', 'text/plain'][CAST(p_partkey % 3 AS INT) + 1] AS f, p_partkey % 700 AS k FROM part", "p_partkey"))
+def validate_document(spark, d):
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % len(v)).cast("int"))
+    rows = scan(spark, d, "part", "p_partkey", "p_name").withColumns({
+        "document_type": pick("family", "letter", None), "file_name": F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("x"), "file_path": F.lit("p"), "file_size": F.col("p_partkey") * 20011 - 40022,
+        "file_type": pick("image/png", "image/gif", "text/plain"), "s3_bucket": F.lit(None).cast("string"), "s3_key": F.repeat(F.lit("k"), (F.col("p_partkey") % 700).cast("int")),
+    })
+    return _told(rows, validate.document_rules(), "p_partkey")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Notice' ELSE event_type END AS title, CASE WHEN event_id % 2 = 0 THEN 'You have news' ELSE props END AS body, CAST(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS INT) AS n_issues, CASE event_id % 5 WHEN 0 THEN 'user_id:required' WHEN 1 THEN 'user_id:empty' ELSE '' END AS issues FROM events")
+def validate_notification(spark, d):
+    i = F.col("event_id")
+    rows = scan(spark, d, "events", "event_id", "event_type", "props").select("event_id", F.when(i % 3 != 0, F.col("event_type")).alias("title"), F.when(i % 2 != 0, F.col("props")).alias("body"), F.when(i % 5 == 1, "").when(i % 5 != 0, "u").alias("user_id"))
+    return _told(rows.withColumns(validate.notification_defaults("Notice", "You have news")), validate.notification_rules(), "event_id", "title", "body")
+
+
+# --- tokens, codes and objects ----------------------------------------------
+
+_KEY, _AT = b"a key of the catalogue", "TIMESTAMP '2024-01-15 00:00:00'"
+
+
+def _hmac_sql(key: bytes, message: str) -> str:
+    pad = lambda x: bytes(b ^ x for b in key.ljust(64, b"\0")).hex()
+    return f"from_hex(sha256(from_hex('{pad(0x5C)}') || from_hex(sha256(from_hex('{pad(0x36)}') || encode({message})))))"
+
+
+def _b64_sql(blob: str) -> str:
+    return f"replace(replace(replace(base64({blob}), '+', '-'), '/', '_'), '=', '')"
+
+
+_CLAIMS_SQL = """'{"sessionId":"' || event_id || '","userId":"' || user_id || '","tokenType":"refresh","iat":' || CAST(floor(epoch(ts)) AS BIGINT) || ',"exp":' || CAST(floor(epoch(ts)) + 604800 AS BIGINT) || ',"aud":"app","iss":"records","sub":"' || user_id || '"}'"""
+_BODY_SQL = f"'eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9.' || {_b64_sql(f'encode({_CLAIMS_SQL})')}"
+
+
+@query(
+    f"SELECT event_id, CASE WHEN event_id % 4 = 0 THEN substr(t, 1, length(t) - 1) ELSE t END AS token, CASE WHEN event_id % 4 <> 0 AND epoch(ts) + 604800 > epoch({_AT}) THEN CAST(user_id AS VARCHAR) END AS user_id"
+    f" FROM (SELECT *, b || '.' || {_b64_sql(_hmac_sql(_KEY, 'b'))} AS t FROM (SELECT event_id, user_id, ts, {_BODY_SQL} AS b FROM events))"
+)
+def session_tokens(spark, d):
+    """Signed refresh tokens, a quarter of them cut; who is let in by those that verify."""
+    now = F.lit("2024-01-15").cast("timestamp_ntz")
+    claims = signed.token_claims(F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.col("ts"), "records", "app", refresh=True)
+    token = signed.sign_token(claims, _KEY)
+    rows = scan(spark, d, "events", "event_id", "user_id", "ts").select("event_id", F.when(F.col("event_id") % 4 == 0, token.substr(F.lit(1), F.length(token) - 1)).otherwise(token).alias("token"))
+    return rows.select("event_id", "token", signed.verify_token(F.col("token"), _KEY, now, "records", "app", refresh=True)["userId"].alias("user_id"))
+
+
+def _presigned_sql() -> str:
+    import hashlib
+    import hmac
+
+    key = b"AWS4secret"
+    for step in (b"20240115", b"eu-west-1", b"s3", b"aws4_request"):
+        key = hmac.new(key, step, hashlib.sha256).digest()
+    ask = "X-Amz-Algorithm=AWS4-HMAC-SHA256&X-Amz-Credential=id%2F20240115%2Feu-west-1%2Fs3%2Faws4_request&X-Amz-Date=20240115T103000Z&X-Amz-Expires=900&X-Amz-SignedHeaders=host"
+    path = "'/uploads/' || page_id || '%20' || replace(replace(replace(replace(replace(url, ':', '%3A'), '?', '%3F'), '=', '%3D'), '&', '%26'), '#', '%23')"
+    request = f"'GET' || chr(10) || {path} || chr(10) || '{ask}' || chr(10) || 'host:records.s3.amazonaws.com' || chr(10) || chr(10) || 'host' || chr(10) || 'UNSIGNED-PAYLOAD'"
+    to_sign = f"'AWS4-HMAC-SHA256' || chr(10) || '20240115T103000Z' || chr(10) || '20240115/eu-west-1/s3/aws4_request' || chr(10) || sha256({request})"
+    return f"SELECT page_id, 'https://records.s3.amazonaws.com' || {path} || '?{ask}&X-Amz-Signature=' || lower(hex({_hmac_sql(key, to_sign)})) AS link FROM pages"
+
+
+@query(_presigned_sql())
+def presigned_links(spark, d):
+    key = F.concat(F.lit("uploads/"), F.col("page_id").cast("string"), F.lit(" "), F.col("url"))
+    return scan(spark, d, "pages", "page_id", "url").select("page_id", signed.presigned_get(key, "records", "eu-west-1", "id", "secret", datetime(2024, 1, 15, 10, 30)).alias("link"))
+
+
+@query("SELECT c_custkey, c_name AS name, CAST(c_nationkey AS INT) AS nation FROM customer")
+def credentials_json(spark, d):
+    coded = F.base64(F.to_json(F.struct(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"))).cast("binary"))
+    return scan(spark, d, "customer", "c_custkey", "c_name", "c_nationkey").select("c_custkey", scalar.decode_json(coded, "name STRING, nation INT").alias("j")).select("c_custkey", "j.name", "j.nation")
+
+
+def _codes_sql(tries: int = 5) -> str:
+    parts = ["p0 AS (SELECT c_custkey FROM customer WHERE c_custkey % 2 = 0)", "u0 AS (SELECT c_custkey % 1000 AS code FROM customer WHERE c_custkey % 2 = 1 GROUP BY ALL)"]
+    for k in range(tries):
+        parts.append(f"w{k} AS (SELECT (c_custkey * 7 + {k * 13}) % 1000 AS code, min(c_custkey) AS c_custkey FROM p{k} WHERE (c_custkey * 7 + {k * 13}) % 1000 NOT IN (SELECT code FROM u{k}) GROUP BY ALL)")
+        parts.append(f"p{k + 1} AS (SELECT * FROM p{k} WHERE c_custkey NOT IN (SELECT c_custkey FROM w{k}))")
+        parts.append(f"u{k + 1} AS (SELECT code FROM u{k} UNION SELECT code FROM w{k})")
+    won = " UNION ALL ".join(f"SELECT c_custkey, code FROM w{k}" for k in range(tries))
+    return f"WITH {', '.join(parts)} SELECT c_custkey, code FROM p0 LEFT JOIN ({won}) USING (c_custkey)"
+
+
+@query(_codes_sql())
+def fresh_codes(spark, d):
+    """Codes that neither stored rows nor one another have, in five tries at most."""
+    c = scan(spark, d, "customer", "c_custkey")
+    taken = c.filter("c_custkey % 2 = 1").select((F.col("c_custkey") % 1000).alias("code"))
+    return lookups.fresh_codes(c.filter("c_custkey % 2 = 0"), taken, "c_custkey", "code", lambda k: (F.col("c_custkey") * 7 + k * 13) % 1000)
+
+
+# --- windows from the first request, sessions, reminders --------------------
+
+
+@query(
+    "WITH RECURSIVE w AS (SELECT user_id, min(ts) AS s FROM events GROUP BY user_id UNION ALL SELECT w.user_id, min(e.ts) FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s + INTERVAL 15 MINUTE GROUP BY w.user_id)"
+    " SELECT w.user_id, w.s AS window_start, count(*) AS hits FROM w JOIN events e ON e.user_id = w.user_id AND e.ts >= w.s AND e.ts < w.s + INTERVAL 15 MINUTE GROUP BY ALL HAVING count(*) > 1"
+)
+def rate_limit_from_first(spark, d):
+    return state.over_limit_from_first(scan(spark, d, "events", "user_id", "ts"), "user_id", "ts", limit=1)
+
+
+_LIMITED = "SELECT event_id % 7 AS client, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(CAST(event_id * event_id % 7919 AS BIGINT)) AS ts FROM events"
+
+
+@query(
+    f"WITH RECURSIVE e AS ({_LIMITED}), w AS (SELECT client, min(ts) AS s FROM e GROUP BY client UNION ALL SELECT w.client, min(e.ts) FROM w JOIN e ON e.client = w.client AND e.ts >= w.s + INTERVAL 15 MINUTE GROUP BY w.client)"
+    " SELECT w.client, w.s AS window_start, count(*) AS hits FROM w JOIN e ON e.client = w.client AND e.ts >= w.s AND e.ts < w.s + INTERVAL 15 MINUTE GROUP BY ALL HAVING count(*) > 100"
+)
+def rate_limit_default(spark, d):
+    """Few clients, many requests: the limit of 100 in 15 minutes."""
+    at = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=(F.col("event_id") * F.col("event_id") % 7919).cast("decimal(18,6)"))
+    return state.over_limit_from_first(scan(spark, d, "events", "event_id").select((F.col("event_id") % 7).alias("client"), at.alias("ts")), "client", "ts")
+
+
+_LIFE = "SELECT user_id AS session_id, user_id % 10 AS user_id, CASE event_type WHEN 'signup' THEN 'create' WHEN 'error' THEN 'revoke' ELSE 'rotate' END AS kind, md5(CAST(event_id AS VARCHAR)) AS token_hash, ts + INTERVAL 7 DAY AS expires_at, ts AS moment FROM events WHERE event_type <> 'error' OR user_id % 3 = 0"
+
+
+@query(
+    f"WITH e AS (SELECT *, min(CASE WHEN kind = 'revoke' THEN moment END) OVER (PARTITION BY session_id) AS r FROM ({_LIFE})), g AS (SELECT session_id, arg_max(user_id, moment) FILTER (WHERE kind = 'create') AS user_id, min(moment) FILTER (WHERE kind = 'create') AS login_time,"
+    " arg_max(token_hash, moment) FILTER (WHERE kind <> 'revoke' AND (r IS NULL OR moment <= r)) AS token_hash, arg_max(expires_at, moment) FILTER (WHERE kind <> 'revoke' AND (r IS NULL OR moment <= r)) AS expires_at, max(moment) FILTER (WHERE kind = 'revoke') AS logout_time FROM e GROUP BY session_id)"
+    f" SELECT *, CASE WHEN logout_time IS NOT NULL THEN 'REVOKED' WHEN expires_at > {_SESSION_TS} + INTERVAL 14 DAY THEN 'ACTIVE' ELSE 'EXPIRED' END AS state FROM g WHERE login_time IS NOT NULL"
+)
+def session_life(spark, d):
+    e = scan(spark, d, "events", "event_id", "user_id", "event_type", "ts").filter("event_type <> 'error' OR user_id % 3 = 0")
+    kind = lookups.mapped({"signup": "create", "error": "revoke"}, F.col("event_type"))
+    rows = e.select(F.col("user_id").alias("session_id"), (F.col("user_id") % 10).alias("user_id"), F.coalesce(kind, F.lit("rotate")).alias("kind"), F.md5(F.col("event_id").cast("string")).alias("token_hash"), (F.col("ts") + F.expr("interval 7 days")).alias("expires_at"), F.col("ts").alias("at"))
+    return state.sessions(rows, F.lit("2024-02-03").cast("timestamp_ntz"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderkey % 4 = 0 THEN 'in_progress' WHEN o_orderkey % 4 = 1 THEN 'failed' ELSE 'completed' END AS ocr_status FROM orders")
+def ocr_states(spark, d):
+    done = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderkey") % 4 != 1)
+    return scan(spark, d, "orders", "o_orderkey", "o_orderstatus").select("o_orderkey", state.ocr_status(F.col("o_orderstatus") != "P", done).alias("ocr_status"))
+
+
+def _prescriptions(spark, d):
+    clock = lambda h, p: F.struct(F.lit(h).alias("time"), F.lit(p).alias("period"))
+    return scan(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("user_id"), (F.col("l_returnflag") == "R").alias("soft_delete"), (F.col("l_linenumber") % 2 == 1).alias("dose_reminders"), (F.col("l_linenumber") % 2 == 0).alias("refill_alert"),
+        F.col("l_shipdate").cast("date").alias("start_date"), F.date_add(F.col("l_shipdate").cast("date"), 900).alias("end_date"), F.lit(False).alias("ongoing"), (F.col("l_linenumber") * 5).cast("int").alias("reminder_before_minutes"),
+        F.array(clock("08:00", "AM"), clock("12:10", "AM")).alias("medication_times"), F.col("l_quantity").cast("int").alias("remaining_quantity"), F.col("l_linenumber").alias("daily_consumption"),
+    )
+
+
+_DOSES = "SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS user_id, CAST(l_shipdate AS DATE) AS s, t.c AS time, CAST(t.d AS TIMESTAMP) AS due_at, CAST(t.d AS DATE) AS day, CAST(t.d AS TIMESTAMP) - to_minutes(CAST(l_linenumber * 5 AS BIGINT)) AS told FROM lineitem, (VALUES ('08:00', '1997-05-01 08:00:00'), ('08:00', '1997-05-02 08:00:00'), ('12:10', '1997-05-01 00:10:00'), ('12:10', '1997-05-02 00:10:00')) t(c, d) WHERE l_returnflag <> 'R' AND l_linenumber % 2 = 1"
+
+
+@query(f"SELECT id, user_id, time, due_at FROM ({_DOSES}) WHERE told >= TIMESTAMP '1997-05-01 23:50:00' AND told < TIMESTAMP '1997-05-02 00:05:00' AND day >= s AND day <= s + 900")
+def ext_due_doses(spark, d):
+    return state.due_doses(_prescriptions(spark, d), F.lit("1997-05-01 23:50:00").cast("timestamp_ntz"))
+
+
+@query("SELECT l_orderkey || '-' || l_linenumber AS id, l_orderkey AS user_id, CAST(l_quantity AS INT) AS remaining_quantity FROM lineitem WHERE l_returnflag <> 'R' AND l_linenumber % 2 = 0 AND CAST(l_quantity AS INT) <= l_linenumber * 3")
+def ext_refills(spark, d):
+    return state.refills(_prescriptions(spark, d))

@@ -52,6 +52,21 @@ def in_domain(enum: str, column: Column) -> Column:
     return column.isin(*ENUMS[enum])
 
 
+def grown(enum: str | tuple[str, ...], member: str, before: str | None = None) -> tuple[str, ...]:
+    """The members with one more, at the end or before another; places of stored values follow from it, values stay."""
+    members = ENUMS[enum] if isinstance(enum, str) else enum
+    if member in members:
+        return members
+    at = len(members) if before is None else members.index(before)
+    return (*members[:at], member, *members[at:])
+
+
+def retyped(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns in other types, in place; text becomes ``variant`` by reading it as JSON. What can't be read is an error, as in a migration."""
+    to = lambda c, k: F.parse_json(F.col(c)) if k.lower() == "variant" else F.col(c).cast(k)
+    return df.withColumns({c: to(c, k) for c, k in kinds.items()})
+
+
 # Defaults of omitted columns; AS_OF stands for the time of the statement and UUID for a fresh id.
 AS_OF, UUID = object(), object()
 DEFAULTS: dict[str, dict[str, object]] = {
@@ -75,7 +90,6 @@ def with_defaults(rows: DataFrame, table: str, as_of: Column) -> DataFrame:
     return rows.select(*out)
 
 
-
 def to_camel(name: str) -> str:
     head, *rest = name.split("_")
     return head + "".join(w.capitalize() for w in rest)

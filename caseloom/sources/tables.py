@@ -60,6 +60,30 @@ def object_key(kind: Column, at: Column, name: Column) -> Column:
     return F.when(folder.isNotNull(), F.concat(folder, F.lit("/"), F.unix_millis(at.cast("timestamp")).cast("string"), F.lit("-"), name))
 
 
+def delete_objects(keys: DataFrame, column: str, root: str) -> DataFrame:
+    """Deletes root/key for each distinct key, in the executors: (key, deleted, error). Empty and null keys and those that leave the root are refused."""
+
+    def run(batches):
+        from pyarrow import RecordBatch, array, bool_, fs, string
+
+        system, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            done, errors = [], []
+            for key in b.column(0).to_pylist():
+                try:
+                    if not key or ".." in key.split("/"):
+                        raise ValueError("no key")
+                    system.delete_file(f"{base}/{key}")
+                    done.append(True)
+                    errors.append(None)
+                except (OSError, ValueError) as e:  # a missing object is a row, not a failed job
+                    done.append(False)
+                    errors.append(str(e))
+            yield RecordBatch.from_arrays([b.column(0), array(done, bool_()), array(errors, string())], ["key", "deleted", "error"])
+
+    return keys.select(F.col(column).alias("key")).distinct().mapInArrow(run, "key string, deleted boolean, error string")
+
+
 def send_each(deliver: Callable[[list[dict]], None] | None, batch: int = 500) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for mail or push: delivers in bounded batches from the executors; without a way to deliver, rows are skipped."""
 
