@@ -31,14 +31,14 @@ SHARD_BYTES = 3 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set here only where it is unset."""
-    path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Where none is set, a local session gets a temporary one; on a cluster that is an error."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if path is None:
-        kept = spark.sparkContext.getCheckpointDir()
-        if kept is None:
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
-            kept = spark.sparkContext.getCheckpointDir()
-        path = kept
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
+        path = context.getCheckpointDir()
     return path.rstrip("/")
 
 

@@ -10,7 +10,9 @@ Documents of any length are probed shingle by shingle against these small
 tables, and hits are verified by exact shingle containment.
 
 Items come to the driver in chunks of ``ITEMS_A_CHUNK`` items and ``BYTES_A_CHUNK``
-bytes at most on average, and each chunk is one pass over the documents, so what is broadcast is bounded.
+bytes at most on average, dealt by id and text (rows equal in both are
+one), and each chunk is one pass over the documents, so what is
+broadcast is bounded.
 
 Rows: null or empty documents hold nothing; items without words match nothing;
 an item that stands twice is reported under each item_id; equal documents get
@@ -108,11 +110,11 @@ class Items:
 
 
 def _chunks(benchmark: DataFrame) -> Iterator[Items]:
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     n = max(1, -(-size["n"] // ITEMS_A_CHUNK), -(-size["bytes"] // BYTES_A_CHUNK))
     for i in range(n):
-        rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == i).orderBy("item_id", "text").collect()
+        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).orderBy("item_id", "text").collect()
         yield Items([r.item_id for r in rows], [r.text for r in rows])
 
 
