@@ -68,6 +68,37 @@ def test_repeated_ids_and_clashing_columns(spark):
     assert got == [(1, 0), (1, 2), (1, 2), (None, 2)]
 
 
+def test_double_precision_and_large_components(spark):
+    """Vectors that are one in single precision are two in double; components beyond its range are finite."""
+    e = 1e-9
+    rows = [(5, [1.0, 0.0], 0), (3, [1.0, e], 0), (None, [1e300, 1e200], 0), (None, [0.0, -1e300], 0), (7, [1e-300, 1.1e-300], 0), (8, [2e200, 2.2e200], 0), (9, [0.0, -1.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    assert rows_of(neighbours.near_duplicates(df)) == sorted([(3, 2, 3, True), (5, 2, 3, False), (None, 2, 3, False), (None, 1, 9, False), (9, 1, 9, True), (7, 1, 7, True), (8, 1, 7, False)], key=str)
+    # just above and below the cosine, by less than single precision tells
+    c = 0.95
+    near = [(1, [1.0, 0.0], 0)] + [(i, [c + d, float(np.sqrt(1 - (c + d) ** 2))], 0) for i, d in ((2, 1e-10), (3, -1e-10))]
+    got = {r.vec_id: r.n_links for r in neighbours.near_duplicates(spark.createDataFrame(near, "vec_id long, embedding array<double>, label int")).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+
+
+def test_ring_of_blocks_keeps_every_close_pair_and_drops_most_others():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 64))
+    x[350:] = x[:350] + rng.normal(size=(350, 64)) * 0.2
+    b = neighbours.Blocks(x, 700, 0.95, leaf=50)
+    y = b.turned(x)
+    i, j = np.triu_indices(700, 1)
+    near = (y[i] * y[j]).sum(1) >= 0.95
+    keeps = b.keeps(y[i] - y[j])
+    assert near.sum() > 100 and keeps[near].any(1).all() and keeps[~near].any(1).mean() < 0.01
+    half = y.astype(np.float16).astype(np.float32)
+    for k in range(len(b.cols)):  # rounding to half precision loses no candidate
+        cols, both = b.pair(k)
+        gap = half[i] - half[j]
+        got = ((gap[:, b.cols[k]] ** 2).sum(1) <= neighbours.slack(b.budget[k])) & ((gap[:, cols] ** 2).sum(1) <= neighbours.slack(both))
+        assert got[keeps[:, k]].all()
+
+
 def test_budgets_cover_every_close_pair():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(400, 12))
