@@ -5,13 +5,17 @@ leftmost non-overlapping matches of a fixed pattern that pass a fixed test; they
 always stay.  High-recall generators propose further, overlapping spans
 (written-out mail addresses, numbers without a country sign, cards with other
 separators or a failed check digit, addresses of eight groups).  Boosted trees
-score every proposal by its format and the words beside it; a span is added if
-its probability reaches its kind's threshold and it overlaps no base span.
-
-The trees are trained on synthetic sentences (``TRAIN_ROWS``, a fixed seed):
-Spark computes their features by the same expressions, numpy grows the trees,
-and a second part of the rows sets the thresholds, the lowest with a precision
-of ``PRECISION``.  The trees then become CASE expressions.
+score every proposal by its format and the words beside it; a proposal stands if
+its probability reaches its kind's threshold and it overlaps no base span.  Of
+proposals that overlap one another the most probable is selected (then the
+first, then the kind listed first).
+
+The trees are trained on synthetic sentences (``TRAIN_ROWS``, a fixed seed),
+once a driver: Spark computes their features by the same expressions, numpy
+grows the trees, and a second part of the rows sets the thresholds, the lowest
+with a precision of ``PRECISION``.  The sentences lead in with phrases of their
+own (``LEADS``), of which some hold a word that the features look for and some
+don't.  The trees then become CASE expressions.
 
 Positions are code points, ends exclusive.  Patterns are written with
 possessive parts and look-behinds so that they match what the plain ones do in
@@ -26,7 +30,7 @@ from __future__ import annotations
 import random
 import warnings
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +68,16 @@ WORDS_FOR = {"email": "mail|contact|write|reply", "ip": "ip|host|server|addr|pin
 WORDS_AGAINST = "order|invoice|isbn|version|date|serial|ref|item|build|total|page|year|time"
 
 
+#: Phrases before the number or address of a training sentence.
+LEADS = {
+    "email": ["mail me under", "my e-mail", "you reach me by", "write to", "send it over to", "inbox", "signed", "contact"],
+    "ip": ["logged in from", "the server", "seen at", "host", "connect to", "node", "from address"],
+    "card": ["charged to", "credit card", "billed on", "visa ending", "payment by", "holder number", "debit"],
+    "phone": ["call me", "my number", "ring", "phone", "fax", "text me on", "reach us under", "mobile"],
+}
+OTHER_LEADS = ["order", "invoice no", "isbn", "version", "due date", "serial", "ref", "part", "build", "sum", "page", "year", "at the time", "section", "lot", "weighs"]
+
+
 def located(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans (start, kind, end, found) of all matches that pass ``keep``, in order."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -249,7 +263,7 @@ def synthetic(rows: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[int, str, int
     for n in range(rows):
         kind, good = rng.choice(KINDS), rng.random() < 0.5
         sep, left, right = rng.choice(" -./_"), "", ""
-        lead = rng.choice(WORDS_FOR[kind].split("|")) if rng.random() < (0.85 if good else 0.05) else word()
+        lead = rng.choice(LEADS[kind]) if rng.random() < (0.85 if good else 0.05) else word()
         if kind == "email":
             at, dot = rng.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" @ ", "."), ("@", " dot "), (" (at) ", ".")])
             host = rng.choice(["com", "org", "net", "de", "io"]) if good else word()
@@ -269,13 +283,15 @@ def synthetic(rows: int = TRAIN_ROWS, seed: int = 7) -> list[tuple[int, str, int
             a, b, c = num(3), num(3), num(4)
             span = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a} {b} {c}", f"00{num(2)} {a} {b}{c}", f"{a}.{b}.{c}"]) if good else rng.choice([f"{num(4)}-{num(3)}-{num(2)}", f"{num(2)}/{num(3)}-{num(3)}", f"{num(3)}.{num(3)} {num(2)}", f"{a} {b} {num(3)}", f"{num(3)} {num(3)}"])
         if not good and rng.random() < 0.6:
-            lead = rng.choice(WORDS_AGAINST.split("|"))
+            lead = rng.choice(OTHER_LEADS)
         head = f"{word()} {word()} {lead}{rng.choice([': ', ' ', ' is '])}{left}"
         out.append((n, f"{head}{span}{right} {word()} {word()}.", len(head) if good else -1, len(head) + len(span)))
     return out
 
 
+@lru_cache(maxsize=1)
 def fit(spark: SparkSession) -> Trees:
+    """The same trees each time; grown once for a session."""
     data = spark.createDataFrame(synthetic(), "n int, text string, a int, z int")
     got = data.select("n", "text", "a", "z", F.explode(wide_spans(F.col("text"))).alias("s")).select(
         "n", "a", "z", "s.kind", "s.start", "s.end", features(F.col("text"), F.col("s")).alias("f")
@@ -301,11 +317,21 @@ def find(docs: DataFrame, model: Trees | None = None, keep: tuple[str, ...] = ()
     rows = rows.withColumn("base", base_spans(F.col("_t"))).withColumn("wide", wide_spans(F.col("_t")))
     least = F.array(*[F.lit(t) for t in model.thresholds])
 
-    def added(s: Column) -> Column:
-        clear = ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-        return clear & F.exists(F.array(features(F.col("_t"), s)), lambda f: model.probability(f) >= F.get(least, s["kind"]))
+    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    clear = F.filter("wide", lambda s: ~F.exists("base", lambda b: over(b, s)))
+    fields = ("start", "kind", "end", "found")
+
+    def scored(s: Column) -> Column:
+        """The span behind minus its probability, or behind 1 where it stays under the threshold."""
+        p = F.element_at(F.transform(F.array(features(F.col("_t"), s)), model.probability), 1)
+        return F.struct(F.when(p >= F.get(least, s["kind"]), -p).otherwise(1.0).alias("p"), *[s[c].alias(c) for c in fields])
+
+    def select(chosen: Column, s: Column) -> Column:
+        span = F.struct(*[s[c].alias(c) for c in fields])
+        return F.when(F.exists(chosen, lambda c: over(c, s)), chosen).otherwise(F.array_append(chosen, span))
 
-    rows = rows.withColumn("added", F.when(F.size("wide") > 0, F.filter("wide", added)).otherwise(_none()))
+    ranked = F.array_sort(F.filter(F.transform(clear, scored), lambda s: s["p"] <= 0))
+    rows = rows.withColumn("added", F.when(F.size("wide") > 0, F.aggregate(ranked, _none(), select)).otherwise(_none()))
     return rows.withColumn("spans", F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"))).otherwise(F.col("base"))).drop("wide")
 
 

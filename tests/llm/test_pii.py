@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from caseloom.llm import pii
 from tests.llm.util import docs_frame
@@ -117,3 +118,25 @@ def test_redaction_and_clashing_columns(spark, model):
 def test_main_path_has_no_python(spark, model):
     plan = pii.personal_data(docs_frame(spark, [(1, "a")]), model)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_added_spans_do_not_overlap(spark):
+    """Of overlapping proposals the most probable stays; base spans stay as they are."""
+    rng = random.Random(11)
+    part = lambda: rng.choice(["12", "1234", "5678", "x at y dot com", "a.b@c.de", "555-7713", "(017)", "+1 (017) 555-7713", "4845168114407329", "7536784127813050", "fe80:1:2:3:4:5:6:7", " ", "-", ".", " call ", " card "])
+    rows = [(i, "".join(part() + rng.choice(["", " "]) for _ in range(rng.randint(1, 25)))) for i in range(120)]
+    # thresholds of 0 let every clear proposal stand
+    model = pii.Trees(0.0, [(2, 3.0, 0.4, -0.2)], [0.0] * 4)
+    got = pii.find(docs_frame(spark, rows), model).collect()
+    wide = {r.doc_id: r.w for r in docs_frame(spark, rows).select("doc_id", pii.wide_spans(F.col("text")).alias("w")).collect()}
+    over = lambda a, b: a.start < b.end and b.start < a.end
+    letters = lambda s: sum(c.isalpha() and c.isascii() for c in s.found)
+    n = 0
+    for r in got:
+        want = []
+        for s in sorted((s for s in wide[r.doc_id] if not any(over(s, b) for b in r.base)), key=lambda s: (letters(s) > 3, s.start, s.kind, s.end)):
+            if not any(over(s, c) for c in want):
+                want.append(s)
+        assert [tuple(x) for x in r.added] == [tuple(x) for x in want]
+        n += len(want)
+    assert n > 50
