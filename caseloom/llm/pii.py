@@ -43,7 +43,12 @@ TREES = 24
 DEPTH = 3
 RATE = 0.3
 CONTEXT = 24
+BLOCK = 128
+#: Code points a piece of a text; longer than a proposal and its context.
+PIECE = 1024
 
+_SPAN = "struct<start:int,kind:int,end:int,found:string>"
+_SCORED = "struct<p:double,start:int,kind:int,end:int,found:string>"
 _LOCAL = r"[A-Za-z0-9._%+-]"
 #: The base patterns, as linear equivalents: a match begins at a run's start, or where the last match ended.
 BASE = {
@@ -78,20 +83,73 @@ LEADS = {
 OTHER_LEADS = ["order", "invoice no", "isbn", "version", "due date", "serial", "ref", "part", "build", "sum", "page", "year", "at the time", "section", "lot", "weighs"]
 
 
+def carried(items: Column, move, each, kind: str) -> Column:
+    """``each(item, state)`` of every item, in order; the state starts at 0 and is moved by each item before.
+
+    Results are gathered in blocks of ``BLOCK`` and the blocks joined, so that a long array isn't copied at each step.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def heads(blocks: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("heads"))
+        step = lambda acc, b: F.struct(F.aggregate(b, acc["state"], move).alias("state"), F.array_append(acc["heads"], acc["state"]).alias("heads"))
+        return F.aggregate(blocks, zero, step, lambda acc: acc["heads"])
+
+    def run(block: Column, head: Column) -> Column:
+        step = lambda acc, x: F.struct(move(acc["state"], x).alias("state"), F.array_append(acc["out"], each(x, acc["state"])).alias("out"))
+        return F.aggregate(block, F.struct(head.alias("state"), empty.alias("out")), step, lambda acc: acc["out"])
+
+    cut = lambda xs: F.transform(F.sequence(F.lit(1), F.greatest(F.size(xs), F.lit(1)), F.lit(BLOCK)), lambda i: F.slice(xs, i, F.lit(BLOCK)))
+    return _let(_let(items, cut), lambda blocks: F.flatten(F.zip_with(blocks, heads(blocks), run)))
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def located(text: Column, pattern: str, kind: int, keep) -> Column:
     """Spans (start, kind, end, found) of all matches that pass ``keep``, in order."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pair = F.arrays_zip(found.alias("m"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,found:string>>").alias("out"))
+    # the text behind the last match comes as a pair without a match
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+
+    def span(x: Column, at: Column) -> Column:
+        a = at + F.length(x["g"])
+        return F.struct(a.alias("start"), F.lit(kind).alias("kind"), (a + F.length(x["m"])).alias("end"), x["m"].alias("found"))
+
+    spans = carried(pairs, lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), span, _SPAN)
+    return F.filter(spans, lambda s: s["found"].isNotNull() & keep(s["found"]))
+
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + F.length(x["g"])
-        z = a + F.length(x["m"])
-        span = F.struct(a.alias("start"), F.lit(kind).alias("kind"), z.alias("end"), x["m"].alias("found"))
-        return F.struct(z.alias("at"), F.when(keep(x["m"]), F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
+def uncovered(wide: Column, base: Column) -> Column:
+    """The spans of ``wide`` that overlap none of ``base``: one walk by position, with the farthest end of the base spans begun."""
+    begun = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(True).alias("base"), b.alias("s")))
+    asked = F.transform(wide, lambda s: F.struct(s["end"].alias("at"), F.lit(False).alias("base"), s.alias("s")))
+    move = lambda till, e: F.when(e["base"], F.greatest(till, e["s"]["end"])).otherwise(till)
+    clear = lambda e, till: F.when(~e["base"] & (till <= e["s"]["start"]), e["s"])
+    return F.filter(carried(F.array_sort(F.concat(begun, asked)), move, clear, _SPAN), lambda s: s.isNotNull())
 
-    return F.aggregate(F.transform(pair, lambda p: F.struct(p["m"].alias("m"), p["g"].alias("g"))), start, step, lambda acc: acc["out"])
+
+def select(standing: Column) -> Column:
+    """Of overlapping spans (p, start, kind, end, found) the one that comes first by p, then the next that is clear of it.
+
+    Spans that overlap no other are taken at once; only the rest are held against one another.
+    """
+    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    placed = F.array_sort(F.transform(standing, lambda s: F.struct(s["start"].alias("at"), s.alias("s"))))
+    apart = lambda x, till: F.struct((till <= x["at"]).alias("apart"), x["s"].alias("s"))
+    marked = carried(placed, lambda till, x: F.greatest(till, x["s"]["end"]), apart, f"struct<apart:boolean,s:{_SCORED}>")
+    alone = lambda x, y: F.struct((x["apart"] & (y["s"].isNull() | (y["s"]["start"] >= x["s"]["end"]))).alias("alone"), x["s"].alias("s"))
+    told = _let(marked, lambda xs: F.filter(F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), alone), lambda x: x["s"].isNotNull()))
+
+    def best(chosen: Column, s: Column) -> Column:
+        return F.when(F.exists(chosen, lambda c: over(c, s)), chosen).otherwise(F.array_append(chosen, s))
+
+    def join(xs: Column) -> Column:
+        part = lambda alone: F.transform(F.filter(xs, lambda x: x["alone"] == alone), lambda x: x["s"])
+        return F.array_sort(F.concat(part(True), F.aggregate(F.array_sort(part(False)), F.array().cast(f"array<{_SCORED}>"), best)))
+
+    return _let(told, join)
 
 
 def digits(found: Column) -> Column:
@@ -120,11 +178,9 @@ TESTS = {
     "phone": lambda m: _between(F.length(digits(m)), 10, 15),
 }
 
-_EMPTY = "array<struct<start:int,kind:int,end:int,found:string>>"
-
 
 def _none() -> Column:
-    return F.array().cast(_EMPTY)
+    return F.array().cast(f"array<{_SPAN}>")
 
 
 def base_spans(text: Column) -> Column:
@@ -152,7 +208,7 @@ def features(text: Column, span: Column) -> Column:
     m = span["found"]
     before = F.lower(F.substring(text, F.greatest(span["start"] - CONTEXT, F.lit(0)) + 1, F.least(span["start"], F.lit(CONTEXT))))
     after = F.substring(text, span["end"] + 1, F.lit(1))
-    last = F.substring(text, span["start"], F.lit(1))
+    last = F.substring(text, span["start"], F.when(span["start"] > 0, 1).otherwise(0))
     count = lambda p: F.length(m) - F.length(F.regexp_replace(m, p, ""))
     groups = F.filter(F.split(m, "[^A-Za-z0-9]+"), lambda g: F.length(g) > 0)
     says = reduce(lambda acc, k: F.when(span["kind"] == k, before.rlike(WORDS_FOR[KINDS[k]])).otherwise(acc), range(len(KINDS)), F.lit(False))
@@ -317,22 +373,24 @@ def find(docs: DataFrame, model: Trees | None = None, keep: tuple[str, ...] = ()
     rows = rows.withColumn("base", base_spans(F.col("_t"))).withColumn("wide", wide_spans(F.col("_t")))
     least = F.array(*[F.lit(t) for t in model.thresholds])
 
-    over = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
-    clear = F.filter("wide", lambda s: ~F.exists("base", lambda b: over(b, s)))
     fields = ("start", "kind", "end", "found")
 
     def scored(s: Column) -> Column:
         """The span behind minus its probability, or behind 1 where it stays under the threshold."""
-        p = F.element_at(F.transform(F.array(features(F.col("_t"), s)), model.probability), 1)
-        return F.struct(F.when(p >= F.get(least, s["kind"]), -p).otherwise(1.0).alias("p"), *[s[c].alias(c) for c in fields])
-
-    def select(chosen: Column, s: Column) -> Column:
-        span = F.struct(*[s[c].alias(c) for c in fields])
-        return F.when(F.exists(chosen, lambda c: over(c, s)), chosen).otherwise(F.array_append(chosen, span))
-
-    ranked = F.array_sort(F.filter(F.transform(clear, scored), lambda s: s["p"] <= 0))
-    rows = rows.withColumn("added", F.when(F.size("wide") > 0, F.aggregate(ranked, _none(), select)).otherwise(_none()))
-    return rows.withColumn("spans", F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"))).otherwise(F.col("base"))).drop("wide")
+        # two pieces hold the span and what lies beside it: a place far into a long text is slow to reach
+        piece = F.floor(F.greatest(s["start"] - CONTEXT, F.lit(0)) / PIECE).cast("int")
+        near = F.concat(F.get("pieces", piece), F.coalesce(F.get("pieces", piece + 1), F.lit("")))
+        there = F.struct((s["start"] - piece * PIECE).alias("start"), s["kind"].alias("kind"), (s["end"] - piece * PIECE).alias("end"), s["found"].alias("found"))
+        seen = _let(F.struct(near.alias("text"), there.alias("span")), lambda x: features(x["text"], x["span"]))
+        behind = lambda p: F.struct(F.when(p >= F.get(least, s["kind"]), -p).otherwise(1.0).alias("p"), *[s[c].alias(c) for c in fields])
+        return _let(_let(seen, model.probability), behind)
+
+    standing = F.filter(F.transform(uncovered(F.col("wide"), F.col("base")), scored), lambda s: s["p"] <= 0)
+    added = F.transform(select(standing), lambda s: F.struct(*[s[c].alias(c) for c in fields]))
+    pieces = F.regexp_extract_all("_t", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    rows = rows.withColumn("pieces", F.when(F.size("wide") > 0, pieces))
+    rows = rows.withColumn("added", F.when(F.size("wide") > 0, added).otherwise(_none()))
+    return rows.withColumn("spans", F.when(F.size("added") > 0, F.array_sort(F.concat("base", "added"))).otherwise(F.col("base"))).drop("wide", "pieces")
 
 
 def personal_data(docs: DataFrame, model: Trees | None = None) -> DataFrame:

@@ -140,3 +140,24 @@ def test_added_spans_do_not_overlap(spark):
         assert [tuple(x) for x in r.added] == [tuple(x) for x in want]
         n += len(want)
     assert n > 50
+
+
+def test_long_texts_are_judged_like_short_ones(spark, model):
+    """Many spans over many pieces of a text: scores from the whole text, overlaps told apart pair by pair."""
+    rng = random.Random(12)
+    part = lambda: rng.choice(["call (017) 555-7713", "12", "4845168114407329", "7536784127813050 ", "ann at x dot com", "a.b@c.de", "+1 (017) 555-7713", "fe80:1:2:3:4:5:6:7", "order 123 456 7890", "\U0001f600", " card "])
+    rows = [(i, "".join(part() + rng.choice(["", " ", ", "]) for _ in range(1200))) for i in range(3)]
+    docs = docs_frame(spark, rows)
+    s, text = F.col("s"), F.col("text")
+    scored = docs.select("doc_id", text, F.explode(pii.wide_spans(text)).alias("s")).select("doc_id", s, model.probability(pii.features(text, s)).alias("p")).collect()
+    over = lambda a, b: a.start < b.end and b.start < a.end
+    for r in pii.find(docs, model).collect():
+        standing = [x for x in scored if x.doc_id == r.doc_id and x.p >= model.thresholds[x.s.kind] and not any(over(x.s, b) for b in r.base)]
+        want = []
+        for x in sorted(standing, key=lambda x: (-x.p, x.s)):
+            if not any(over(x.s, c) for c in want):
+                want.append(x.s)
+        assert [tuple(x) for x in r.added] == [tuple(x) for x in want]
+        assert [(len(rows[r.doc_id][1][: x.start]), x.found) for x in r.spans] == [(x.start, rows[r.doc_id][1][x.start : x.end]) for x in r.spans]
+        assert len(want) > pii.BLOCK and len(r.base) > pii.BLOCK
+    assert max(len(t) for _, t in rows) > 10 * pii.PIECE
