@@ -75,6 +75,18 @@ def op10_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_span_dedup(table(spark, sf_dir, "documents"), PASSAGE)
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.tries import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings")).drop("label")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -112,10 +124,44 @@ n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
 SELECT doc_id, item_id, count(*) AS n_shared, any_value(n) AS n_item, count(*) / CAST(any_value(n) AS DOUBLE) AS containment
 FROM d JOIN i USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(n)"""
 
+# crc32 bit by bit: a byte goes in, then eight shifts (-1)
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, len(s) + 1), lambda i: [ascii(s[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"""
+
+_OP11 = f"""WITH t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT c, list({{'r': r, 'x': x}} ORDER BY turn NULLS FIRST, r, sha256(concat(octet_length(encode(r)), ':', r, x))) AS s FROM t GROUP BY c),
+h AS (SELECT c, {_CRC} % 9 AS h FROM (SELECT c, CAST(c AS VARCHAR) AS s FROM own)),
+seq AS (SELECT a.c, list_concat(coalesce(b.s[1:h], []), a.s[h + 1:]) AS s FROM own a JOIN h ON h.c = a.c LEFT JOIN own b ON b.c = a.c - a.c % 5),
+pre AS (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM seq),
+node AS (SELECT d, s[1:d] AS p, min(c) AS c, count(*) AS n, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE len(s) = d), '')) AS ends FROM pre GROUP BY ALL),
+kid AS (SELECT p[1:d - 1] AS p, count(*) AS k FROM node WHERE d > 0 GROUP BY ALL),
+own_ AS (SELECT node.*, coalesce(k, 0) AS k, CASE WHEN d = 0 THEN 0 ELSE (n - 1) * octet_length(encode(p[d].x)) END AS saved FROM node LEFT JOIN kid USING (p)),
+sub AS (SELECT p[1:i] AS p, count(*) FILTER (WHERE k = 0) AS leaves, CAST(sum(saved) AS BIGINT) AS saved FROM (SELECT p, k, saved, unnest(range(0, d + 1)) AS i FROM own_) GROUP BY ALL)
+SELECT a.c AS conv_id, a.d AS depth, b.c AS parent_conv_id, a.n AS n_convs, a.k AS n_children, sub.leaves AS n_leaves, sub.saved AS saved_tokens, a.ends AS ends_sha256
+FROM own_ a JOIN sub ON sub.p = a.p LEFT JOIN node b ON a.d > 0 AND b.p = a.p[1:a.d - 1]"""
+
+
+def _lloyd(k: int) -> str:
+    """Assignment a{k} of parts to codebook c{k}, and the codebook after it."""
+    gap = "list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))"
+    return f"""a{k} AS (SELECT r, part, x, arg_min(e, d * 64 + e) AS e, min(d) AS d FROM (SELECT r, part, x, e, coalesce({gap}, 0) AS d FROM p JOIN c{k} USING (part)) GROUP BY r, part, x),
+m{k} AS (SELECT part, e, i, floor(sum(x[i]) / count(*)) AS v FROM (SELECT *, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY part, e, i),
+c{k + 1} AS (SELECT c.part, c.e, coalesce(any_value(n.y), c.y) AS y FROM c{k} c LEFT JOIN (SELECT part, e, list(CAST(v AS BIGINT) ORDER BY i) AS y FROM m{k} GROUP BY part, e) n USING (part, e) GROUP BY c.part, c.e, c.y)"""
+
+
+_OP13 = f"""WITH q AS (SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+p AS (SELECT r, part, v[part * w + 1:(part + 1) * w] AS x FROM (SELECT r, v, len(v) // 16 AS w, unnest(range(0, 16)) AS part FROM q)),
+c0 AS (SELECT part, e, x AS y FROM p JOIN (SELECT r, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM q QUALIFY e < 64) USING (r)),
+{_lloyd(0)}, {_lloyd(1)}, {_lloyd(2)},
+s AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, e)) AS h FROM c2),
+w AS (SELECT r, string_agg(printf('%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM q JOIN w USING (r), s"""
+
 
 def oracle_sql() -> dict[str, str]:
-    """Ops 1 to 4, 7, 9 and 10 have no SQL: tokenizers, learned models, byte windows of whole corpora and seeded choices are tested by brute force."""
-    return {"op5_neighbours": _OP5, "op6_jaccard": _OP6, "op8_decontaminate": _OP8}
+    """Ops 1 to 4, 7, 9, 10 and 12 have no SQL: tokenizers, learned models, byte windows of whole corpora and seeded choices are tested by brute force."""
+    return {"op5_neighbours": _OP5, "op6_jaccard": _OP6, "op8_decontaminate": _OP8, "op11_conversation_trie": _OP11, "op13_vector_codes": _OP13}
 
 
 __all__ = ["oracle_sql", "queries"]

@@ -18,8 +18,12 @@ COLUMNS = {
     8: ["doc_id", "item_id"],
     9: ["doc_id", "size", "source_size", "target", "taken"],
     10: ["doc_id", "n_removed", "text"],
+    11: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    13: ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
+TABLES = {5: "embeddings", 13: "embeddings"}
+
 
 def name_of(n):
     return next(q for q in entry.queries() if q.startswith(f"op{n}_"))
@@ -36,8 +40,8 @@ def test_query(spark, n):
     df = entry.queries()[name_of(n)](spark, SMALL)
     assert set(COLUMNS[n]) <= set(df.columns)
     rows = df.collect()
-    table = spark.read.parquet(f"{SMALL}/{'embeddings' if n == 5 else 'documents'}.parquet")
-    if n != 8:
+    table = spark.read.parquet(f"{SMALL}/{TABLES.get(n, 'documents')}.parquet")
+    if n not in (8, 11):
         assert len(rows) == table.count()
     if (sql := entry.oracle_sql().get(name_of(n))) is None:
         return
