@@ -81,6 +81,12 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from caseloom.llm.pages import main_text
+
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from caseloom.llm.codes import vector_codes
 

@@ -19,10 +19,11 @@ COLUMNS = {
     9: ["doc_id", "size", "source_size", "target", "taken"],
     10: ["doc_id", "n_removed", "text"],
     11: ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"],
+    12: ["page_id", "url", "text", "n_chars"],
     13: ["vec_id", "code", "error", "label_error", "codebooks_sha256"],
 }
 
-TABLES = {5: "embeddings", 13: "embeddings"}
+TABLES = {5: "embeddings", 12: "pages", 13: "embeddings"}
 
 
 def name_of(n):
