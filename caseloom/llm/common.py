@@ -18,11 +18,13 @@ import inspect
 import math
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Parquet bytes that a shard holds on average, unless the session sets ``spark.caseloom.shardBytes``.
 #: A shard is one Python group of some thirty times its text in memory at most; each shard writes to
@@ -57,17 +59,47 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-#: A plan estimate above this says that Catalyst doesn't know.
-UNKNOWN_BYTES = 1 << 55
+#: Plan nodes through which Catalyst's estimate of a scan (its files) stays one of the rows; joins multiply, generators guess.
+_PLAIN = frozenset("Project Filter SubqueryAlias Union Sort Repartition RepartitionByExpression RebalancePartitions LogicalRelation DataSourceV2ScanRelation LocalRelation".split())
+#: Bytes of text that Parquet writes as one, about.
+TEXT_TO_FILE = 2
+
+
+def _is_plain(node) -> bool:
+    kids = node.children()
+    return node.getClass().getSimpleName() in _PLAIN and all(_is_plain(kids.apply(i)) for i in range(kids.size()))
 
 
 def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of a plan (for a scan, its files); where it has none, the measured size of the texts."""
-    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if known < UNKNOWN_BYTES:
-        return known
-    text = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) if "text" in df.columns else F.count(F.lit(1)) * 512
-    return int(df.agg(text).first()[0] or 0)
+    """Bytes of files that the rows would fill, about: of a plain scan Catalyst's estimate, of any other plan the measured texts."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if _is_plain(plan):
+        return int(str(plan.stats().sizeInBytes()))
+    text = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16) if "text" in df.columns else F.count(F.lit(1)) * 512
+    return int(df.agg(text).first()[0] or 0) // TEXT_TO_FILE
+
+
+def fresh(name: str, columns: list[str]) -> str:
+    """``name``, or one like it that is none of the columns, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
+def hashable(docs: DataFrame, names: Iterable[str]) -> list[Column]:
+    """The columns of such names as Spark's hashes take them: maps, which they don't, as their JSON."""
+    return [F.to_json(F.struct(_named(c))) if _has_map(docs.schema[c].dataType) else _named(c) for c in names]
+
+
+def _named(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

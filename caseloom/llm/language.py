@@ -31,6 +31,9 @@ BITS = 15
 PER_CLASS = 1500
 TRAIN_BYTES = 24 << 20
 MATRIX_BYTES = 96 << 20
+LEAST_BITS = 4
+#: Numbers (characters x languages, rows x languages) that a step of scoring holds.
+CELLS = 1 << 21
 ALPHA = 0.05
 _MUL = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _TABLES: list[np.ndarray] = []
@@ -49,9 +52,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 def bits_for(n_languages: int) -> int:
-    """Bits of the column of a gram, so that the matrix stays under ``MATRIX_BYTES`` (eight at least)."""
+    """Bits of the column of a gram, so that the matrix stays under ``MATRIX_BYTES``; where the least don't do, an error."""
     bits = BITS
-    while bits > 8 and (ORDERS << bits) * 4 * n_languages > MATRIX_BYTES:
+    while (ORDERS << bits) * 4 * n_languages > MATRIX_BYTES:
+        if bits == LEAST_BITS:
+            raise ValueError(f"{n_languages} languages: a matrix of so many takes over {MATRIX_BYTES} bytes")
         bits -= 1
     return bits
 
@@ -109,12 +114,14 @@ class Bayes:
         best, score = np.full(n, -1), np.zeros(n)
         if not self.languages:
             return best, score
-        for i, j in spans_of(off, 1 << 20):
+        wide = len(self.languages)
+        # a row costs its bytes and its totals
+        for i, j in spans_of(off + np.arange(n + 1) * 8 * wide, 1 << 23):
             cols, at, letters = grams(data[off[i] : off[j]], off[i : j + 1] - off[i], self.bits)
             total = np.tile(self.prior, (j - i, 1))
             full = np.flatnonzero(np.diff(at))
             for col in cols:
-                for a, b in zip(*_pieces(full, at), strict=True):  # long rows in pieces of bounded size
+                for a, b in zip(*_pieces(full, at, max(1024, CELLS // wide)), strict=True):  # long rows in pieces of bounded size
                     total[a[0]] += np.add.reduceat(self.matrix[col[b[0] : b[1]]], a[1], axis=0, dtype=np.float64)
             k = total.argmax(1)
             p = np.exp(total - total.max(1, keepdims=True))
@@ -124,7 +131,7 @@ class Bayes:
         return best, score
 
 
-def _pieces(full: np.ndarray, at: np.ndarray, size: int = 1 << 18) -> tuple[list, list]:
+def _pieces(full: np.ndarray, at: np.ndarray, size: int) -> tuple[list, list]:
     """Groups of rows with about ``size`` characters, with the row starts inside each; a longer row is read in parts."""
     rows, spans = [], []
     i = 0

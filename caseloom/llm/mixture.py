@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caseloom.llm.common import bytes_of, lean, shared_dir, small_batches
+from caseloom.llm.common import bytes_of, hashable, lean, shared_dir, small_batches
 from caseloom.llm.hashing import words
 
 WEIGHTS = (3, 1, 2)
@@ -176,7 +176,7 @@ def mixture(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row, and how it is taken: whole rounds, and words [lo, hi) and [0, wrap)."""
     spark = docs.sparkSession
     shared_dir(spark)
-    tie = F.xxhash64("text", *[F.col(c) for c in carry])
+    tie = F.xxhash64("text", *hashable(docs, carry))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", word_count().alias("size"), tie.alias("tie"), *[F.col(c).alias(f"_c_{c}") for c in carry])
     if not carry:
         rows = rows.checkpoint()  # texts are counted once

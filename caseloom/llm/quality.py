@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import bytes_of, lean, small_batches, spans_of
+from caseloom.llm.common import bytes_of, fresh, lean, small_batches, spans_of
 from caseloom.llm.training import agreed, held_out, learnt, sample_ids, sample_texts
 
 PER_CLASS = 1500
@@ -186,20 +186,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     return net
 
 
-def score(docs: DataFrame, net: Network) -> DataFrame:
-    """The documents' columns with ``quality_score``; texts are read whole."""
+def score(docs: DataFrame, net: Network, name: str = "quality_score") -> DataFrame:
+    """The documents' columns, and the score as ``name``, which must be none of them; texts are read whole."""
     small_batches(docs.sparkSession)
     names = docs.columns
-    if "quality_score" in names:
-        docs, names = docs.drop("quality_score"), [c for c in names if c != "quality_score"]
+    if fresh(name, names) != name:
+        raise ValueError(f"there is a column {name} already")
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.scores(*bytes_of(b.column("text"))), pa.float64())], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(net.scores(*bytes_of(b.column(at))), pa.float64())], [*names, name])
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -210,5 +211,6 @@ def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier accepts, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """The documents that the classifier accepts, with their columns, whatever their names."""
+    name = fresh("quality_score", docs.columns)
+    return score(docs, fit(docs, labels), name).filter(F.col(name) >= THRESHOLD).drop(name)

@@ -4,17 +4,10 @@ A text is parted into sentences: a sentence ends with ``.``, ``!`` or ``?``
 before white space, with a line end, or with the text.  Every run of
 ``SENTENCES`` consecutive sentences of a text, whatever its words, is hashed by
 the words of its sentences (A-Z lower-cased, white space aside).  Runs meet by
-hash over all documents; all sentences of a run that also stands earlier
-(smaller doc_id, or the same document, earlier) go, with the white space after
-them.  A longer repeated run is covered by its runs of ``SENTENCES``; a text of
-fewer sentences has no run.
-
-If ``passage`` is given, each stretch of so many words, begun at any word, is
-hashed as well and stands for the whole sentences in it: sentences that lie
-whole in a repeated passage of that many words go, though they be fewer than
-``SENTENCES``; a passage without a whole sentence loses nothing.
-
-Runs meet by 128 bits of hash, stretches of words by 64.
+128 bits of hash over all documents; all sentences of a run that also stands
+earlier (smaller doc_id, or the same document, earlier) go, with the white space
+after them.  With runs of two, a longer repeated run is covered by its runs of
+two, so every run of several sentences counts; a text of one sentence has none.
 
 Rows: null text counts as empty and loses nothing; of equal rows with one id
 the later of (doc_id, text) order loses its runs; null ids come first; an empty
@@ -28,15 +21,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int_column, lean, sharded
-from caseloom.llm.hashing import joined, mix, sums, windows, words
+from caseloom.llm.hashing import joined, mix, sums, words
 from caseloom.llm.suffix import bucket_of
 
-#: Sentences of a run.
-SENTENCES = 3
-#: "Over 50 words".
-PASSAGE = 51
-#: Numbers that name a run of sentences (kind 0) and a stretch of words (kind 1).
-WIDTH = (2, 1)
+#: Sentences of a run: the fewest that are several.
+SENTENCES = 2
+#: Numbers that name a run.
+WIDTH = 2
 
 
 def sentences(data: np.ndarray, off: np.ndarray):
@@ -62,23 +53,6 @@ def runs(row: np.ndarray, length: int) -> np.ndarray:
     return np.flatnonzero(row[: max(0, n)] == row[length - 1 :]) if n > 0 else np.zeros(0, np.int64)
 
 
-def passages(word_at: np.ndarray, row: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, first whole sentence, last + 1) of all stretches of so many words in a row, by first word.
-
-    Those without a whole sentence count too: the same words may hold one in another row.
-    """
-    n = int(word_at[-1])
-    if n < length:
-        return (np.zeros(0, np.int64),) * 3
-    of = np.repeat(np.arange(len(row), dtype=np.int32), np.diff(word_at))
-    i, j = of[: n - length + 1], of[length - 1 :]
-    w = np.arange(len(i), dtype=np.int32)
-    a = i + (word_at[i] < w)
-    b = np.maximum(j + (word_at[j + 1] == w + length), a)
-    ok = row[i] == row[j]
-    return w[ok], a[ok], b[ok]
-
-
 class Names:
     """Names of a shard's runs (one or two numbers each, by column), and the distinct ones by bucket."""
 
@@ -118,79 +92,70 @@ class Names:
 
 
 class ShardSpans:
-    """A shard's rows in (doc_id, text) order, their sentences, and the runs and stretches of each kind."""
+    """A shard's rows in (doc_id, text) order, their sentences and runs."""
 
-    def __init__(self, table: pa.Table, n_buckets: int, passage: int | None = None):
+    def __init__(self, table: pa.Table, n_buckets: int, length: int):
         data, off = bytes_of(table["text"])
         self.ids, self.data, self.off = in_order(int_column(table, "doc_id"), data, off)
         word_at, self.start, self.row, h = sentences(self.data, self.off)
-        i = runs(self.row, SENTENCES)
+        self.length, self.first = length, runs(self.row, length)
         size = np.diff(word_at)
         place = np.arange(len(h)) - np.repeat(word_at[:-1], size)
         columns = []
-        for seed in range(WIDTH[0]):
+        for seed in range(WIDTH):
             one = sums(h, place, word_at[:-1], size, seed) if len(h) else h
-            x = one[i]
-            for k in range(1, SENTENCES):
-                x = joined(x, one[i + k])
+            x = one[self.first]
+            for k in range(1, length):
+                x = joined(x, one[self.first + k])
             columns.append(mix(x))
-        #: by kind: first sentence, last + 1, and the names
-        self.kinds = [(i, i + SENTENCES, Names(columns, n_buckets))]
-        if passage:
-            w, a, b = passages(word_at, self.row, passage)
-            self.kinds.append((a, b, Names([mix(windows(h, passage)[w])], n_buckets)))
+        self.names = Names(columns, n_buckets)
 
     def removed(self, said: pa.Table) -> np.ndarray:
         """Which sentences lie in a run that stands earlier."""
-        told = list(zip(said["kind"].to_pylist(), said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True))
+        gone = self.names.repeated(list(zip(said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True)))
         mark = np.zeros(len(self.row) + 1, np.int64)
-        for kind, (a, b, names) in enumerate(self.kinds):
-            gone = names.repeated([(bucket, blob) for k, bucket, blob in told if k == kind])
-            np.add.at(mark, a[gone], 1)
-            np.subtract.at(mark, b[gone], 1)
+        np.add.at(mark, self.first[gone], 1)
+        np.subtract.at(mark, self.first[gone] + self.length, 1)
         return np.cumsum(mark[:-1]) > 0
 
 
-_TOLD = "bucket int, kind int, shard int, blob binary"
+_TOLD = "bucket int, shard int, blob binary"
 
 
-def _table(bucket, kind, shard, blob) -> pa.Table:
-    return pa.table([pa.array(bucket, pa.int32()), pa.array(kind, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "kind", "shard", "blob"])
+def _table(bucket, shard, blob) -> pa.Table:
+    return pa.table([pa.array(bucket, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "shard", "blob"])
 
 
-def _tell(n_buckets: int, passage: int | None):
+def _tell(n_buckets: int, length: int):
     def run(table: pa.Table) -> pa.Table:
-        out = []
-        for kind, (_, _, names) in enumerate(ShardSpans(table, n_buckets, passage).kinds):
-            out += [(b, kind, blob) for b, blob in zip(*names.messages(), strict=True)]
-        return _table([x[0] for x in out], [x[1] for x in out], [table["shard"][0].as_py()] * len(out), [x[2] for x in out])
+        buckets, blobs = ShardSpans(table, n_buckets, length).names.messages()
+        return _table(buckets, [table["shard"][0].as_py()] * len(blobs), blobs)
 
     return run
 
 
 def _first_shard(table: pa.Table) -> pa.Table:
-    """In one bucket and kind: a bit for each name that an earlier shard sent too."""
-    shard, blobs, kind = table["shard"].to_pylist(), table["blob"].to_pylist(), table["kind"][0].as_py()
+    """In one bucket: a bit for each name that an earlier shard sent too."""
+    shard, blobs = table["shard"].to_pylist(), table["blob"].to_pylist()
     order = sorted(range(len(shard)), key=lambda i: shard[i])
-    h = np.concatenate([np.frombuffer(blobs[i], "<u8") for i in order]).reshape(-1, WIDTH[kind])
-    by = np.lexsort([h[:, c] for c in reversed(range(WIDTH[kind]))])
+    h = np.concatenate([np.frombuffer(blobs[i], "<u8") for i in order]).reshape(-1, WIDTH)
+    by = np.lexsort([h[:, c] for c in reversed(range(WIDTH))])
     again = np.zeros(len(h), np.uint8)
     again[by[1:]] = (h[by[1:]] == h[by[:-1]]).all(1)
-    end = np.cumsum([len(blobs[i]) // (8 * WIDTH[kind]) for i in order])
+    end = np.cumsum([len(blobs[i]) // (8 * WIDTH) for i in order])
     out = [np.packbits(again[a:b]).tobytes() for a, b in zip(np.concatenate(([0], end[:-1])), end, strict=True)]
-    n = len(order)
-    return _table([table["bucket"][0].as_py()] * n, [kind] * n, [shard[i] for i in order], out)
+    return _table([table["bucket"][0].as_py()] * len(order), [shard[i] for i in order], out)
 
 
 _RESULT = "doc_id long, n_sentences long, n_removed long, bytes_removed long, text string"
 
 
-def _cut(n_buckets: int, passage: int | None):
+def _cut(n_buckets: int, length: int):
     def run(key, texts: pa.Table, said: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _RESULT.split(", ")]
         if texts.num_rows == 0:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.string())], names=names)
-        own = ShardSpans(texts, n_buckets, passage)
+        own = ShardSpans(texts, n_buckets, length)
         gone = own.removed(said)
         n = len(own.ids)
         mark = np.zeros(len(own.data) + 1, np.int32)
@@ -212,11 +177,13 @@ def _cut(n_buckets: int, passage: int | None):
     return run
 
 
-def sentence_span_dedup(docs: DataFrame, passage: int | None = None) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept."""
+def sentence_span_dedup(docs: DataFrame, length: int = SENTENCES) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept. length: sentences of a run."""
+    if length < 1:
+        raise ValueError("a run has one sentence at least")
     texts, n_shards = sharded(docs)
     n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
-    told = by_shard.applyInArrow(lean(_tell(n, passage)), _TOLD)
-    said = told.groupBy("bucket", "kind").applyInArrow(lean(_first_shard), _TOLD)
-    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, passage)), _RESULT)
+    told = by_shard.applyInArrow(lean(_tell(n, length)), _TOLD)
+    said = told.groupBy("bucket").applyInArrow(lean(_first_shard), _TOLD)
+    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, length)), _RESULT)

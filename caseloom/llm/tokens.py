@@ -3,7 +3,8 @@
 ``write_token_files`` range-partitions documents by ``doc_id``, encodes each
 whole text, appends id 0, and compresses runs of documents ("shards" of about
 ``SHARD_TOKENS`` ids) by Re-Pair: rounds replace the most frequent adjacent
-pairs by new symbols until no pair is left that stands ``LEAST_COUNT`` times.
+pairs by new symbols until no pair is left that stands ``LEAST_COUNT`` times,
+or rules stop at two bytes a symbol where more of them would not make the file smaller.
 A shard stores its rules, the expansion length of every rule, the final symbols
 and the token count of each document, so that ``decode_range`` reads any slice
 without the rest.  Symbols take two bytes where ids and rules fit, else four.
@@ -15,6 +16,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import functools
 import os
 import struct
 import zlib
@@ -36,6 +38,10 @@ RULES_A_ROUND = 1 << 14
 LEAST_COUNT = 24
 #: Chunks of text whose ids a worker keeps.
 CACHE_ENTRIES = 1_000_000
+#: Their bytes and ids, at most.
+CACHE_BYTES = 64 << 20
+#: Symbols that two bytes tell apart.
+NARROW = 1 << 16
 MAGIC = b"CLTK2"
 
 
@@ -46,7 +52,7 @@ def repair(seq: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, per_rou
     """(symbols, rules): rules[i] is the pair that symbol first_symbol + i stands for."""
     seq = seq.astype(np.uint32)
     rules: list[np.ndarray] = []
-    nxt = first_symbol
+    nxt, narrow = first_symbol, None
     while len(seq) > least:
         kind, half = (np.uint32, 16) if nxt <= 1 << 16 else (np.uint64, 32)
         pair = (seq[:-1].astype(kind) << kind(half)) | seq[1:]
@@ -54,8 +60,13 @@ def repair(seq: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, per_rou
         cut = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
         count = np.diff(np.append(cut, len(order)))
         good = np.flatnonzero(count >= least)
-        if len(good) > per_round:
-            good = good[np.argsort(-count[good], kind="stable")[:per_round]]
+        room = per_round
+        if nxt < NARROW:
+            room = min(room, NARROW - nxt)
+        elif narrow is None and nxt == NARROW:
+            narrow = seq.copy(), len(rules)
+        if len(good) > room:
+            good = good[np.argsort(-count[good], kind="stable")[:room]]
         chosen = np.sort(order[cut[good]])
         # a small table rejects most positions before the binary search
         sieve = np.zeros(1 << 20, bool)
@@ -84,7 +95,13 @@ def repair(seq: np.ndarray, first_symbol: int, least: int = LEAST_COUNT, per_rou
         keep[at + 1] = False
         seq = seq[keep]
         nxt += len(used)
-    return seq, (np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32))
+    out = np.concatenate(rules) if rules else np.zeros((0, 2), np.uint32)
+    if narrow is not None:
+        # rules past two bytes must save more than four bytes a symbol cost
+        few = sum(len(r) for r in rules[: narrow[1]])
+        if 2 * len(narrow[0]) + 8 * few <= 4 * len(seq) + 12 * len(out):
+            return narrow[0], out[:few]
+    return seq, out
 
 
 def rule_lengths(rules: np.ndarray, first_symbol: int) -> np.ndarray:
@@ -150,16 +167,35 @@ class Shard:
     def ids(self) -> np.ndarray:
         return expand(self.symbols, self.rules, self.first)
 
+    @functools.cached_property
+    def ends(self) -> np.ndarray:
+        """Where each symbol's ids end."""
+        return np.cumsum(self._width(self.symbols))
+
+    def _width(self, symbols: np.ndarray) -> np.ndarray:
+        out = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        out[rule] = self.lengths[symbols[rule].astype(np.int64) - self.first]
+        return out
+
     def decode_range(self, start: int, stop: int) -> np.ndarray:
-        """ids()[start:stop], expanding only the symbols that cover it."""
+        """ids()[start:stop]: goes down from the symbols that cover it, level by level, and leaves aside what lies outside by its length."""
         if stop <= start:
             return np.zeros(0, np.uint32)
-        width = np.ones(self.first + len(self.rules), np.int64)
-        width[self.first :] = self.lengths
-        end = np.cumsum(width[self.symbols])
-        i, j = np.searchsorted(end, start, "right"), np.searchsorted(end, stop, "left")
-        before = int(end[i - 1]) if i else 0
-        return expand(self.symbols[i : j + 1], self.rules, self.first)[start - before : stop - before]
+        i, j = np.searchsorted(self.ends, start, "right"), np.searchsorted(self.ends, stop, "left")
+        now = self.symbols[i : j + 1].astype(np.int64)
+        begin = self.ends[i : j + 1] - self._width(now)
+        while (rule := now >= self.first).any():
+            size = 1 + rule
+            at = np.cumsum(size) - size
+            new = np.repeat(now, size)
+            pair = self.rules[now[rule] - self.first]
+            new[at[rule]], new[at[rule] + 1] = pair[:, 0], pair[:, 1]
+            where = np.repeat(begin, size)
+            where[at[rule] + 1] += self._width(pair[:, 0])
+            inside = (where < stop) & (where + self._width(new) > start)
+            now, begin = new[inside], where[inside]
+        return now.astype(np.uint32)
 
     def document(self, k: int) -> np.ndarray:
         stop = int(self.counts[: k + 1].sum())
@@ -331,7 +367,7 @@ class Encoder:
             got, b, c = self._learn(data, u[new], s[f], e[f], tail[f])
             begin[new], count[new] = b + len(flat), c
             flat = np.concatenate((flat, got))
-            if len(self.hash) + len(new) <= CACHE_ENTRIES:
+            if len(self.hash) + len(new) <= CACHE_ENTRIES and 8 * len(self.text) + int(size[f].sum()) + flat.nbytes <= CACHE_BYTES:
                 where = np.searchsorted(self.hash, u[new])
                 width = _blocks(size[f])
                 self.hash = np.insert(self.hash, where, u[new])
@@ -436,8 +472,12 @@ def _writer(path: str, shard_tokens: int):
     return run
 
 
-def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, partition_bytes: int = 8 << 20) -> None:
-    """Writes the table of shards (``SHARD_SCHEMA``) of all documents under ``out``, in doc_id order."""
+def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, shard_tokens: int = SHARD_TOKENS, partition_bytes: int | None = None) -> None:
+    """Writes the table of shards (``SHARD_SCHEMA``) of all documents under ``out``, in doc_id order.
+
+    A partition has ``partition_bytes`` of Parquet: 8 MB, or ``spark.caseloom.shardBytes`` where that is more.
+    """
+    partition_bytes = partition_bytes or max(8 << 20, int(docs.sparkSession.conf.get("spark.caseloom.shardBytes", "0")))
     small_batches(docs.sparkSession)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     n = max(shuffle_partitions(docs.sparkSession), -(-plan_bytes(base) // partition_bytes))

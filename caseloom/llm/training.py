@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOWEST, _SPAN = -(2**63), 2**64
+#: Labels whose counts come to the driver.
+MOST_LABELS = 500_000
+#: Ids of all labels that come to the driver; where labels are many, each has fewer.
+MOST_IDS = 1_000_000
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:
@@ -31,10 +35,13 @@ def sample_ids(known: DataFrame, per_class: int) -> tuple[list[tuple], dict]:
     Before any id comes to the driver, each label keeps the hashes under a bound that some twice ``per_class`` of its ids pass.
     """
     spark = known.sparkSession
-    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").collect()}
+    counts = {r[0]: r[1] for r in known.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MOST_LABELS + 1).collect()}
+    if len(counts) > MOST_LABELS:
+        raise ValueError(f"over {MOST_LABELS} labels can't be told apart")
     if not counts:
         return [], counts
     kind = dict(known.dtypes)["label"]
+    per_class = max(1, min(per_class, MOST_IDS // len(counts)))
     bounds = [(y, min(2**63 - 1, _LOWEST + int(_SPAN * min(1.0, 2 * (per_class + 50) / n)))) for y, n in counts.items()]
     some = known.join(F.broadcast(spark.createDataFrame(bounds, f"label {kind}, bound long")), "label")
     some = some.select("doc_id", "label", F.xxhash64("doc_id").alias("h"), "bound").filter("h <= bound").drop("bound").distinct()

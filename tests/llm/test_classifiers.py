@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from caseloom.llm import language, quality
 from tests.llm.util import docs_frame
@@ -211,3 +212,26 @@ def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score) for r in language.language(df).collect()] == [("und", 0.0)]
     assert language.language(df.limit(0)).collect() == []
+
+
+def test_many_languages_in_bounded_memory():
+    """Hundreds of languages, a long text and many short ones: steps stay small, answers are those of a plain sum."""
+    import tracemalloc
+
+    names = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) for i in range(400)]
+    model = language.train([(i, f"{x} " * 20, x) for i, x in enumerate(names)], dict.fromkeys(names, 1))
+    assert model.bits < language.BITS and model.matrix.nbytes <= language.MATRIX_BYTES * 1.01
+    texts = [f"{names[17]} " * 60_000, *[names[5]] * 20_000, "", names[399]]
+    raw = "".join(texts).encode()
+    off = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    tracemalloc.start()
+    k, p = model.predict(np.frombuffer(raw, np.uint8), off)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    cols = language.grams(np.frombuffer(names[5].encode(), np.uint8), np.array([0, 3]), model.bits)[0]
+    plain = model.prior + sum(model.matrix[c].astype(float).sum(0) for c in cols)
+    assert k[0] == 17 and (k[1:-2] == plain.argmax()).all() and k[-2] == -1 and k[-1] == 399
+    assert abs(p[1] - 1 / np.exp(plain - plain.max()).sum()) < 1e-6
+    with pytest.raises(ValueError):
+        language.bits_for(1_000_000)

@@ -1,12 +1,14 @@
 """Decontamination, mixture, sentence spans and the pipeline."""
 
+import os
 import random
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from caseloom.llm import decontaminate, mixture, spans
+from caseloom.llm import common, decontaminate, jaccard, mixture, quality, spans
 from tests.llm.test_jaccard import WORD, shingle_set
 from tests.llm.util import docs_frame, rows_of
 
@@ -211,7 +213,7 @@ def test_mixed_documents_hold_the_taken_words(spark):
 # --- sentence spans ---
 
 
-def span_brute(rows):
+def span_brute(rows, k=spans.SENTENCES):
     """Removes what the operator says it removes, by plain lists."""
     docs = sorted(((d if d is not None else -(2**63)), t or "") for d, t in rows)
     parts = []
@@ -226,7 +228,6 @@ def span_brute(rows):
                 cur = []
         parts.append(sents)
     seen, out = set(), []
-    k = spans.SENTENCES
     for (d, t), sents in zip(docs, parts, strict=True):
         gone = set()
         for i in range(len(sents) - k + 1):
@@ -264,44 +265,19 @@ def test_a_repeated_passage_goes_but_the_first(spark):
     four = [(i, f"{i}. One two three four. Five six seven eight. Nine ten eleven twelve. Thirteen to sixteen. {i} more.") for i in range(2)]
     assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, four)).collect())] == [0, 4]
     one = text_of(rng, 46)
-    clean = [(1, "Short line. Another one."), (2, "Short line. Another one."), (3, f"Three here. {one}."), (4, f"Four there. {one}.")]
+    clean = [(1, "Short line."), (2, "Short line."), (3, f"Three here. {one}."), (4, f"Four there. {one}.")]
     assert all(r.n_removed == 0 for r in spans.sentence_span_dedup(docs_frame(spark, clean)).collect())
+    short = [(i, "Of two sentences. That is all.") for i in range(3)]
+    assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, short)).collect())] == [0, 2, 2]
     assert spans.sentence_span_dedup(docs_frame(spark, [])).collect() == []
 
 
-def test_short_sentences_of_a_long_passage_go(spark):
-    rng = random.Random(9)
-    # begins and ends inside a sentence; its whole sentences hold 17 words, or are one of 30 words
-    two = f"{text_of(rng, 22)}. {text_of(rng, 8)}. {text_of(rng, 9)}. {text_of(rng, 20)}"
-    one = f"{text_of(rng, 11)}. {text_of(rng, 30)}. {text_of(rng, 10)}"
-    short = f"{text_of(rng, 10)}. {text_of(rng, 30)}. {text_of(rng, 10)}"
-    rows = [(i, f"{text_of(rng, 5)} {p} {text_of(rng, 5)}.") for i, p in enumerate([two, one, short] * 2)]
-    got = {r.doc_id: r for r in spans.sentence_span_dedup(docs_frame(spark, rows), spans.PASSAGE).collect()}
-    assert [got[i].n_removed for i in range(6)] == [0, 0, 0, 2, 1, 0]
-    cut = lambda t, a, z: ". ".join(t.split(". ")[:a] + t.split(". ")[z:])
-    assert got[3].text == cut(rows[3][1], 1, 3) and got[4].text == cut(rows[4][1], 1, 2)
-
-
-def test_all_whole_sentences_of_repeated_passages_go(spark):
-    rng = random.Random(10)
-    pool = text_of(rng, 3000).split()
-    pool = [w + "." if rng.random() < 0.06 else w for w in pool]
-    rows = []
-    for i in range(60):
-        at = [rng.randrange(len(pool) - 90) for _ in range(rng.randint(1, 4))]
-        rows.append((i, " ".join(" ".join([*pool[a : a + rng.randint(30, 90)], text_of(rng, rng.randint(1, 9))]) for a in at)))
-    seen, least = set(), {}
-    for d, t in rows:
-        w, repeated = t.split(), set()
-        for i in range(len(w) - spans.PASSAGE + 1):
-            name = tuple(w[i : i + spans.PASSAGE])
-            if name in seen:
-                repeated.add(i)
-            seen.add(name)
-        starts = [i for i in range(len(w)) if i == 0 or w[i - 1][-1] == "."] + [len(w)]
-        least[d] = sum(any(i <= a and z <= i + spans.PASSAGE for i in repeated) for a, z in zip(starts[:-1], starts[1:], strict=True))
-    got = {r.doc_id: r for r in spans.sentence_span_dedup(docs_frame(spark, rows), spans.PASSAGE).collect()}
-    assert sum(least.values()) > 50 and all(got[d].n_removed >= n for d, n in least.items())
+@pytest.mark.parametrize("length", [1, 2, 3, 5])
+def test_runs_of_any_length(spark, length):
+    rng = random.Random(length)
+    pool = [text_of(rng, rng.randint(1, 4), "ab") + "." for _ in range(12)]
+    rows = [(i // 2 if i % 9 else None, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)]
+    assert rows_of(spans.sentence_span_dedup(docs_frame(spark, rows), length)) == span_brute(rows, length)
 
 
 # --- pipeline ---
@@ -340,3 +316,37 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert Counter(corpus_pipeline.run(spark, d).columns) == Counter(["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
+
+
+# --- columns of the caller ---
+
+
+def test_columns_of_the_caller_keep_their_values(spark):
+    """Names that the operators use inside, maps among the columns: names, types and values stay."""
+    rng = random.Random(4)
+    rows = [(i, text_of(rng, 40), "web", f"mine{i}", f"x{i}", f"n{i}", i * 2, {"a": i}, [{"k": 1}], f"s{i}") for i in range(30)]
+    rows += [rows[3], (*rows[4][:3], "other", *rows[4][4:])]
+    ddl = "doc_id long, text string, source string, quality_score string, _id string, _name string, _n long, m map<string,int>, deep array<map<string,int>>, QUALITY_SCORE_ string"
+    docs = spark.createDataFrame(rows, ddl).repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(30)], "doc_id long, quality int, toxic int")
+    every = {str(tuple(r)) for r in docs.collect()}
+    for got in (quality.keep_good(docs, labels), jaccard.keep_one(docs), decontaminate.clean(docs, spark.createDataFrame([(1, "no such words in any text here")], "item_id long, text string"))):
+        assert got.schema == docs.schema
+        kept = [str(tuple(r)) for r in got.collect()]
+        assert kept and set(kept) <= every
+    assert jaccard.keep_one(docs).count() == 30
+    known = {r.doc_id: r for r in docs.filter("doc_id <> 4").collect()}
+    for r in mixture.mixed(docs).filter("doc_id <> 4").collect():
+        assert all(r[c] == known[r.doc_id][c] for c in docs.columns if c != "text")
+    with pytest.raises(ValueError):
+        quality.score(docs, quality.fit(docs, labels))
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no driver tables")
+def test_shards_behind_a_join(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    plain = common.plan_bytes(docs.select("doc_id", "text"))
+    joined = common.plan_bytes(docs.join(labels, "doc_id", "left").select("doc_id", "text"))
+    many = common.plan_bytes(docs.select("doc_id", "text", F.explode(F.array(*[F.lit(1)] * 10))))
+    assert joined < 2 * plain and plain < 2 * joined and 8 * joined < many < 12 * joined
+    assert common.shard_count(docs.join(labels, "doc_id", "left").select("doc_id", "text")) <= 8

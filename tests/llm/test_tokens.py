@@ -98,3 +98,31 @@ def test_tiny_and_empty_shards():
     for n in (0, 1, 3):
         s = tokens.Shard(tokens.pack(np.arange(n, dtype=np.uint16), np.arange(1), np.array([n]), 50257))
         assert s.ids().tolist() == list(range(n))
+
+
+def test_a_range_is_read_without_the_rest():
+    """decode_range touches as many rules as its answer needs, and equals the slice."""
+    import time
+
+    rng = np.random.default_rng(0)
+    words = [rng.integers(1, 300, rng.integers(2, 40)) for _ in range(200)]
+    ids = np.concatenate([words[i] for i in (rng.zipf(1.3, 60_000) % 200)]).astype(np.uint32)[: 1 << 20]
+    counts = np.full(len(ids) // 1000, 1000)
+    ids = ids[: counts.sum()]
+    shard = tokens.Shard(tokens.pack(ids, np.arange(len(counts)), counts, 300))
+    assert len(shard.rules) > 500 and (shard.ids() == ids).all()
+    shard.decode_range(0, 1)
+    start = time.perf_counter()
+    for k in rng.integers(0, len(counts), 50).tolist():
+        assert (shard.document(k) == ids[1000 * k : 1000 * k + 1000]).all()
+    assert (time.perf_counter() - start) / 50 < 0.01
+    for a, b in ((0, len(ids)), (5, 6), (len(ids) - 1, len(ids)), (777, 55_555), (9, 9)):
+        assert (shard.decode_range(a, b) == ids[a:b]).all()
+
+
+def test_symbols_stay_two_bytes_where_four_save_nothing():
+    rng = np.random.default_rng(1)
+    seq = np.repeat(rng.integers(0, 64_000, (9_000, 2)), 24, axis=0)
+    seq = seq[rng.permutation(len(seq))].ravel()
+    symbols, rules = tokens.repair(seq, 64_000)
+    assert 64_000 + len(rules) <= 1 << 16 and (tokens.expand(symbols, rules, 64_000) == seq).all()
