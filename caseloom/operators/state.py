@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.operators import chunks
+from caseloom.sources.shared import settled
+
 # Limits of the state machines.
 MAX_ATTEMPTS = 3
 CODE_MINUTES = 10
@@ -22,18 +20,18 @@ def attempts(events: DataFrame, key: str, at: str, failed: Column, limit: int =
     """One row for each key: login_attempts, status, blocked_at after all its events.
 
     A success resets the counter; the ``limit``-th failure in a row blocks, and
-    what follows a block changes nothing.  Runs are numbered by the successes
-    before them, so this is two windows over one partitioning, without a
-    collected list.  Events of one time are taken by ``tie``, or failures first.
+    what follows a block changes nothing.  Events of one time are taken by
+    ``tie``, or failures first; an event without a time is none.  Events are
+    dealt by ranges of key and time, so a hot key's history is read by many tasks,
+    and each key's answer is a fold over what its partitions say.
     """
-    order = [at, tie] if tie else [at, F.desc("_bad")]
-    own = Window.partitionBy(key).orderBy(*order)
-    rows = events.select(F.col(key), F.col(at), *([F.col(tie)] if tie else []), failed.cast("int").alias("_bad"))
-    rows = rows.withColumn("_run", F.sum(1 - F.col("_bad")).over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("_n", F.sum("_bad").over(Window.partitionBy(key, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
-    last = F.max_by("_n", F.struct(F.col(at), F.col(tie) if tie else F.col("_run"), F.col("_n")))
-    done = rows.groupBy(key).agg(F.min(F.when(F.col("_n") >= limit, F.col(at))).alias("blocked_at"), last.alias("_last"))
-    return done.select(key, F.when(F.col("blocked_at").isNotNull(), F.lit(limit)).otherwise(F.col("_last")).cast("bigint").alias("login_attempts"), F.when(F.col("blocked_at").isNotNull(), "BLOCKED").otherwise("ACTIVE").alias("status"), "blocked_at")
+    bad = F.coalesce(failed, F.lit(False)).cast("boolean").alias("bad")
+    rows = events.filter(F.col(at).isNotNull()).select(F.col(key).alias("key"), F.col(at).alias("at"), bad, *([F.col(tie).alias("tie")] if tie else []))
+    kind = dict(rows.dtypes)
+    ordered = chunks.ranges(rows, F.col("key"), F.col("at"), F.col("tie") if tie else F.desc("bad")).select("key", "at", "bad")
+    done = chunks.folded(chunks.attempt_pieces(ordered, limit, kind["key"], kind["at"]), limit)
+    blocked = F.col("blocked_at").isNotNull()
+    return done.select(F.col("key").alias(key), F.when(blocked, F.lit(limit)).otherwise(F.col("n")).cast("bigint").alias("login_attempts"), F.when(blocked, "BLOCKED").otherwise("ACTIVE").alias("status"), "blocked_at")
 
 
 def code_state(code: Column, given: Column, expires_at: Column, as_of: Column) -> Column:
@@ -61,47 +59,18 @@ def over_limit(events: DataFrame, key: str, at: str, minutes: int = WINDOW_MINUT
 def over_limit_from_first(events: DataFrame, key: str, at: str, minutes: int = WINDOW_MINUTES, limit: int = WINDOW_LIMIT) -> DataFrame:
     """Windows that begin with a key's first event, the next one with its first event after that window, in which it has more than ``limit``.
 
-    Where a window begins depends on the one before, so a key's times are read
-    in order; equal times are counted before the shuffle, and a partition is
-    read as a sorted stream with one open window, so no group is held.
+    Where a window begins depends on the one before.  Equal times are counted
+    first; times are then dealt by ranges of key and time, each partition says how
+    a window that is open before it leaves it, a fold over these tells each
+    partition its open window, and all read their windows at once.
     """
-    kind = dict(events.dtypes)[at]
-    times = events.filter(F.col(at).isNotNull()).groupBy(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
-    ordered = times.repartition("key").sortWithinPartitions("key", "at")
-    width = minutes * 60_000_000
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_key, begin, hits, is_open = None, 0, 0, False
-        for batch in batches:
-            keys, at_, n = batch.column(0), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            total = np.append(0, np.cumsum(n))
-            codes = pc.dictionary_encode(keys, null_encoding="encode").indices.to_numpy()
-            edge = np.append(np.flatnonzero(np.append(True, codes[1:] != codes[:-1])), len(codes))
-            out: list[tuple] = []
-            for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                own, i = keys[a].as_py(), a
-                if is_open and own != open_key:
-                    out.append((open_key, begin, hits))
-                    is_open = False
-                while i < z:
-                    if not is_open:
-                        open_key, begin, hits, is_open = own, int(at_[i]), 0, True
-                    j = a + int(np.searchsorted(at_[a:z], begin + width))
-                    hits += int(total[j] - total[i])
-                    i = j
-                    if i < z:
-                        out.append((open_key, begin, hits))
-                        is_open = False
-            yield _windows([r for r in out if r[2] > limit], keys.type)
-        if is_open and hits > limit:
-            yield _windows([(open_key, begin, hits)], keys.type)
-
-    got = ordered.mapInArrow(run, f"key {dict(times.dtypes)['key']}, at bigint, hits bigint")
-    return got.select(F.col("key").alias(key), F.timestamp_micros("at").cast(kind).alias("window_start"), "hits")
-
-
-def _windows(rows: list[tuple], key_type: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], key_type), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["key", "at", "hits"])
+    kind, key_type, width = dict(events.dtypes)[at], dict(events.dtypes)[key], minutes * 60_000_000
+    counted = events.filter(F.col(at).isNotNull()).groupBy(F.col(key).alias("key"), F.unix_micros(F.col(at).cast("timestamp")).alias("at")).agg(F.count(F.lit(1)).alias("n"))
+    ordered = settled(chunks.ranges(counted, F.col("key"), F.col("at")))
+    entry = chunks.entries(chunks.edge_steps(ordered, width, key_type))
+    got = chunks.window_hits(ordered, entry, width, limit, key_type)
+    whole = got.groupBy("key", "at").agg(F.sum("hits").alias("hits")).filter(F.col("hits") > limit)
+    return whole.select(F.col("key").alias(key), F.timestamp_micros("at").cast(kind).alias("window_start"), "hits")
 
 
 def latest(events: DataFrame, key: str, at: str, *columns: str, tie: str | None = None) -> DataFrame:
