@@ -14,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from caseloom.functions import medication, scalar, signed, text
-from caseloom.operators import listing, lookups, mutations, predicates, projection, state, validate
+from caseloom.operators import deep, listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.plans import ingest
+from caseloom.sources import textindex
 from caseloom.sources.schema import camel, grown, ordinal, retyped
+from caseloom.sources.shared import fresh_dir
 from caseloom.sources.tables import alive, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,6 +65,20 @@ def page_totals(spark, d):
     return listing.totals(scan(spark, d, "orders"), _priority(), 2, 10)
 
 
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_returnflag <> 'A' ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100 OFFSET 3900")
+def page_deep(spark, d):
+    rows = scan(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag")
+    keys = [(F.col("l_extendedprice"), True), (F.col("l_orderkey"), False), (F.col("l_linenumber"), False)]
+    return deep.deep_page(rows, F.col("l_returnflag") != "A", keys, 40, 100, few=2_000).select("l_orderkey", "l_linenumber", "l_extendedprice")
+
+
+@query("SELECT doc_id, source FROM documents WHERE text ILIKE '%nder%the %' OR source ILIKE '%nder%the %'")
+def search_indexed(spark, d):
+    path = fresh_dir(spark, "index")
+    textindex.add(scan(spark, d, "documents", "doc_id", "text", "source").repartitionByRange("doc_id"), ["text", "source"], path, 1_000)
+    return textindex.search_index(spark, path, "nder%the ", "text", "source").rows.select("doc_id", "source")
+
+
 @query("SELECT event_id, user_id, ts FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id LIMIT 10 OFFSET 20")
 def page_zero_based(spark, d):
     where = predicates.all_of(predicates.equals("event_type", "click"))
@@ -564,6 +580,24 @@ def contour_points(spark, d):
     return graphs.select("doc_id", "g.type", F.explode("g.coordinates").alias("p")).select("doc_id", "type", "p.x", "p.y")
 
 
+def _boxes():
+    """A page of 48 x 48 light pixels for each part, with one dark box and a dot; box and dot from the part's columns."""
+    top, high = F.col("p_partkey") % 7, 1 + F.col("p_partkey") % 30
+    row = lambda y: F.when((y >= top) & (y < top + high), F.concat(F.expr("repeat('FF', int(p_partkey % 10))"), F.expr("repeat('0A', int(1 + p_size % 30))"), F.expr("repeat('FF', int(48 - p_partkey % 10 - 1 - p_size % 30))"))).when(y == 44, F.lit("FF" * 45 + "9600FF")).otherwise(F.lit("FF" * 48))
+    hexed = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(47)), row), "")
+    return [F.col("p_partkey").cast("string").alias("origin"), F.lit(48).alias("height"), F.lit(48).alias("width"), F.lit(1).alias("nChannels"), F.lit(0).alias("mode"), F.unhex(hexed).alias("data")]
+
+
+@query(
+    "WITH b AS (SELECT p_partkey, p_partkey % 10 AS x, p_partkey % 7 AS y, 1 + p_size % 30 AS w, 1 + p_partkey % 30 AS h FROM part) "
+    "SELECT p_partkey, CAST((w - 1) * (h - 1) AS DOUBLE) AS area, concat_ws(' ', x || ',' || (48 - y), x || ',' || (49 - y - h), (x + w - 1) || ',' || (49 - y - h), (x + w - 1) || ',' || (48 - y)) AS points FROM b WHERE (w - 1) * (h - 1) >= 100"
+)
+def image_contours(spark, d):
+    found = ingest.graphs(scan(spark, d, "part", "p_partkey", "p_size").select(*_boxes()))
+    points = F.array_join(F.transform("coordinates", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
+    return found.select(F.col("origin").cast("bigint").alias("p_partkey"), "area", points.alias("points"))
+
+
 @query("SELECT doc_id, lang || ' ' || source AS joined FROM documents")
 def ocr_lines(spark, d):
     line = lambda c: F.array(F.array(F.col(c), F.lit("0.9")))

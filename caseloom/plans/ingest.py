@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.functions.contours import LEVEL, MIN_AREA, contours, grey
 from caseloom.functions.scalar import date_or_null
 from caseloom.functions.text import clean_ocr, join_lines, parse_record, structure_prompt
 from caseloom.operators.state import ocr_status
@@ -19,7 +21,6 @@ from caseloom.operators.state import ocr_status
 # The OCR reply and its graphs.
 GRAPHS = "array<struct<type:string,coordinates:array<struct<x:int,y:int>>,width:int,height:int>>"
 OCR_REPLY = f"success boolean, ocr_text string, graphs {GRAPHS}, error string, trace string"
-MIN_AREA = 100
 
 
 def each(df: DataFrame, column: str, out: str, work: Callable[[bytes | str], object] | None, kind: str) -> DataFrame:
@@ -55,6 +56,44 @@ def contour_points(contours: Column, height: Column) -> Column:
     return F.transform(large, lambda c: F.struct(F.lit("graph").alias("type"), flip(c).alias("coordinates")))
 
 
+GRAPH = "origin string, n int, type string, area double, coordinates array<struct<x:int,y:int>>, width int, height int"
+
+
+def images(spark: SparkSession, path: str) -> DataFrame:
+    """(origin, height, width, nChannels, mode, data) of image files under a path; a file that is none (a PDF, a broken one) has height -1 and no data."""
+    return spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+
+
+def graphs(pictures: DataFrame, least: float = MIN_AREA) -> DataFrame:
+    """The graphs in image rows, one row each: contours of dark shapes, those of small area left out, y turned upward.
+
+    n counts an image's graphs from 0, the last found first. An image that can't be read, is empty or
+    whose bytes aren't height x width x channels has none; rows are read one image at a time.
+    """
+    names = ["origin", "n", "type", "area", "coordinates", "width", "height"]
+    kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])), pa.int32(), pa.int32()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, height, width, channels, data in zip(*(batch[c] for c in ("origin", "height", "width", "nChannels", "data")), strict=True):
+                h, w, k, raw = (x.as_py() for x in (height, width, channels, data))
+                if not raw or None in (h, w, k) or min(h, w) < 1 or k not in (1, 3, 4) or len(raw) != h * w * k:
+                    continue
+                found = contours(grey(raw, h, w, k) <= LEVEL, least)
+                rows = [(origin.as_py(), i, "graph", a, [{"x": x, "y": h - y} for x, y in points], w, h) for i, (a, points) in enumerate(found)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+    return pictures.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, GRAPH)
+
+
+def graphs_of_files(files: DataFrame, found: DataFrame) -> DataFrame:
+    """Files (path) with ``graphs``: an array of their graphs in order, empty where there are none."""
+    of = found.groupBy("origin").agg(F.sort_array(F.collect_list(F.struct("n", "type", "coordinates", "width", "height"))).alias("_g"))
+    one = F.transform("_g", lambda g: g.dropFields("n"))
+    return files.join(of, F.col("path") == F.col("origin"), "left").withColumn("graphs", F.coalesce(one.cast(GRAPHS), F.array().cast(GRAPHS))).drop("origin", "_g")
+
+
 def bronze(files: DataFrame, ocr: Callable[[bytes], list[str]] | None) -> DataFrame:
     """Files with their OCR lines."""
     return each(files, "content", "lines", ocr, "array<string>").drop("content")
