@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -84,3 +86,8 @@ def one_time_code(seed: int) -> Column:
 
 def patient_code(seed: int, prefix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.floor(F.rand(seed) * 990_000 + 10_000).cast("int").cast("string"))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with the value computed once a row however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

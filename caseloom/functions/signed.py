@@ -9,6 +9,8 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from caseloom.functions.scalar import let
+
 # Block size and pads of HMAC, and the header of a token.
 _BLOCK, _INNER, _OUTER = 64, 0x36, 0x5C
 _HEADER = "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"
@@ -31,15 +33,19 @@ def base64url(c: Column) -> Column:
 
 def from_base64url(c: Column) -> Column:
     """Binary; null for what is no base64."""
-    ok = c.rlike(r"^[A-Za-z0-9_-]*\z") & (F.length(c) % 4 != 1)
-    padded = F.rpad(F.translate(c, "-_", "+/"), (F.ceil(F.length(c) / 4) * 4).cast("int"), F.lit("="))
-    return F.when(ok, F.unbase64(padded))
+
+    def decoded(x: Column) -> Column:
+        ok = x.rlike(r"^[A-Za-z0-9_-]*\z") & (F.length(x) % 4 != 1)
+        padded = F.rpad(F.translate(x, "-_", "+/"), (F.ceil(F.length(x) / 4) * 4).cast("int"), F.lit("="))
+        return F.when(ok, F.unbase64(padded))
+
+    return let(c, decoded)
 
 
 def sign_token(claims: Column, key: bytes) -> Column:
     """A signed token of claims, given as JSON text."""
     body = F.concat(F.lit(_HEADER + "."), base64url(claims.cast("binary")))
-    return F.concat(body, F.lit("."), base64url(hmac_sha256(key, body)))
+    return let(body, lambda b: F.concat(b, F.lit("."), base64url(hmac_sha256(key, b))))
 
 
 def token_claims(user: Column, session: Column, at: Column, issuer: str, audience: str | None = None, refresh: bool = False) -> Column:
@@ -52,17 +58,26 @@ def token_claims(user: Column, session: Column, at: Column, issuer: str, audienc
 
 def verify_token(token: Column, key: bytes, as_of: Column, issuer: str, audience: str | None = None, refresh: bool = False) -> Column:
     """The claims, or null for a token that isn't signed with the key, has ended, is another's, or is no refresh token where one is due."""
-    part = F.split(token, r"\.")
-    body = F.concat_ws(".", F.get(part, F.lit(0)), F.get(part, F.lit(1)))
-    claims = F.from_json(from_base64url(F.get(part, F.lit(1))).cast("string"), CLAIMS)
-    head = F.from_json(from_base64url(F.get(part, F.lit(0))).cast("string"), "alg STRING")
-    good = (F.size(part) == 3) & (head["alg"] == "HS256") & (F.get(part, F.lit(2)) == base64url(hmac_sha256(key, body)))
-    good &= F.coalesce(claims["exp"] > F.unix_seconds(as_of.cast("timestamp")), F.lit(True)) & (claims["iss"] == issuer)
-    if audience:
-        good &= claims["aud"] == audience
-    if refresh:
-        good &= claims["tokenType"] == "refresh"
-    return F.when(F.coalesce(good, F.lit(False)), claims)
+
+
+    def signed(part: Column) -> Column:
+        """The middle part, if the last one is its signature; JSON is read only then."""
+        head = F.from_json(from_base64url(F.get(part, F.lit(0))).cast("string"), "alg STRING")
+        body = F.concat_ws(".", F.get(part, F.lit(0)), F.get(part, F.lit(1)))
+        good = (F.size(part) == 3) & (F.get(part, F.lit(2)) == base64url(hmac_sha256(key, body)))
+        usual = F.get(part, F.lit(0)) == _HEADER
+        return F.when(F.coalesce(good & (usual | (head["alg"] == "HS256")), F.lit(False)), F.get(part, F.lit(1)))
+
+    def live(claims: Column) -> Column:
+        good = F.coalesce(claims["exp"] > F.unix_seconds(as_of.cast("timestamp")), F.lit(True)) & (claims["iss"] == issuer)
+        if audience:
+            good &= claims["aud"] == audience
+        if refresh:
+            good &= claims["tokenType"] == "refresh"
+        return F.when(F.coalesce(good, F.lit(False)), claims)
+
+    middle = let(F.split(token, r"\."), signed)
+    return let(F.from_json(from_base64url(middle).cast("string"), CLAIMS), live)
 
 
 def _uri(c: Column) -> Column:

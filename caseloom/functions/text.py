@@ -106,12 +106,13 @@ DATE_TIME = (
     rf"|[0-9]{{1,2}}[/-][0-9]{{1,2}}[/-][0-9]{{2,4}}[{SPACE}T]?{_CLOCK}|[0-9]{{4}}[/-][0-9]{{1,2}}[/-][0-9]{{1,2}}[{SPACE}T]{_CLOCK})\b"
 )
 _HEAD = "(?:Interpretation|Conclusion|Remarks|Notes)"
+_ENDS = "Thanks|End of Report|Signature"
 _GAP = rf"{_S}*+[:\-]?+{_S}*+"
 #: Group 1 is the conclusion if group 2, what ends it, is not empty. Where a line has no end for it, the match goes on to
 #: the line's end, or to a heading that nothing but blanks parts from the next line, so that no part is read once for each
 #: heading before it. Reads texts with ``\\0`` added.
 _BLANK = SPACE.replace(r"\t-\r", r"\t\x0B-\r")
-CONCLUSION = rf"{_HEAD}{_GAP}(?:([^\n]*?)(Thanks|End of Report|Signature|\n?\x00\z)|(?:(?!{_HEAD}[{_BLANK}]*+[:\-]?+[{_BLANK}]*+\n)[^\n])*+)"
+CONCLUSION = rf"{_HEAD}{_GAP}(?:([^\n]*?)({_ENDS}|\n?\x00\z)|(?:(?!{_HEAD}[{_BLANK}]*+[:\-]?+[{_BLANK}]*+\n)[^\n])*+)"
 _LETTER = r"A-Za-z()%\-"
 _NAME = rf"[{_LETTER}{SPACE}]"
 #: A name ends before the first run of white space that a digit follows; a name that is white space alone leaves one of it to part them.
@@ -138,20 +139,24 @@ def date_time(c: Column) -> Column:
 def conclusion(c: Column) -> Column:
     """What follows the first heading up to a closing word on its line, or to the end of the text."""
     ended = F.concat(c, F.lit("\0"))
-    found = F.arrays_zip(F.regexp_extract_all(ended, F.lit(CONCLUSION), F.lit(1)).alias("text"), F.regexp_extract_all(ended, F.lit(CONCLUSION), F.lit(2)).alias("end"))
-    first = F.get(F.filter(found, lambda m: m["end"] != ""), F.lit(0))["text"]
-    return F.when(c.rlike(_HEAD), trim(first))
+    found = F.regexp_extract_all(ended, F.lit(CONCLUSION), F.lit(0))
+    # a match without an end closes with none of the words, and with the last character only if the text has it elsewhere too
+    first = F.get(F.filter(found, lambda m: m.rlike(rf"(?:{_ENDS})\z") | (F.endswith(m, F.lit("\0")) & F.endswith(ended, m))), F.lit(0))
+    return F.when(c.rlike(_HEAD), trim(F.regexp_extract(first, rf"^{CONCLUSION}", 1)))
 
 
 def parameters(c: Column) -> Column:
     """name, value, unit and reference of every number that follows a name.
 
     A match can begin only where a run of name characters does, or where the
-    last match ended; saying so keeps long texts without numbers linear.
+    last match ended; saying so keeps long texts without numbers linear.  One pass
+    puts marks around the groups of each match, which then are split at them.
     """
-    found = F.regexp_extract_all(c, F.lit(rf"(?:\G|(?<!{_NAME})){PARAMETER}"), F.lit(0))
-    part = lambda m, i: trim(F.regexp_extract(m, rf"^{PARAMETER}\z", i))
-    return F.transform(found, lambda m: F.struct(*[part(m, i + 1).alias(n) for i, n in enumerate(("name", "value", "unit", "reference"))]))
+    # the marks are no part of any match; where a text has them, another character that is none stands for them
+    clear = F.translate(c, "\1\2", "\3\3")
+    marked = F.regexp_replace(clear, rf"(?:\G|(?<!{_NAME})){PARAMETER}", "\2$1\1$2\1$3\1$4\1")
+    hits = F.transform(F.filter(F.split(marked, "\2"), lambda _, i: i > 0), lambda m: F.split(m, "\1"))
+    return F.transform(hits, lambda g: F.struct(*[trim(F.get(g, F.lit(i))).alias(n) for i, n in enumerate(("name", "value", "unit", "reference"))]))
 
 
 def report_fields(c: Column) -> Column:

@@ -865,7 +865,7 @@ def session_tokens(spark, d):
     now = F.lit("2024-01-15").cast("timestamp_ntz")
     claims = signed.token_claims(F.col("user_id").cast("string"), F.col("event_id").cast("string"), F.col("ts"), "records", "app", refresh=True)
     token = signed.sign_token(claims, _KEY)
-    rows = scan(spark, d, "events", "event_id", "user_id", "ts").select("event_id", F.when(F.col("event_id") % 4 == 0, token.substr(F.lit(1), F.length(token) - 1)).otherwise(token).alias("token"))
+    rows = scan(spark, d, "events", "event_id", "user_id", "ts").select("event_id", scalar.let(token, lambda t: F.when(F.col("event_id") % 4 == 0, t.substr(F.lit(1), F.length(t) - 1)).otherwise(t)).alias("token"))
     return rows.select("event_id", "token", signed.verify_token(F.col("token"), _KEY, now, "records", "app", refresh=True)["userId"].alias("user_id"))
 
 
