@@ -36,13 +36,30 @@ def expires(ts: Column, duration: Column) -> Column:
 NO_DATE = ("", "Not Found")
 
 
+# The forms of a date besides the ISO one, with what tells each.
+DATE_FORMS = (
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}\z", "M/d/y"), (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}\z", "y/M/d"), (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}\z", "M-d-y"),
+    (r"^[A-Z][a-z]{2} [0-9]{1,2},? [0-9]{4}\z", "MMM d y"), (r"^[A-Z][a-z]{3,8} [0-9]{1,2},? [0-9]{4}\z", "MMMM d y"),
+    (r"^[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}\z", "d MMM y"), (r"^[0-9]{1,2} [A-Z][a-z]{3,8} [0-9]{4}\z", "d MMMM y"),
+)
+
+
+def read_date(c: Column) -> Column:
+    """A date in ISO form, as month/day/year, year/month/day, or with the month's English name; null for anything else."""
+    low = F.initcap(F.trim(c))
+    other = F.lit(None).cast("date")
+    for shape, form in reversed(DATE_FORMS):
+        other = F.when(low.rlike(shape), F.try_to_timestamp(F.replace(low, F.lit(","), F.lit("")), F.lit(form)).cast("date")).otherwise(other)
+    return F.coalesce(F.try_to_date(c), other)
+
+
 def date_or_null(c: Column) -> Column:
     """Sentinels and null give null; what is no date too (``is_bad_date`` tells it)."""
-    return F.when(c.isin(*NO_DATE), F.lit(None)).otherwise(F.try_to_date(c)).cast("date")
+    return F.when(c.isin(*NO_DATE), F.lit(None)).otherwise(read_date(c)).cast("date")
 
 
 def is_bad_date(c: Column) -> Column:
-    return F.coalesce(c.isNotNull() & ~c.isin(*NO_DATE) & F.try_to_date(c).isNull(), F.lit(False))
+    return F.coalesce(c.isNotNull() & ~c.isin(*NO_DATE) & read_date(c).isNull(), F.lit(False))
 
 
 def number_or(c: Column, default: float) -> Column:

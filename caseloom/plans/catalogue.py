@@ -508,7 +508,7 @@ def validate_customer(spark, d):
     return told.select("c_custkey", F.size("i").alias("n_issues"), validate.first_message(F.col("i")).alias("first_message"))
 
 
-_SUPPLY_CASES = "[CASE WHEN l_linenumber * 8 > CAST(l_quantity AS INT) THEN 'more than the quantity' END, CASE WHEN l_returnflag <> 'R' AND l_shipdate > TIMESTAMP '1998-06-01' THEN 'before the start' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber THEN 'more than the frequency allows' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END THEN 'more than the frequency allows' END, CASE WHEN l_linenumber % 2 = 0 THEN 'not as many as times' END, CASE WHEN l_linenumber >= 2 THEN 'more than one CUSTOM' END]"
+_SUPPLY_CASES = "[CASE WHEN l_linenumber * 8 > CAST(l_quantity AS INT) THEN 'more than the quantity' END, CASE WHEN l_returnflag <> 'R' AND l_shipdate > TIMESTAMP '1998-06-01' THEN 'before the start' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber THEN 'more than the frequency allows' END, CASE WHEN l_linenumber >= 2 THEN 'more than one CUSTOM' END, CASE WHEN (CASE l_linestatus WHEN 'O' THEN 1 ELSE 3 END) < l_linenumber + CASE WHEN l_linenumber % 2 = 0 THEN 1 ELSE 0 END THEN 'more than the frequency allows' END, CASE WHEN l_linenumber % 2 = 0 THEN 'not as many as times' END]"
 
 
 @query(f"SELECT l_orderkey, l_linenumber, CAST(len(i) AS INT) AS n_issues, i[1] AS first_message FROM (SELECT l_orderkey, l_linenumber, list_filter({_SUPPLY_CASES}, lambda x: x IS NOT NULL) AS i FROM lineitem)")
@@ -517,9 +517,9 @@ def validate_supply(spark, d):
         "l_orderkey", "l_linenumber", (F.col("l_linenumber") * 8).alias("dose_per_intake"), F.col("l_quantity").cast("int").alias("total_quantity"), (F.col("l_returnflag") == "R").alias("ongoing"),
         F.col("l_shipdate").alias("start_date"), as_of().alias("end_date"), F.when(F.col("l_linestatus") == "O", "ONCE_DAILY").otherwise("THREE_TIMES_DAILY").alias("frequency"),
         F.array_repeat(F.struct(F.lit("08:00").alias("time"), F.lit("AM").alias("period")), F.col("l_linenumber")).alias("medication_times"), F.lit("TABLET").alias("medication_type"), F.lit("PILLS").alias("unit"),
-        F.lit("x").alias("medication_name"), F.array_repeat(F.lit("CUSTOM"), F.col("l_linenumber") + (F.col("l_linenumber") % 2 == 0).cast("int")).alias("best_taken"),
+        F.concat("l_returnflag", "l_linestatus").alias("medication_name"), *[F.lit(None).cast("string").alias(c) for c in ("prescribed_by", "food_frequency", "notes")], F.lit(5).alias("reminder_before_minutes"), F.array_repeat(F.lit("CUSTOM"), F.col("l_linenumber") + (F.col("l_linenumber") % 2 == 0).cast("int")).alias("best_taken"),
     )
-    told = rows.withColumn("i", validate.issues(validate.medication_rules()))
+    told = rows.withColumn("i", validate.issues(validate.medication_rules(validate.OPTIONAL)))
     return told.select("l_orderkey", "l_linenumber", F.size("i").alias("n_issues"), validate.first_message(F.col("i")).alias("first_message"))
 
 
@@ -820,17 +820,103 @@ def validate_refresh(spark, d):
 
 @query(_told_sql(
     [("document_type:required", "t IS NULL"), ("document_type:not one of the choices", "t NOT IN ('family', 'medical_document', 'medication', 'insurance', 'other')"), ("file_name:shorter than 2", "length(n) < 2"), ("file_size:below 1", "z < 1"), ("file_size:above 26214400", "z > 26214400"),
-     ("file_type:not one of the choices", "f NOT IN ('image/png', 'text/plain')"), ("s3_key:longer than 500", "k > 500")],
-    "SELECT p_partkey, ['family', 'letter', NULL][CAST(p_partkey % 3 AS INT) + 1] AS t, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'x' END AS n, p_partkey * 20011 - 40022 AS z, ['image/png', 'image/gif', 'text/plain'][CAST(p_partkey % 3 AS INT) + 1] AS f, p_partkey % 700 AS k FROM part", "p_partkey"))
+     ("file_type:not one of the choices", "f NOT IN ('image/png', 'text/plain')"), ("s3_bucket:required", "b IS NULL"), ("s3_bucket:shorter than 1", "b IN ('', ' ')"), ("s3_key:shorter than 1", "k = 0"), ("s3_key:longer than 500", "k > 500")],
+    "SELECT p_partkey, ['bucket', NULL, '', ' '][CAST(p_partkey % 4 AS INT) + 1] AS b, ['family', 'letter', NULL][CAST(p_partkey % 3 AS INT) + 1] AS t, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE 'x' END AS n, p_partkey * 20011 - 40022 AS z, ['image/png', 'image/gif', 'text/plain'][CAST(p_partkey % 3 AS INT) + 1] AS f, p_partkey % 700 AS k FROM part", "p_partkey"))
 def validate_document(spark, d):
     pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % len(v)).cast("int"))
     rows = scan(spark, d, "part", "p_partkey", "p_name").withColumns({
         "document_type": pick("family", "letter", None), "file_name": F.when(F.col("p_partkey") % 2 == 0, F.col("p_name")).otherwise("x"), "file_path": F.lit("p"), "file_size": F.col("p_partkey") * 20011 - 40022,
-        "file_type": pick("image/png", "image/gif", "text/plain"), "s3_bucket": F.lit(None).cast("string"), "s3_key": F.repeat(F.lit("k"), (F.col("p_partkey") % 700).cast("int")),
+        "file_type": pick("image/png", "image/gif", "text/plain"), "s3_bucket": pick("bucket", None, "", "\t\u00a0"), "s3_key": F.repeat(F.lit("k"), (F.col("p_partkey") % 700).cast("int")),
     })
     return _told(rows, validate.document_rules(), "p_partkey")
 
 
+_UPDATES = "SELECT c_custkey, ['A ', ' Ann', 'Ann1', NULL, 'An\u00a0n', NULL, NULL][CAST(c_custkey % 7 AS INT) + 1] AS first_name, ['ann@example.org', NULL, 'a@b.org', NULL, NULL][CAST(c_custkey % 5 AS INT) + 1] AS email, [NULL, 'ACTIVE', 'GONE'][CAST(c_custkey % 3 AS INT) + 1] AS status, CASE WHEN c_custkey % 4 = 0 THEN CAST(c_custkey % 160 AS INT) END AS age FROM customer"
+
+
+@query(_told_sql(
+    [("age:below 1", "age < 1"), ("age:above 150", "age > 150"), ("email:shorter than 8", "email = 'a@b.org'"), ("first_name:shorter than 2", "first_name = 'A '"), ("first_name:wrong characters", "first_name = 'Ann1'"),
+     ("status:not one of the choices", "status = 'GONE'"), ("request:nothing to change", "age IS NULL AND email IS NULL AND first_name IS NULL AND status IS NULL")], _UPDATES, "c_custkey"))
+def validate_patient_update(spark, d):
+    """Changes to patients: every field may be absent, not all of them."""
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("c_custkey") % len(v)).cast("int"))
+    none = {c: F.lit(None).cast("string") for c in ("last_name", "gender", "password", "phone", "profile_image_key", "user_name")}
+    rows = scan(spark, d, "customer", "c_custkey").withColumns({
+        "first_name": pick("A ", "\u00a0Ann", "Ann1", None, "An\u00a0n", None, None), "email": pick("ann@example.org", None, "a@b.org", None, None), "status": pick(None, "ACTIVE", "GONE"),
+        "age": F.when(F.col("c_custkey") % 4 == 0, (F.col("c_custkey") % 160).cast("int")), **none,
+    })
+    return _told(rows, validate.patient_update_rules(), "c_custkey")
+
+
+@query(
+    "SELECT p_partkey, n_issues, issues, ['completed', 'in_progress', 'in_progress', 'done'][CAST(p_partkey % 4 AS INT) + 1] AS ocr_status, CASE CAST(p_partkey % 6 AS INT) WHEN 0 THEN DATE '2024-05-01' WHEN 4 THEN DATE '2024-05-01' WHEN 5 THEN DATE '2024-02-03' END AS report_date FROM ("
+    + _told_sql(
+        [("doctor_name:longer than 255", "p_partkey % 300 > 255"), ("ocr_extracted_text:not an object", "p_partkey % 3 = 1"), ("ocr_status:not one of the choices", "p_partkey % 4 = 3"), ("report_date:not a date", "p_partkey % 6 = 3")],
+        "SELECT p_partkey FROM part", "p_partkey",
+    )
+    + ")"
+)
+def validate_document_update(spark, d):
+    """Changes to documents, and what the valid parts of them set."""
+    pick = lambda *v: F.get(F.array(*[F.lit(x) for x in v]), (F.col("p_partkey") % len(v)).cast("int"))
+    rows = scan(spark, d, "part", "p_partkey").withColumns({
+        "doctor_name": F.concat(F.lit("\u2003"), F.repeat(F.lit("d"), (F.col("p_partkey") % 300).cast("int")), F.lit("\n")), "hospital_name": F.lit(None).cast("string"), "ocr_extracted_text": pick('{"a": [1, {"b": null}]}', "[1]", None),
+        "ocr_status": pick("completed", None, "in_progress", "done"), "report_date": pick("2024-05-01", "Not Found", "", "some day", "May 1, 2024", "2/3/2024"), "structured_extracted_data": F.lit("{}"),
+    })
+    told = rows.withColumn("i", validate.issues(validate.document_update_rules()))
+    fields = F.array_join(F.transform("i", lambda x: F.concat_ws(":", x["field"], x["message"])), "; ")
+    return validate.document_update(told.withColumn("issues", fields)).select("p_partkey", F.size("i").alias("n_issues"), "issues", "ocr_status", "report_date")
+
+
+_ORDERED = """SELECT l_orderkey, l_linenumber, k, ['Ab', ' x ', NULL][CAST(k % 3 AS INT) + 1] AS name, ['TABLET', 'PILL'][CAST((k // 3) % 2 AS INT) + 1] AS type, ['ONCE_DAILY', 'TWICE_DAILY', NULL, 'AS_NEEDED'][CAST((k // 2) % 4 AS INT) + 1] AS freq,
+CAST(k % 5 AS INT) AS n_times, ['AM', 'PM', 'XM'][CAST((k // 5) % 3 AS INT) + 1] AS period, CASE WHEN k % 4 > 0 THEN CAST(k % 4 AS INT) - 1 END AS n_taken, CAST(l_quantity AS INT) - 10 AS total, CAST(l_linenumber * 4 - 4 AS INT) AS dose, CASE WHEN k % 11 > 0 THEN l_shipdate END AS start_date, k % 7 * 200 AS n_notes
+FROM (SELECT *, l_orderkey + l_linenumber AS k FROM lineitem)"""
+_SLOT = "CASE freq WHEN 'ONCE_DAILY' THEN 1 WHEN 'TWICE_DAILY' THEN 2 END"
+_SHAPE = "coalesce(type = 'PILL', false) OR (n_times > 0 AND period = 'XM') OR coalesce(n_taken > 0 AND k % 13 = 0, false)"
+_MISSING = "name IS NULL OR freq IS NULL OR start_date IS NULL"
+_PART_CASES = [
+    ("medication_name:shorter than 2", "name = ' x '"), ("medication_type:not one of the choices", "type = 'PILL'"), ("dose_per_intake:below 1", "dose < 1"), ("medication_times:not a time and AM or PM", "n_times > 0 AND period = 'XM'"), ("medication_times:none given", "n_times = 0"),
+    ("best_taken:not one of the choices", "n_taken > 0 AND k % 13 = 0"),
+]
+_TAIL_CASES = [("total_quantity:below 0", "total < 0"), ("notes:longer than 1000", "n_notes > 1000")]
+
+
+def _cross(fatal: str) -> list[tuple[str, str]]:
+    """Rules between fields, which are asked where no field is missing or of no known kind."""
+    ok = f"NOT ({fatal})"
+    return [
+        ("medication_times:more than the frequency allows", f"{ok} AND n_times > {_SLOT}"), ("best_taken:more than one CUSTOM", f"{ok} AND freq IS NOT NULL AND n_taken > 1"),
+        ("best_taken:more than the frequency allows", f"{ok} AND n_taken > {_SLOT}"), ("best_taken:not as many as times", f"{ok} AND freq IS NOT NULL AND n_taken <> n_times"),
+    ]
+
+
+def _ordered(spark, d):
+    k = F.col("l_orderkey") + F.col("l_linenumber")
+    pick = lambda i, *v: F.get(F.array(*[F.lit(x) for x in v]), (F.floor(i) % len(v)).cast("int"))
+    time = F.struct(F.lit("08:00").alias("time"), pick(k / 5, "AM", "PM", "XM").alias("period"))
+    rows = scan(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_shipdate")
+    return rows.select(
+        "l_orderkey", "l_linenumber", pick(k, "Ab", "\tx\u00a0", None).alias("medication_name"), pick(k / 3, "TABLET", "PILL").alias("medication_type"), pick(k / 2, "ONCE_DAILY", "TWICE_DAILY", None, "AS_NEEDED").alias("frequency"),
+        F.array_repeat(time, (k % 5).cast("int")).alias("medication_times"), F.when(k % 4 > 0, F.array_repeat(F.when(k % 13 == 0, "DAWN").otherwise("CUSTOM"), (k % 4 - 1).cast("int"))).alias("best_taken"),
+        (F.col("l_quantity").cast("int") - 10).alias("total_quantity"), (F.col("l_linenumber") * 4 - 4).cast("int").alias("dose_per_intake"), F.when(k % 11 > 0, F.col("l_shipdate")).alias("start_date"),
+        as_of().alias("end_date"), F.lit(None).cast("boolean").alias("ongoing"), F.lit("PILLS").alias("unit"), *[F.lit(None).cast("string").alias(c) for c in ("prescribed_by", "food_frequency")], F.lit(5).alias("reminder_before_minutes"),
+        F.repeat(F.lit("n"), (k % 7 * 200).cast("int")).alias("notes"), F.lit(1).alias("remaining_quantity"),
+    )
+
+
+@query(_told_sql(
+    [("medication_name:required", "name IS NULL"), ("frequency:required", "freq IS NULL"), ("start_date:required", "start_date IS NULL"), *_PART_CASES, ("best_taken:none given", "n_taken = 0"), *_TAIL_CASES,
+     ("dose_per_intake:more than the quantity", f"NOT ({_MISSING} OR {_SHAPE}) AND dose > total"), ("end_date:before the start", f"NOT ({_MISSING} OR {_SHAPE}) AND start_date > TIMESTAMP '1998-06-01'"), *_cross(f"{_MISSING} OR {_SHAPE}")],
+    _ORDERED, "l_orderkey", "l_linenumber"))
+def validate_prescription(spark, d):
+    return _told(_ordered(spark, d), validate.medication_rules(validate.OPTIONAL), "l_orderkey", "l_linenumber")
+
+
+@query(_told_sql([*_PART_CASES, *_TAIL_CASES, ("dose_per_intake:more than the quantity", f"NOT ({_SHAPE}) AND dose > total"), *_cross(_SHAPE)], _ORDERED, "l_orderkey", "l_linenumber"))
+def validate_prescription_update(spark, d):
+    return _told(_ordered(spark, d), validate.medication_update_rules(validate.OPTIONAL), "l_orderkey", "l_linenumber")
+
+
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'Notice' ELSE event_type END AS title, CASE WHEN event_id % 2 = 0 THEN 'You have news' ELSE props END AS body, CAST(CASE event_id % 5 WHEN 0 THEN 1 WHEN 1 THEN 1 ELSE 0 END AS INT) AS n_issues, CASE event_id % 5 WHEN 0 THEN 'user_id:required' WHEN 1 THEN 'user_id:empty' ELSE '' END AS issues FROM events")
 def validate_notification(spark, d):
     i = F.col("event_id")

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caseloom.functions import signed, text
-from caseloom.operators import lookups, state
+from caseloom.operators import lookups, state, validate
 from caseloom.operators.listing import listing
 from caseloom.sources import schema, tables
 
@@ -199,3 +199,37 @@ def test_extraction_is_that_of_the_plain_patterns(spark):
     plain = F.arrays_zip(*[F.transform(F.regexp_extract_all(t, F.lit(parameter), F.lit(i)), text.trim).alias(n) for i, n in ((1, "name"), (2, "value"), (3, "unit"), (4, "reference"))])
     got = df.select("t", text.conclusion(t).alias("a"), F.when(t.rlike(remarks), text.trim(F.regexp_extract(t, remarks, 1))).alias("b"), text.parameters(t).cast("string").alias("c"), plain.cast("string").alias("d"))
     assert got.filter("not (a <=> b) or not (c <=> d)").collect() == []
+
+
+def test_white_space_and_lengths_as_requests_count_them(spark):
+    rows = [("\tA ", "Ann Lee", "d" * 500 + " ", "x"), ("﻿Ab", "An​n", "d" * 500, "\U0001f600" * 128), ("\x1fA", "Ann\x85Lee", None, "\U0001f600" * 127)]
+    df = spark.createDataFrame(rows, "a string, b string, device_token string, c string")
+    rules = [*validate.text("a", 2, 255), *validate.text("b", 2, 255, validate.LETTERS), *validate.session_rules(), *validate.text("c", 0, 255)]
+    got = [[f"{x.field}:{x.message}" for x in r.i] for r in df.withColumn("i", validate.issues(rules)).collect()]
+    assert got == [["a:shorter than 2", "device_token:longer than 500"], ["b:wrong characters", "c:longer than 255"], ["b:wrong characters"]]
+
+
+def test_rules_between_fields_wait_for_their_fields(spark):
+    time = [("08:00", "AM")]
+    ddl = "medication_name string, medication_type string, dose_per_intake double, total_quantity int, frequency string, medication_times array<struct<time:string,period:string>>, best_taken array<string>, start_date date, end_date date, ongoing boolean, unit string, prescribed_by string, food_frequency string, reminder_before_minutes double, notes string"
+    base = dict(medication_name="Abc", medication_type="TABLET", dose_per_intake=5.0, total_quantity=3, frequency="ONCE_DAILY", medication_times=time * 2, best_taken=["CUSTOM"], start_date=date(2024, 1, 2), end_date=date(2024, 1, 1), ongoing=None, unit="PILLS", prescribed_by=None, food_frequency=None, reminder_before_minutes=5.0, notes=None)
+    cases = [{}, {"unit": None}, {"unit": "GRAMS"}, {"medication_name": "A", "reminder_before_minutes": 1.5, "food_frequency": "BEFORE_FOOD"}, {"ongoing": True, "total_quantity": 9, "medication_times": time}, {"medication_times": [("08:00", "am")]}, {"best_taken": []}, {"dose_per_intake": 1.5, "notes": "n" * 1001}]
+    names = [c.split()[0] for c in ddl.split(", ")]
+    df = spark.createDataFrame([tuple((base | c)[n] for n in names) for c in cases], ddl)
+    late = ["dose_per_intake:more than the quantity", "end_date:before the start", "medication_times:more than the frequency allows", "best_taken:not as many as times"]
+    got = [[f"{x.field}:{x.message}" for x in r.i] for r in df.withColumn("i", validate.issues(validate.medication_rules(validate.OPTIONAL))).collect()]
+    assert got == [late, ["unit:required"], ["unit:not one of the choices"], ["medication_name:shorter than 2", "reminder_before_minutes:not whole", *late], [], ["medication_times:not a time and AM or PM"], ["best_taken:none given", *late], ["dose_per_intake:not whole", "notes:longer than 1000", *late[1:]]]
+
+
+def test_what_valid_changes_set(spark):
+    df = spark.createDataFrame([(" Ann ", "Lee ", "X@Y.Org ", None, "pw", None), ("Ann", None, None, "u", None, "")], "first_name string, last_name string, email string, user_name string, password string, profile_image_key string")
+    got = [(r.full_name, r.email) for r in validate.patient_update(df).collect()]
+    assert got == [("Ann Lee", "x@y.org"), (None, None)]
+
+
+@pytest.mark.parametrize(("text", "want"), [("May 1, 2024", "2024-05-01"), ("may 1 2024", "2024-05-01"), ("1 September 2024", "2024-09-01"), ("2024/5/1", "2024-05-01"), ("05/01/2024", "2024-05-01"), ("2024-05-01T10:00:00Z", "2024-05-01"), ("Foo 1, 2024", None), ("13/13/2024", None), ("", None), ("Not Found", None)])
+def test_date_forms(spark, text, want):
+    from caseloom.functions import scalar
+
+    got = spark.createDataFrame([(text,)], "c string").select(scalar.date_or_null(F.col("c")).cast("string").alias("d"), scalar.is_bad_date(F.col("c")).alias("bad")).first()
+    assert got.d == want and got.bad == (want is None and text not in ("", "Not Found"))
