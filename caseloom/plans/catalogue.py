@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from caseloom.functions import medication, scalar, signed, text
 from caseloom.operators import deep, listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.plans import ingest
-from caseloom.sources import textindex
+from caseloom.sources import journal, keyed, textindex
 from caseloom.sources.schema import camel, grown, ordinal, retyped
 from caseloom.sources.shared import fresh_dir
+from caseloom.sources.store import Stored
 from caseloom.sources.tables import alive, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -570,6 +571,45 @@ def liveness(spark, d):
     return alive(spark)
 
 
+# --- tables that change ------------------------------------------------------
+
+
+@query("SELECT o_orderkey, o_orderstatus, o_orderkey % 1000 = 7 OR o_orderstatus = 'P' AS soft_delete, CASE WHEN o_orderkey % 1000 = 7 OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS touched FROM orders WHERE o_orderkey % 500 <> 9")
+def stored_changes(spark, d):
+    """A stored table after two soft deletions, the second of which finds some rows deleted, and a hard one."""
+    rows = scan(spark, d, "orders", "o_orderkey", "o_orderstatus").withColumns({"soft_delete": F.lit(False), "touched": F.lit(0)})
+    t = Stored.create(rows.repartitionByRange("o_orderkey"), fresh_dir(spark, "orders"))
+    for where in (F.col("o_orderkey") % 1000 == 7, F.col("o_orderstatus") == "P"):
+        t.update(where & predicates.not_deleted(), {"soft_delete": F.lit(True), "touched": F.col("touched") + 1})
+    t.delete(F.col("o_orderkey") % 500 == 9)
+    return t.read()
+
+
+@query(
+    "WITH n AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 > 0 THEN c_custkey % 400 END AS email, c_custkey % 611 AS user_name FROM customer WHERE c_custkey >= 300), k AS (SELECT c_custkey % 350 AS email, c_custkey AS user_name FROM customer WHERE c_custkey < 300) "
+    "SELECT id, concat_ws(',', CASE WHEN email IS NOT NULL AND (email IN (SELECT email FROM k) OR e > 1) THEN 'email' END, CASE WHEN user_name IN (SELECT user_name FROM k) OR u > 1 THEN 'user_name' END) AS refused "
+    "FROM (SELECT *, row_number() OVER (PARTITION BY email ORDER BY id) AS e, row_number() OVER (PARTITION BY user_name ORDER BY id) AS u FROM n)"
+)
+def unique_insert(spark, d):
+    c = scan(spark, d, "customer", "c_custkey")
+    i = F.col("c_custkey")
+    new = c.filter(i >= 300).select(i.alias("id"), F.when(i % 9 > 0, i % 400).alias("email"), (i % 611).alias("user_name"))
+    good, bad = keyed.admitted(new, c.filter(i < 300).select((i % 350).alias("email"), i.alias("user_name")), ("email",), ("user_name",), order="id")
+    return good.select("id", F.lit("").alias("refused")).unionByName(bad.select("id", F.array_join("refused", ",").alias("refused")))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 2 = 0 THEN 'unknown' ELSE event_type END AS kind, CASE WHEN event_id % 2 = 0 THEN NULL ELSE value END AS value FROM events")
+def journal_read(spark, d):
+    """Half of the events under an old schema, half under a later one, read as the newest."""
+    old = journal.Journal("event_id bigint, note string")
+    mid = old.then(journal.drop("note"), journal.add("kind", "string", F.lit("unknown")), journal.add("amount", "double"))
+    new = mid.then(journal.rename("event_id", "id"), journal.rename("amount", "value"), journal.retype("id", "string"))
+    path, rows = fresh_dir(spark, "journal"), scan(spark, d, "events", "event_id", "event_type", "value")
+    old.write(rows.filter(F.col("event_id") % 2 == 0).select("event_id", F.lit("x").alias("note")), path)
+    mid.write(rows.filter(F.col("event_id") % 2 == 1).select("event_id", F.col("event_type").alias("kind"), F.col("value").alias("amount")), path)
+    return new.read(spark, path)
+
+
 # --- ingestion ---------------------------------------------------------------
 
 
