@@ -42,6 +42,8 @@ MOST = 2
 BLOCK = 16
 ROWS_A_SHARD = 4000
 SEED = 42
+#: Shards that share blocks in one group.
+FAN = 1 << 16
 #: Bytes of the sources' table up to which it comes to the driver and is broadcast to the rows.
 BROADCAST_BYTES = 4 << 20
 #: Divisors that one pass over the sources tries.
@@ -172,6 +174,21 @@ def _quotas(table: pa.Table) -> pa.Table:
     return table.drop_columns("blocks").append_column("quota", pa.array(got, pa.int64()))
 
 
+def quotas(avail: DataFrame, n_shards: int, fan: int = FAN) -> DataFrame:
+    """(sid, shard, avail, quota) of (sid, shard, avail, blocks): a source's blocks to its shards by the highest quotients.
+
+    Where a source may have more than ``fan`` shards, runs of so many share its
+    blocks first and then each run's shards its own, so a group has ``fan`` rows at most.
+    """
+    ddl = "sid long, shard int, avail long, quota long"
+    if n_shards <= fan:
+        return avail.groupBy("sid").applyInArrow(_quotas, ddl)
+    run = F.floor(F.col("shard") / fan).cast("int")
+    sums = avail.groupBy("sid", run.alias("shard")).agg(F.sum("avail").alias("avail"), F.first("blocks").alias("blocks"))
+    above = quotas(sums, -(-n_shards // fan), fan).select("sid", F.col("shard").alias("_run"), F.col("quota").alias("blocks"))
+    return avail.drop("blocks").withColumn("_run", run).join(above, ["sid", "_run"]).groupBy("sid", "_run").applyInArrow(lambda t: _quotas(t.drop_columns("_run")), ddl)
+
+
 def mixture(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of each row, and how it is taken: whole rounds, and words [lo, hi) and [0, wrap)."""
     spark = docs.sparkSession
@@ -191,7 +208,7 @@ def mixture(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     named = rows.withColumnRenamed("source", "_source").join(hint(info.select("sid", "source", "source_size", "target")), F.col("_source").eqNullSafe(F.col("source"))).drop("_source", "source")
     dealt = named.withColumn("shard", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "tie"), F.lit(n_shards)).cast("int"))
     avail = dealt.groupBy("sid", "shard").agg(F.sum("size").alias("avail")).join(hint(info.select("sid", "blocks")), "sid")
-    quota = avail.groupBy("sid").applyInArrow(_quotas, "sid long, shard int, avail long, quota long")
+    quota = quotas(avail, n_shards)
     order = Window.partitionBy("sid", "shard").orderBy(F.xxhash64(F.lit(SEED + 1), "doc_id"), "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = dealt.withColumn("at", F.coalesce(F.sum("size").over(order), F.lit(0))).join(quota, ["sid", "shard"])
     words_due = F.least(F.col("quota") * BLOCK, F.col("avail") * MOST)

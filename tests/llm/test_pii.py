@@ -79,6 +79,62 @@ def test_added_spans(spark, model):
     assert got[2].n_added == got[3].n_added == got[5].n_added == 0
 
 
+def plain_features(text, start, kind, end, m):
+    before, after, last = text[max(start - pii.CONTEXT, 0) : start].lower(), text[end : end + 1], text[max(start - 1, 0) : start]
+    count = lambda p: len(m) - len(re.sub(p, "", m))
+    groups = [g for g in re.split("[^A-Za-z0-9]+", m) if g]
+    said = [bool(re.search(pii.WORDS_FOR[k], before)) for k in pii.KINDS]
+    first = re.search("[0-9]", m)
+    value = {
+        "kind": kind, "n_digits": count("[0-9]"), "n_letters": count("[A-Za-z]"), "n_signs": count("[^A-Za-z0-9 ]"), "n_groups": len(groups), "longest": max(map(len, groups), default=0), "checks": bool(digits(m)) and luhn(digits(m)), "at_sign": "@" in m,
+        "n_dots": count(r"\."), "ends_as_domain": bool(re.search(r"[. )\]](?:com|org|net|edu|gov|io|de|fr|es|uk|info|dev)$", m.lower())), "says_kind": said[kind], "says_other": any(s for k, s in enumerate(said) if k != kind), "says_no": bool(re.search(pii.WORDS_AGAINST, before)),
+        "touches": bool(re.search("[A-Za-z0-9]", last + after)), "first_digit": int(first.group()) if first else -1, "spaces": count(" "), "brackets": count(r"[\[\](){}<>]"),
+    }
+    return [float(value[f]) for f in pii.FEATURES]
+
+
+def plain_spans(text, model):
+    """Base spans, and what generators, trees and selection add, by lists."""
+    fixed = [(m.start(), k, m.end()) for k, (kind, p) in enumerate(PLAIN) for m in p.finditer(text) if TEST[kind](m.group())]
+    asked = []
+    for k, kind in enumerate(pii.KINDS):
+        if re.search(pii.MAY_WIDE[kind], text):
+            asked += [(m.start(), k, m.end(), m.group()) for m in re.finditer(pii.WIDE[kind], text)]
+    scored = []
+    for s, k, e, m in asked:
+        if any(s < z and a < e for a, _, z in fixed):
+            continue
+        x, logit = plain_features(text, s, k, e, m), model.start
+        for t in model.trees:
+            while isinstance(t, tuple):
+                t = t[2] if x[t[0]] <= t[1] else t[3]
+            logit += t
+        p = 1 / (1 + np.exp(-logit))
+        if p >= model.thresholds[k]:
+            scored.append((-p, s, k, e))
+    added = []
+    for _, s, k, e in sorted(scored):
+        if not any(s < z and a < e for a, _, z in added):
+            added.append((s, k, e))
+    return ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in sorted(fixed + added)), len(added)
+
+
+def test_all_spans_are_those_of_plain_lists(spark, model):
+    """The whole method by brute force: generators as plain patterns, trees walked, overlaps settled one by one."""
+    rng = random.Random(12)
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    make = [
+        lambda: rng.choice(["call me ", "tel ", "my card ", "visa ending ", "host ", "order ", "invoice no ", "mail me under ", "version ", "x", ". ", "\n", " "]), lambda: f"({num(3)}) {num(3)}-{num(4)}", lambda: f"{num(3)}-{num(3)}-{num(4)}", lambda: f"00{num(2)} {num(3)} {num(4)} {num(3)}",
+        lambda: "ann at example dot com", lambda: "bob (at) host.net", lambda: "x@y.de", lambda: f"{num(4)}/{num(4)}/{num(4)}/{num(4)}", lambda: "4111_1111_1111_1111", lambda: "4111.1111.1111.1111", lambda: num(16), lambda: "4111111111111111 " + num(16),
+        lambda: ":".join(f"{rng.randrange(65536):x}" for _ in range(rng.randint(3, 8))), lambda: f"{num(1)}.{num(2)}.{num(3)}.{num(2)}", lambda: f"+1 ({num(3)}) {num(3)}-{num(4)}", lambda: num(rng.randint(1, 20)), lambda: " " * rng.randint(1, 40) + "word ",
+    ]
+    texts = ["".join(rng.choice(make)() + rng.choice(["", " ", ", "]) for _ in range(rng.randint(1, 14))) for _ in range(500)] + ["", "z" * 2000 + " call me (555) 123-4567 " * 100]
+    got = {r.doc_id: (r.spans, r.n_added) for r in pii.personal_data(docs_frame(spark, enumerate(texts)), model).collect()}
+    want = {i: plain_spans(t, model) for i, t in enumerate(texts)}
+    assert got == want
+    assert sum(n for _, n in want.values()) > 200
+
+
 def test_cards_that_touch_other_digits(spark, model):
     # base spans join the runs and drop them; of the runs themselves those that pass the check are cards
     texts = ["eauenque de mentle 7536784127813050 4845168114407329 tre oile", "esanwh 2353820953013749 4550997810720808 thheed hand", "esanwh 2353820953013749 thheed 9807915762804490 hand", "pay 378282246310005 378282246310006 now"]

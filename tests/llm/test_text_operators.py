@@ -193,6 +193,21 @@ def test_mixture_rows_are_those_of_a_plain_mix(spark, monkeypatch, shard_rows, b
     assert got == want
 
 
+def test_quotas_of_many_shards_in_bounded_groups(spark):
+    """Runs of shards first, then their shards: quotas sum to the blocks, none over its cap, each near its share."""
+    rng = random.Random(6)
+    rows = [(sid, k, rng.choice([0, 5, 40, 300, 5000]), blocks) for sid, blocks in ((0, 900), (1, 20_000), (2, 0)) for k in range(200) if sid < 2 or k < 3]
+    df = spark.createDataFrame(rows, "sid long, shard int, avail long, blocks long").repartition(3)
+    flat = {(r.sid, r.shard): r.quota for r in mixture.quotas(df, 200).collect()}
+    deep = {(r.sid, r.shard): r.quota for r in mixture.quotas(df, 200, 6).collect()}
+    assert set(flat) == set(deep) == {(s, k) for s, k, _, _ in rows}
+    for sid, blocks in ((0, 900), (1, 20_000), (2, 0)):
+        caps = {k: -(-2 * n // mixture.BLOCK) for s, k, n, _ in rows if s == sid}
+        for got in (flat, deep):
+            assert sum(got[sid, k] for k in caps) == min(blocks, sum(caps.values())) and all(got[sid, k] <= c for k, c in caps.items())
+        assert all(abs(flat[sid, k] - deep[sid, k]) <= 3 for k in caps)
+
+
 def test_mixed_documents_hold_the_taken_words(spark):
     rows = mix_rows()
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars", "1 AS size", "2 AS shard", "'q' AS target")
