@@ -16,8 +16,6 @@ import ctypes
 import functools
 import inspect
 import math
-import tempfile
-import uuid
 from collections.abc import Iterable
 
 import numpy as np
@@ -26,24 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.sources.shared import fresh_dir as run_dir
+from caseloom.sources.shared import shared_dir
+
 #: Parquet bytes that a shard holds on average, unless the session sets ``spark.caseloom.shardBytes``.
 #: A shard is one Python group of some thirty times its text in memory at most; each shard writes to
 #: each bucket, so large corpora on large executors want larger shards.
 SHARD_BYTES = 3 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Where none is set, a local session gets a temporary one; on a cluster that is an error."""
-    context = spark.sparkContext
-    path = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if path is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="caseloom-"))
-        path = context.getCheckpointDir()
-    return path.rstrip("/")
-
-
 #: Bytes of rows that Spark hands to Python at once; Spark's own 64 MB times copies and columns fill a small executor.
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -55,10 +44,6 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
-def run_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 #: Plan nodes through which Catalyst's estimate of a scan (its files) stays one of the rows; joins multiply, generators guess.
 _PLAIN = frozenset("Project Filter SubqueryAlias Union Sort Repartition RepartitionByExpression RebalancePartitions LogicalRelation DataSourceV2ScanRelation LocalRelation".split())
 #: Bytes of text that Parquet writes as one, about.

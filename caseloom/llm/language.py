@@ -33,7 +33,7 @@ TRAIN_BYTES = 24 << 20
 MATRIX_BYTES = 96 << 20
 LEAST_BITS = 4
 #: Numbers (characters x languages, rows x languages) that a step of scoring holds.
-CELLS = 1 << 21
+CELLS = 1 << 20
 ALPHA = 0.05
 _MUL = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)]
 _TABLES: list[np.ndarray] = []
@@ -116,7 +116,7 @@ class Bayes:
             return best, score
         wide = len(self.languages)
         # a row costs its bytes and its totals
-        for i, j in spans_of(off + np.arange(n + 1) * 8 * wide, 1 << 23):
+        for i, j in spans_of(off + np.arange(n + 1) * 8 * wide, 1 << 20):
             cols, at, letters = grams(data[off[i] : off[j]], off[i : j + 1] - off[i], self.bits)
             total = np.tile(self.prior, (j - i, 1))
             full = np.flatnonzero(np.diff(at))
