@@ -18,7 +18,7 @@ from caseloom.operators.listing import DEFAULT_PAGE, order_key, page_bounds
 
 #: Keys that come to the driver in a round, ranges that they part, and rows that are few.
 SAMPLE = 20_000
-RANGES = 64
+RANGES = 16
 FEW = 50_000
 
 Keys = list[tuple[Column, bool]]

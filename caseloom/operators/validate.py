@@ -36,11 +36,16 @@ class Rule:
 
 
 def issues(rules: list[Rule]) -> Column:
-    """A null test is no issue."""
-    fatal = [F.coalesce(r.bad, F.lit(False)) for r in rules if r.kind == "fatal"]
+    """In rule order, late rules last. A null test is no issue."""
+    bad = lambda r: F.coalesce(r.bad, F.lit(False))
+    told = lambda r: F.when(bad(r), F.struct(F.lit(r.field).alias("field"), F.lit(r.message).alias("message")))
+    early, late = ([r for r in rules if (r.kind == "late") == is_late] for is_late in (False, True))
+    fatal = [bad(r) for r in early if r.kind == "fatal"]
+    out = F.array_compact(F.array(*map(told, early)))
+    if not late:
+        return out
     asked = ~reduce(lambda a, b: a | b, fatal) if fatal else F.lit(True)
-    told = [F.when(F.coalesce(r.bad & asked if r.kind == "late" else r.bad, F.lit(False)), F.struct(F.lit(r.field).alias("field"), F.lit(r.message).alias("message"))) for r in rules]
-    return F.array_compact(F.array(*told))
+    return F.when(asked, F.concat(out, F.array_compact(F.array(*map(told, late))))).otherwise(out)
 
 
 def first_message(found: Column) -> Column:
@@ -67,10 +72,20 @@ def length(c: Column) -> Column:
     return F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))
 
 
+def shorter(c: Column, than: int) -> Column:
+    """Units are no fewer than characters, so most texts are told by these."""
+    return (F.length(c) < than) & (length(c) < than)
+
+
+def longer(c: Column, than: int) -> Column:
+    """Units are no more than bytes and no fewer than characters."""
+    return (F.octet_length(c) > than) & ((F.length(c) > than) | (length(c) > than))
+
+
 def text(field: str, low: int, high: int, pattern: str | None = None) -> list[Rule]:
     c = trimmed(F.col(field))
-    out = [Rule(field, f"shorter than {low}", length(c) < low)] if low else []
-    out.append(Rule(field, f"longer than {high}", length(c) > high))
+    out = [Rule(field, f"shorter than {low}", shorter(c, low))] if low else []
+    out.append(Rule(field, f"longer than {high}", longer(c, high)))
     return out + ([Rule(field, "wrong characters", ~c.rlike(pattern))] if pattern else [])
 
 
@@ -230,4 +245,4 @@ def notification_rules() -> list[Rule]:
 
 
 def session_rules() -> list[Rule]:
-    return [Rule("device_token", "longer than 500", length(F.col("device_token")) > 500)]
+    return [Rule("device_token", "longer than 500", longer(F.col("device_token"), 500))]

@@ -633,7 +633,9 @@ def _boxes():
     "SELECT p_partkey, CAST((w - 1) * (h - 1) AS DOUBLE) AS area, concat_ws(' ', x || ',' || (48 - y), x || ',' || (49 - y - h), (x + w - 1) || ',' || (49 - y - h), (x + w - 1) || ',' || (48 - y)) AS points FROM b WHERE (w - 1) * (h - 1) >= 100"
 )
 def image_contours(spark, d):
-    found = ingest.graphs(scan(spark, d, "part", "p_partkey", "p_size").select(*_boxes()))
+    # small rows that become large ones are dealt out first
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    found = ingest.graphs(scan(spark, d, "part", "p_partkey", "p_size").repartition(n, "p_partkey").select(*_boxes()))
     points = F.array_join(F.transform("coordinates", lambda p: F.concat_ws(",", p["x"], p["y"])), " ")
     return found.select(F.col("origin").cast("bigint").alias("p_partkey"), "area", points.alias("points"))
 

@@ -20,8 +20,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MARKED: set[str] = set()
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path that nothing has, under the application's own folder, which goes when the driver ends."""
+    base = f"{shared_dir(spark)}/caseloom-{spark.sparkContext.applicationId}"
+    if base not in _MARKED:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _MARKED.add(base)
+    return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
 def settled(df: DataFrame) -> DataFrame:
