@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caseloom.functions import medication, scalar, signed, text
+from caseloom.functions import medication, passwords, scalar, signed, text
 from caseloom.operators import deep, listing, lookups, mutations, predicates, projection, state, validate
 from caseloom.plans import ingest
 from caseloom.sources import journal, keyed, textindex
@@ -497,6 +497,16 @@ def bearer_token(spark, d):
     return scan(spark, d, "events", "event_id").select("event_id", scalar.bearer(header).alias("token"))
 
 
+@query("SELECT s_suppkey, s_suppkey % 3 > 0 AS matches FROM supplier")
+def password_matches(spark, d):
+    """Hashes of low cost made of names, and then compared, a third with another name."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = scan(spark, d, "supplier", "s_suppkey", "s_name").repartition(n, "s_suppkey")
+    made = passwords.hashes(rows, "s_name", F.unhex(F.md5(F.col("s_suppkey").cast("string"))), cost=4)
+    given = made.select("s_suppkey", "hash", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_name")).otherwise(F.concat("s_name", F.lit("."))).alias("given"))
+    return passwords.matches(given, "given", "hash").select("s_suppkey", "matches")
+
+
 # --- validation --------------------------------------------------------------
 
 _CUSTOMER_CASES = "[CASE WHEN length(trim(c_name)) < 2 THEN 'shorter than 2' END, CASE WHEN length(trim(c_name)) > 16 THEN 'longer than 16' END, CASE WHEN NOT regexp_matches(trim(c_name), '^[a-zA-Z#0-9]*[02468]\\z') THEN 'wrong characters' END, CASE WHEN c_mktsegment NOT IN ('BUILDING', 'MACHINERY') THEN 'segment' END, CASE WHEN c_acctbal < 0 THEN 'below 0' END]"
