@@ -116,7 +116,9 @@ class _Page:
                 out.append(f"<figure><img src='x'><figcaption>{MARK}{self.sentence()}</figcaption></figure>")
             elif kind < 0.22:
                 out.append(f"<pre>{MARK}{self.words(2, 20)}</pre>")
-            elif kind < 0.28:
+            elif kind < 0.24:  # articles say such things too
+                out.append(f"<p>{MARK}{self.said(r.choice(('foot', 'foot', 'notice', 'more', 'share', 'form')))}</p>")
+            elif kind < 0.3:
                 out.append(self.box("advert", self.said("advert"), sure=True))
             elif flow == "br":
                 out.append(f"{MARK}{self.prose()}<br>{self.prose()}<br><br>")
@@ -162,6 +164,8 @@ def page(rng: random.Random) -> str:
     p, r = _Page(rng), rng
     inside = p.article()
     after = [make() for make, chance in ((lambda: p.box("share", p.said("share"), sure=True), 0.3), (p.comments, 0.35), (p.side, 0.25), (p.form, 0.15)) if r.random() < chance]
+    if r.random() < 0.12:  # an article's own last lines
+        inside += f"<footer>{r.choice((p.said('share'), p.links(1, 4), p.said('foot')))}</footer>"
     within = r.random() < 0.4  # what follows the article stands in the same element
     if within:
         inside += "".join(after)
@@ -178,6 +182,9 @@ def page(rng: random.Random) -> str:
         inside += "".join(after)
     before = "".join(make() for make, chance in ((p.notice, 0.3), (p.top, 0.5), (p.menu, 0.6), (lambda: p.box("advert", p.said("advert"), sure=r.random() < 0.9), 0.4), (p.side, 0.15)) if r.random() < chance)
     below = "".join(make() for make, chance in ((p.side, 0.25), (lambda: p.box("advert", p.said("advert"), sure=True), 0.2), (p.form, 0.2), (p.foot, 0.8), (p.notice, 0.2)) if r.random() < chance)
+    if r.random() < 0.08:  # pages of the table days: links in one cell, the text in another
+        cells = [f"<td>{p.links()}</td>", f"<td>{inside}</td>", f"<td>{r.choice((p.said('more'), p.links(), p.said('advert')))}</td>"]
+        inside = f"<table><tr>{''.join(cells[: r.choice((2, 3))] if r.random() < 0.7 else [cells[1], cells[0]])}</tr></table>"
     whole = before + inside + below
     if r.random() < 0.2:
         whole = p.box("plain", whole)

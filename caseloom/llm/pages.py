@@ -35,7 +35,7 @@ from caseloom.llm.dom import Block, blocks
 from caseloom.llm.layouts import MARK, page
 
 #: Labelled pages that are learnt, the seed of the first, and rounds of training.
-PAGES = 600
+PAGES = 900
 SEED = 7
 ROUNDS = 100
 #: Pages of about one length that are summed together.

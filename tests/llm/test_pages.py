@@ -112,6 +112,17 @@ HAND = [
 ]
 
 
+_STORY = "<h1>The river in spring</h1><p>Water came down from the hills all week, and the mill was closed.</p><p>Short one.</p><ul><li>First point of the list</li></ul><h2>After the flood</h2><p>People cleaned their houses &amp; shops.</p>"
+_TOLD = ["The river in spring", "Water came down from the hills all week, and the mill was closed.", "Short one.", "First point of the list", "After the flood", "People cleaned their houses & shops."]
+HAND += [
+    (f"<body><table><tr><td><a href=1>Home</a><br><a href=2>Links</a></td><td>{_STORY}</td></tr></table><p>&copy; 1999</p>", _TOLD),
+    (f"<body>{_STORY}<form action=/s><label>Your email</label><input><p>Subscribe to get our weekly letter in your inbox.</p></form>", _TOLD),
+    (f"<body><div class='wrapper'><div class='ad-banner'><p>Buy the new phone now. It is the best phone that money can buy, and it is on sale.</p></div><div class='post-body'>{_STORY}<div class='promo'>Sponsored: visit our shop for more.</div><p>The last paragraph follows an advert, as it often does.</p></div>"
+     "<div class='comments-area'><ol><li class='comment'><p>What a story. I was there, and the water was high.</p></li></ol></div></div>", [*_TOLD, "The last paragraph follows an advert, as it often does."]),
+    (f"<body><article>{_STORY}<p>All rights reserved.</p><section class=comments><h2>Comments</h2><article class=comment><p>Reader text that is quite long, with commas, and such things as readers write.</p></article></section><nav class=related><a href=1>Next story</a></nav></article>", [*_TOLD, "All rights reserved."]),
+]
+
+
 @pytest.mark.parametrize(("page", "want"), HAND)
 def test_pages_by_hand(page, want):
     assert pages.extract(page, pages.learnt()).split("\n") == want
