@@ -584,6 +584,21 @@ def liveness(spark, d):
 # --- tables that change ------------------------------------------------------
 
 
+@query("SELECT o_orderkey, o_orderstatus, o_orderkey % 977 <> 5 AS survives FROM orders")
+def hard_delete_by_id(spark, d):
+    """Rows whose id is asked for go; both parts, each row once."""
+    left, gone = mutations.hard_delete(scan(spark, d, "orders", "o_orderkey", "o_orderstatus"), F.col("o_orderkey") % 977 == 5)
+    return left.withColumn("survives", F.lit(True)).unionByName(gone.withColumn("survives", F.lit(False)))
+
+
+@query("SELECT count(*) AS n, count(*) AS ids, count(*) AS well_formed, count(*) AS codes, count(*) AS patient_codes FROM customer")
+def generated_ids(spark, d):
+    """Fresh ids and codes of each row: all ids differ, and all have their form."""
+    rows = scan(spark, d, "customer", "c_custkey").select(F.uuid().alias("id"), scalar.one_time_code(7).alias("code"), scalar.patient_code(8, "P").alias("patient"))
+    ok = lambda c, p: F.count_if(F.col(c).rlike(p)).alias
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), ok("id", validate.UUID)("well_formed"), ok("code", r"^[1-9][0-9]{5}\z")("codes"), ok("patient", r"^P[1-9][0-9]{4,5}\z")("patient_codes"))
+
+
 @query("SELECT o_orderkey, o_orderstatus, o_orderkey % 1000 = 7 OR o_orderstatus = 'P' AS soft_delete, CASE WHEN o_orderkey % 1000 = 7 OR o_orderstatus = 'P' THEN 1 ELSE 0 END AS touched FROM orders WHERE o_orderkey % 500 <> 9")
 def stored_changes(spark, d):
     """A stored table after two soft deletions, the second of which finds some rows deleted, and a hard one."""

@@ -34,7 +34,8 @@ def latest(events: DataFrame, key: str, at: str, *columns: str) -> DataFrame:
 def attempts(events: DataFrame, key: str, key_type: str, at: str, failed: Column, limit: int = MAX_ATTEMPTS) -> DataFrame:
     """A row for a key whenever a batch moves it: login_attempts, status, blocked_at.
 
-    State is the counter and the time of the block. Events of one batch are
+    State is the counter and the time of the block, kept for ever (``timers.attempts``
+    forgets keys without open failures). Events of one batch are
     taken in time order; an event older than the last batch counts when it comes.
     """
 

@@ -205,7 +205,9 @@ def test_validation_tells_issues_in_order(spark):
     told = {r.first_name: ([i.field for i in r.issues], r.first) for r in rows}
     assert told["A"][1] == "shorter than 2" and {"first_name", "last_name", "user_name", "email", "password", "age", "gender", "phone"} == set(told["A"][0])
     assert told[None][1] == "required"
-    assert validate.document_rules() and validate.notification_rules() and validate.session_rules()
+    empty = spark.createDataFrame([(None,) * 8, ("letter", "x", " ", 0, "image/gif", "\t", "", "b")], "document_type string, file_name string, file_path string, file_size long, file_type string, s3_bucket string, s3_key string, user_id string")
+    told = [[i.field for i in r.i] for r in empty.withColumn("i", validate.issues([*validate.document_rules(), *validate.notification_rules()])).collect()]
+    assert told == [["document_type", "file_name", "file_path", "file_size", "file_type", "s3_bucket", "s3_key", "user_id"], ["document_type", "file_name", "file_path", "file_size", "file_type", "s3_bucket", "s3_key"]]
 
 
 def test_auth_rules(spark):
