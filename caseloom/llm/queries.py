@@ -135,9 +135,11 @@ _SENTENCE = r"(?s)(?:[.!?][\x20\x09-\x0D]+|[^\x20\x09-\x0D].*?(?:[.!?][\x20\x09-
 _OP10 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 s AS (SELECT r, doc_id, t, unnest(g) AS seg, unnest(range(0, len(g))) AS i FROM (SELECT *, regexp_extract_all(t, '{_SENTENCE}') AS g FROM d)),
 k AS (SELECT *, array_to_string(regexp_extract_all(translate(seg, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+'), ' ') AS k FROM s),
-run AS (SELECT *, lead(k) OVER (PARTITION BY r ORDER BY i) AS k2 FROM k),
-again AS (SELECT r, i, row_number() OVER (PARTITION BY k, k2 ORDER BY doc_id NULLS FIRST, t, r, i) AS n FROM run WHERE k2 IS NOT NULL),
-gone AS (SELECT DISTINCT r, unnest([i, i + 1]) AS i, 1 AS gone FROM again WHERE n > 1),
+c AS (SELECT *, sum(w) OVER (PARTITION BY r ORDER BY i) AS z FROM (SELECT *, len(string_split(k, ' ')) AS w FROM k)),
+e AS (SELECT x.r, x.i, min(y.i) AS j FROM c x JOIN c y ON y.r = x.r AND y.i > x.i AND y.i < x.i + 15 AND y.z - x.z + x.w >= 15 GROUP BY x.r, x.i),
+run AS (SELECT e.r, e.i, e.j, any_value(c.doc_id) AS doc_id, any_value(c.t) AS t, string_agg(c.k, chr(10) ORDER BY c.i) AS name FROM e JOIN c ON c.r = e.r AND c.i BETWEEN e.i AND e.j GROUP BY e.r, e.i, e.j),
+again AS (SELECT r, i, j, row_number() OVER (PARTITION BY name ORDER BY doc_id NULLS FIRST, t, r, i) AS n FROM run),
+gone AS (SELECT DISTINCT r, unnest(range(i, j + 1)) AS i, 1 AS gone FROM again WHERE n > 1),
 o AS (SELECT r, count(*) AS n, count(gone) AS g, coalesce(sum(octet_length(encode(seg))) FILTER (WHERE gone = 1), 0) AS b, coalesce(string_agg(seg, '' ORDER BY i) FILTER (WHERE gone IS NULL), '') AS kept FROM s LEFT JOIN gone USING (r, i) GROUP BY r)
 SELECT doc_id, coalesce(n, 0) AS n_sentences, coalesce(g, 0) AS n_removed, CAST(coalesce(b, 0) AS BIGINT) AS bytes_removed, regexp_extract(t, '^[\\x20\\x09-\\x0D]*') || coalesce(kept, '') AS text FROM d LEFT JOIN o USING (r)"""
 

@@ -2,12 +2,15 @@
 
 A text is parted into sentences: a sentence ends with ``.``, ``!`` or ``?``
 before white space, with a line end, or with the text.  Every run of
-``SENTENCES`` consecutive sentences of a text, whatever its words, is hashed by
-the words of its sentences (A-Z lower-cased, white space aside).  Runs meet by
-128 bits of hash over all documents; all sentences of a run that also stands
-earlier (smaller doc_id, or the same document, earlier) go, with the white space
-after them.  With runs of two, a longer repeated run is covered by its runs of
-two, so every run of several sentences counts; a text of one sentence has none.
+``SENTENCES`` or more consecutive sentences of a text with ``LEAST_WORDS`` words
+or more is hashed by the words of its sentences (A-Z lower-cased, white space
+aside); of the runs that begin at one sentence the shortest stands for all, as a
+longer repeated one is covered by shortest ones and what it repeats of them.
+Runs meet by 128 bits of hash over all documents; all sentences of a run that
+also stands earlier (smaller doc_id, or the same document, earlier) go, with the
+white space after them.  The least number of words keeps stock lines of a few
+words in documents that repeat nothing else; 1 hashes every run.  The last
+sentences of a text that together have fewer words begin no run.
 
 Rows: null text counts as empty and loses nothing; of equal rows with one id
 the later of (doc_id, text) order loses its runs; null ids come first; an empty
@@ -24,8 +27,9 @@ from caseloom.llm.common import bucket_count, bytes_of, id_column, in_order, int
 from caseloom.llm.hashing import joined, mix, sums, words
 from caseloom.llm.suffix import bucket_of
 
-#: Sentences of a run: the fewest that are several.
+#: Sentences of a run: the fewest that are several; and words.
 SENTENCES = 2
+LEAST_WORDS = 15
 #: Numbers that name a run.
 WIDTH = 2
 
@@ -47,10 +51,14 @@ def sentences(data: np.ndarray, off: np.ndarray):
     return np.append(first, len(s)), s[first], np.searchsorted(off, s[first], "right") - 1, h
 
 
-def runs(row: np.ndarray, length: int) -> np.ndarray:
-    """First sentences of the runs of so many in one row."""
-    n = len(row) - length + 1
-    return np.flatnonzero(row[: max(0, n)] == row[length - 1 :]) if n > 0 else np.zeros(0, np.int64)
+def runs(word_at: np.ndarray, row: np.ndarray, length: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first sentence, last + 1) of the shortest run from each sentence that has so many sentences and words, in its row."""
+    n = len(row)
+    first = np.arange(n)
+    last = np.maximum(first + length, np.searchsorted(word_at, word_at[:n] + least)) if n else first
+    end = np.searchsorted(row, row, "right")
+    ok = last <= end
+    return first[ok], last[ok]
 
 
 class Names:
@@ -94,19 +102,21 @@ class Names:
 class ShardSpans:
     """A shard's rows in (doc_id, text) order, their sentences and runs."""
 
-    def __init__(self, table: pa.Table, n_buckets: int, length: int):
+    def __init__(self, table: pa.Table, n_buckets: int, length: int, least: int):
         data, off = bytes_of(table["text"])
         self.ids, self.data, self.off = in_order(int_column(table, "doc_id"), data, off)
         word_at, self.start, self.row, h = sentences(self.data, self.off)
-        self.length, self.first = length, runs(self.row, length)
+        self.first, self.last = runs(word_at, self.row, length, least)
+        extent = self.last - self.first
         size = np.diff(word_at)
         place = np.arange(len(h)) - np.repeat(word_at[:-1], size)
         columns = []
         for seed in range(WIDTH):
             one = sums(h, place, word_at[:-1], size, seed) if len(h) else h
             x = one[self.first]
-            for k in range(1, length):
-                x = joined(x, one[self.first + k])
+            for k in range(1, int(extent.max(initial=1))):
+                on = np.flatnonzero(extent > k)
+                x[on] = joined(x[on], one[self.first[on] + k])
             columns.append(mix(x))
         self.names = Names(columns, n_buckets)
 
@@ -115,7 +125,7 @@ class ShardSpans:
         gone = self.names.repeated(list(zip(said["bucket"].to_pylist(), said["blob"].to_pylist(), strict=True)))
         mark = np.zeros(len(self.row) + 1, np.int64)
         np.add.at(mark, self.first[gone], 1)
-        np.subtract.at(mark, self.first[gone] + self.length, 1)
+        np.subtract.at(mark, self.last[gone], 1)
         return np.cumsum(mark[:-1]) > 0
 
 
@@ -126,9 +136,9 @@ def _table(bucket, shard, blob) -> pa.Table:
     return pa.table([pa.array(bucket, pa.int32()), pa.array(shard, pa.int32()), pa.array(blob, pa.binary())], names=["bucket", "shard", "blob"])
 
 
-def _tell(n_buckets: int, length: int):
+def _tell(n_buckets: int, length: int, least: int):
     def run(table: pa.Table) -> pa.Table:
-        buckets, blobs = ShardSpans(table, n_buckets, length).names.messages()
+        buckets, blobs = ShardSpans(table, n_buckets, length, least).names.messages()
         return _table(buckets, [table["shard"][0].as_py()] * len(blobs), blobs)
 
     return run
@@ -150,12 +160,12 @@ def _first_shard(table: pa.Table) -> pa.Table:
 _RESULT = "doc_id long, n_sentences long, n_removed long, bytes_removed long, text string"
 
 
-def _cut(n_buckets: int, length: int):
+def _cut(n_buckets: int, length: int, least: int):
     def run(key, texts: pa.Table, said: pa.Table) -> pa.Table:
         names = [x.split()[0] for x in _RESULT.split(", ")]
         if texts.num_rows == 0:
             return pa.table([pa.array([], pa.int64())] * 4 + [pa.array([], pa.string())], names=names)
-        own = ShardSpans(texts, n_buckets, length)
+        own = ShardSpans(texts, n_buckets, length, least)
         gone = own.removed(said)
         n = len(own.ids)
         mark = np.zeros(len(own.data) + 1, np.int32)
@@ -177,13 +187,13 @@ def _cut(n_buckets: int, length: int):
     return run
 
 
-def sentence_span_dedup(docs: DataFrame, length: int = SENTENCES) -> DataFrame:
-    """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept. length: sentences of a run."""
-    if length < 1:
-        raise ValueError("a run has one sentence at least")
+def sentence_span_dedup(docs: DataFrame, length: int = SENTENCES, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, n_sentences, n_removed, bytes_removed, text) of each row; text is what is kept. length, least: sentences and words of a run, at least."""
+    if length < 1 or least < 1:
+        raise ValueError("a run has one sentence and one word at least")
     texts, n_shards = sharded(docs)
     n = bucket_count(docs.sparkSession, n_shards)
     by_shard = texts.groupBy("shard")
-    told = by_shard.applyInArrow(lean(_tell(n, length)), _TOLD)
+    told = by_shard.applyInArrow(lean(_tell(n, length, least)), _TOLD)
     said = told.groupBy("bucket").applyInArrow(lean(_first_shard), _TOLD)
-    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, length)), _RESULT)
+    return by_shard.cogroup(said.groupBy("shard")).applyInArrow(lean(_cut(n, length, least)), _RESULT)

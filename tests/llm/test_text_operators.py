@@ -228,7 +228,7 @@ def test_mixed_documents_hold_the_taken_words(spark):
 # --- sentence spans ---
 
 
-def span_brute(rows, k=spans.SENTENCES):
+def span_brute(rows, k=spans.SENTENCES, least=spans.LEAST_WORDS):
     """Removes what the operator says it removes, by plain lists."""
     docs = sorted(((d if d is not None else -(2**63)), t or "") for d, t in rows)
     parts = []
@@ -246,9 +246,14 @@ def span_brute(rows, k=spans.SENTENCES):
     for (d, t), sents in zip(docs, parts, strict=True):
         gone = set()
         for i in range(len(sents) - k + 1):
-            name = tuple(tuple(s[0]) for s in sents[i : i + k])
+            j = i + k
+            while j < len(sents) and sum(len(s[0]) for s in sents[i:j]) < least:
+                j += 1
+            if sum(len(s[0]) for s in sents[i:j]) < least:
+                continue
+            name = tuple(tuple(s[0]) for s in sents[i:j])
             if name in seen:
-                gone.update(range(i, i + k))
+                gone.update(range(i, j))
             seen.add(name)
         ends = [s[1] for s in sents[1:]] + [len(t)]
         kept = t
@@ -283,16 +288,17 @@ def test_a_repeated_passage_goes_but_the_first(spark):
     clean = [(1, "Short line."), (2, "Short line."), (3, f"Three here. {one}."), (4, f"Four there. {one}.")]
     assert all(r.n_removed == 0 for r in spans.sentence_span_dedup(docs_frame(spark, clean)).collect())
     short = [(i, "Of two sentences. That is all.") for i in range(3)]
-    assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, short)).collect())] == [0, 2, 2]
+    assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, short), least=1).collect())] == [0, 2, 2]
+    assert [r.n_removed for r in sorted(spans.sentence_span_dedup(docs_frame(spark, short)).collect())] == [0, 0, 0]
     assert spans.sentence_span_dedup(docs_frame(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("length", [1, 2, 3, 5])
-def test_runs_of_any_length(spark, length):
+@pytest.mark.parametrize(("length", "least"), [(1, 1), (2, 1), (2, 5), (3, 4), (5, 9), (1, 8)])
+def test_runs_of_any_length(spark, length, least):
     rng = random.Random(length)
     pool = [text_of(rng, rng.randint(1, 4), "ab") + "." for _ in range(12)]
     rows = [(i // 2 if i % 9 else None, " ".join(rng.choice(pool) for _ in range(rng.randint(0, 9)))) for i in range(80)]
-    assert rows_of(spans.sentence_span_dedup(docs_frame(spark, rows), length)) == span_brute(rows, length)
+    assert rows_of(spans.sentence_span_dedup(docs_frame(spark, rows), length, least)) == span_brute(rows, length, least)
 
 
 # --- pipeline ---
