@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.functions.contours import LEVEL, MIN_AREA, contours, grey
+from caseloom.functions.contours import LEVEL, MIN_AREA, contours_of, grey
 from caseloom.functions.scalar import date_or_null
 from caseloom.functions.text import clean_ocr, join_lines, parse_record, structure_prompt
 from caseloom.operators.state import ocr_status
@@ -56,6 +56,9 @@ def contour_points(contours: Column, height: Column) -> Column:
     return F.transform(large, lambda c: F.struct(F.lit("graph").alias("type"), flip(c).alias("coordinates")))
 
 
+#: Pixels that are searched together.
+PIXELS = 1 << 20
+
 GRAPH = "origin string, n int, type string, area double, coordinates array<struct<x:int,y:int>>, width int, height int"
 
 
@@ -68,21 +71,36 @@ def graphs(pictures: DataFrame, least: float = MIN_AREA) -> DataFrame:
     """The graphs in image rows, one row each: contours of dark shapes, those of small area left out, y turned upward.
 
     n counts an image's graphs from 0, the last found first. An image that can't be read, is empty or
-    whose bytes aren't height x width x channels has none; rows are read one image at a time.
+    whose bytes aren't height x width x channels has none. Images of one width that follow one another
+    are searched together, a bounded number of pixels at a time; a larger image is alone.
     """
     names = ["origin", "n", "type", "area", "coordinates", "width", "height"]
     kinds = [pa.string(), pa.int32(), pa.string(), pa.float64(), pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])), pa.int32(), pa.int32()]
 
+    def rows_of(held: list[tuple]) -> Iterator[tuple]:
+        for (origin, h, w, _), found in zip(held, contours_of([x[3] for x in held], least), strict=True):
+            for i, (a, points) in enumerate(found):
+                yield origin, i, "graph", a, [{"x": x, "y": h - y} for x, y in points], w, h
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def emit(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = list(rows_of(held))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for batch in batches:
+            held, size = [], 0
             for origin, height, width, channels, data in zip(*(batch[c] for c in ("origin", "height", "width", "nChannels", "data")), strict=True):
                 h, w, k, raw = (x.as_py() for x in (height, width, channels, data))
                 if not raw or None in (h, w, k) or min(h, w) < 1 or k not in (1, 3, 4) or len(raw) != h * w * k:
                     continue
-                found = contours(grey(raw, h, w, k) <= LEVEL, least)
-                rows = [(origin.as_py(), i, "graph", a, [{"x": x, "y": h - y} for x, y in points], w, h) for i, (a, points) in enumerate(found)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                if held and (w != held[0][2] or size + h * w > PIXELS):
+                    yield from emit(held)
+                    held, size = [], 0
+                held.append((origin.as_py(), h, w, grey(raw, h, w, k) <= LEVEL))
+                size += h * w
+            if held:
+                yield from emit(held)
 
     return pictures.select("origin", "height", "width", "nChannels", "data").mapInArrow(run, GRAPH)
 

@@ -121,3 +121,18 @@ def test_odd_rows(spark):
     got = ingest.graphs(spark.createDataFrame(rows, ddl)).collect()
     assert sorted((r.origin or "", r.area) for r in got) == [("", 361), ("w", 361)]
     assert ingest.graphs(spark.createDataFrame([], ddl)).collect() == []
+
+
+def test_many_images_together_as_one_by_one(monkeypatch):
+    import numpy as np
+
+    from caseloom.functions import contours as c
+
+    rng = np.random.default_rng(5)
+    images = [rng.random((int(rng.integers(1, 30)), 23)) < d for d in np.linspace(0.02, 0.98, 60)]
+    one = [[(c.area(p), p) for p in (c.follow(np.pad(x, 1), s) for s in c.outer_starts(x))] for x in images]
+    monkeypatch.setattr(c, "follow", None)  # side by side, not border by border
+    monkeypatch.setattr(c, "FEW", 1)
+    assert c.contours_of(images, 0) == one
+    monkeypatch.undo()
+    assert c.contours_of(images, 0) == one
